@@ -40,14 +40,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x632BE59BD9B4E019))
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.zeros(0, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
     """BASE to the powers 0 to n-1, modulo 2 to the 64."""
     global _POWERS
     if n > len(_POWERS):
-        p = np.full(max(n, 2 * len(_POWERS)), BASE, np.uint64)
+        p = np.full(max(n, 64, 2 * len(_POWERS)), BASE, np.uint64)
         p[0] = 1
         _POWERS = np.multiply.accumulate(p)
     return _POWERS[:n]
