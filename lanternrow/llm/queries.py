@@ -26,6 +26,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), crc_mod("doc_id", 10) != 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_documents, train
 
@@ -74,6 +82,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_lm_score": op3_lm_score,
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc": op6_warc,
