@@ -186,7 +186,7 @@ def log_odds(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, np.ndarray
 
 
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """The model of labelled texts, two thirds for log-odds and a third for the calibration."""
+    """The model of labelled texts; calibrated on texts that the log-odds used for them haven't seen."""
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
     if len(set(labels)) < 2:
         return none
@@ -194,13 +194,14 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     texts, labels = [t for t, _ in pairs], [y for _, y in pairs]
     if len(set(labels)) < 2:
         return none
-    own = [i for i in range(len(texts)) if i % 3]
-    unseen = [i for i in range(len(texts)) if not i % 3]
-    if len({labels[i] for i in own}) < 2 or len({labels[i] for i in unseen}) < 2:
-        own = unseen = list(range(len(texts)))
-    model = ToxicityModel(*log_odds([texts[i] for i in own if labels[i]], [texts[i] for i in own if not labels[i]]))
-    held = [(n, found.get(r, [])) for part in _texts([texts[i] for i in unseen]) for counts, found in [model.segments(part)] for r, n in enumerate(counts.tolist())]
-    y = np.array([labels[i] for i in unseen], float)
+    # each third is scored by the log-odds of the others; those of all texts are the model's own
+    held, y = [], []
+    for fold in range(3):
+        own, unseen = ([i for i in range(len(texts)) if (i % 3 == fold) == mine] for mine in (False, True))
+        part = ToxicityModel(*log_odds([texts[i] for i in own if labels[i]], [texts[i] for i in own if not labels[i]]))
+        held += [(n, found.get(r, [])) for t in _texts([texts[i] for i in unseen]) for counts, found in [part.segments(t)] for r, n in enumerate(counts.tolist())]
+        y += [labels[i] for i in unseen]
+    model, y = ToxicityModel(*log_odds([t for t, v in pairs if v], [t for t, v in pairs if not v])), np.array(y, float)
 
     # clean tokens' scores: the positive ones as seen (half a token more, for those not yet seen), else -DRIFT
     clean = [h for h, v in zip(held, y, strict=True) if not v]
@@ -224,7 +225,7 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
 
     x = np.array([np.log1p(sum(e[2] for e in model.evidence(n, found))) for n, found in held])
     w, design = np.zeros(2), np.stack([np.ones_like(x), x], 1)
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    weight = np.ones_like(y)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         hess = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2) * 0.05
