@@ -1 +1 @@
-
+"""Column functions: text, hashing, numbers and dates."""

@@ -1 +1 @@
-
+"""Readers, writers and service adapters."""

@@ -1 +1 @@
-
+"""Streaming forms of log operators."""
