@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import runs, search, text
+from . import drafts, runs, search, text
 
-QUERIES = text.QUERIES | search.QUERIES | runs.QUERIES
-SQL = text.SQL | search.SQL | runs.SQL
+QUERIES = text.QUERIES | search.QUERIES | runs.QUERIES | drafts.QUERIES
+SQL = text.SQL | search.SQL | runs.SQL | drafts.SQL

@@ -104,6 +104,14 @@ def first_links(links: DataFrame, by: str = "href", key: str = "page_id") -> Dat
     return first.select(by, f"r.{key}", "r.pos", "r.label")
 
 
+def link_dates(pages: DataFrame, key: str = "page_id", html: str = "html", reach: int = 400) -> DataFrame:
+    """key, pos, href, day: links with a 'Final Terms (dd.mm.yyyy)' within `reach` characters after them."""
+    found = F.regexp_extract_all(F.col(html), F.lit(rf'(?s)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>(?=.{{0,{reach}}}).{{0,{reach}}})'), F.lit(1))
+    rows = pages.select(key, F.posexplode(found).alias("pos", "a"))
+    dated = rows.select(key, "pos", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", r"Final Terms \((\d{1,2}\.\d{1,2}\.\d{4})\)", 1).alias("d"))
+    return dated.select(key, "pos", "href", F.try_to_date("d", "dd.MM.yyyy").alias("day")).filter("day is not null")
+
+
 def html_headings(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, pos from 1, level, title of each h1 to h6."""
     found = F.regexp_extract_all(F.col(html), F.lit(r"(?s)(<h[1-6][^>]*>.*?</h[1-6]>)"), F.lit(1))
