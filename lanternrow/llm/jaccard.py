@@ -4,17 +4,20 @@ A document's set is its different K-word shingles (64-bit hashes; A-Z in lower c
 words the whole sequence is the one shingle, without words the set is empty and links nothing.
 Sets link when 100 * intersection >= PERCENT * union. Equal sets are one class from the start.
 
-Candidates: in one order of all shingles, two linked sets share one of the first
-n - ceil(PERCENT n / 100) + 1. The order puts frequent shingles last, as seen in a bounded sample
+Candidates: in one order of all shingles, two linked sets share at least l of the first
+n - ceil(PERCENT n / 100) + l, where l is EXTRA percent of the smaller n. So a set goes on only if
+that many of its first shingles are in other sets, too. The order puts frequent shingles last, as seen in a bounded sample
 of documents (SAMPLE_ROWS); it decides only how many candidates there are, never which links are
 found. Sets that share such a shingle form a tile, cut into bands of sizes that can link at all.
 Signatures: bit j tells whether the set has an odd number of shingles that hash to j, so two
 signatures differ in no more bits than the sets do in shingles, and the count of differing bits
 bounds the overlap from above. What passes is intersected exactly.
 
-First, tiles of each set's first two shingles are linked in place, where sets that are joined
-already aren't compared again; then all tiles give the pairs between what is still apart. Tiles
-above a bounded size are dealt out in blocks and pairs of blocks. Texts are read again for the
+First, tiles of each set's first shared shingle are linked in place, where sets that are joined
+already aren't compared again. Then, ROUNDS times, all tiles give the nearest pairs that would join
+what is still apart, no more than a tree of them; and last, what has any partner left by its
+signature is compared in place. Tiles above a bounded size are dealt out in blocks and pairs of
+blocks. So no step puts out the pairs of a group, and no link is lost. Texts are read again for the
 sets of candidates only, found by a bit table of fixed size.
 
 Null texts count as empty. Rows of a null doc_id take part; component_id is the smallest doc_id
@@ -28,18 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import stored
+from .tables import release, sampled, stored
 from .words import SPACED, Texts, mix, slices
 
-K, PERCENT = 5, 80
+K, PERCENT, EXTRA = 5, 80, 5
 #: Documents looked at for the order of shingles, and the share of them from which one is frequent.
 SAMPLE_ROWS, FREQUENT = 2000, 0.004
 #: Shingles of a tile that one task holds, sets of a block, and bits of the table of candidates.
 TILE_SHINGLES, BLOCK, TABLE_BITS = 4_000_000, 4096, 24
+#: Rounds of nearest pairs before the last, exhaustive one.
+ROUNDS = 2
 _U = np.uint64
 
 
@@ -98,7 +103,7 @@ def most_apart(total, percent: int = PERCENT):
 
 def frequent(docs: DataFrame, k: int, doc_id: str, text: str) -> np.ndarray:
     """Sorted shingles that at least FREQUENT of a sample's documents have, of different sets; bounded by the sample."""
-    rows = docs.select(text, F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.length(text)).alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()
+    rows = sampled(docs, [text], SAMPLE_ROWS, doc_id)
     sets = {s.tobytes(): s for _, _, t in slices(pa.array([r[0] for r in rows], pa.large_string())) for s in shingle_sets(t, k)}
     if not sets:
         return np.zeros(0, np.uint64)
@@ -111,14 +116,14 @@ def _key(doc_id: str, text: str):
 
 
 def scan(docs: DataFrame, late: np.ndarray, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, key, n, set (16 bytes that name the set), prefix (candidate shingles in order), sig."""
+    """Per row: doc_id, key, n, set (16 bytes that name the set), prefix (candidate shingles in order)."""
     source = docs.select(F.col(doc_id).alias("doc_id"), _key(doc_id, text).alias("key"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, texts in slices(batch.column(2)):
                 sets = shingle_sets(texts, k)
-                names, prefix, sigs = [], [], []
+                names, prefix = [], []
                 for s in sets:
                     names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     n = len(s)
@@ -128,17 +133,16 @@ def scan(docs: DataFrame, late: np.ndarray, k: int, percent: int, doc_id: str, t
                         order = np.concatenate([s[~hot], s[hot]]) if hot.any() else s
                     else:
                         order = s
-                    prefix.append(order[: n - least_size(n, percent) + 1 if n else 0].view(np.int64))
-                    sigs.append(signature(s) if n else b"")
+                    prefix.append(order[: n - least_size(n, percent) + -(-EXTRA * n // 100)].view(np.int64))
                 ends = np.cumsum([0] + [len(p) for p in prefix]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "key", "n", "set", "prefix", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), lists], names=["doc_id", "key", "n", "set", "prefix"])
 
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, key binary, n long, set binary, prefix array<long>, sig binary")
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, key binary, n long, set binary, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(cid, values) for the rows of docs that wanted (cid, key) names: read again, screened by a bit table of fixed size."""
+    """(cid, values, sig) for the rows of docs that wanted (cid, key) names: read again, screened by a bit table of fixed size."""
     bit = F.shiftrightunsigned(F.xxhash64("key"), 64 - TABLE_BITS)
     words = wanted.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(key), {64 - TABLE_BITS}) & 63 as int))")).alias("v"))
     held = np.zeros(1 << TABLE_BITS - 6, np.int64)
@@ -153,31 +157,32 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str)
             for i, j, texts in slices(part.column(1)):
                 sets = shingle_sets(texts, k)
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "values"])
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))), pa.array([signature(v) for v in sets], pa.binary())], names=["key", "values", "sig"])
 
-    found = source.mapInArrow(run, "key binary, values array<long>")
-    return found.join(wanted, "key").dropDuplicates(["key"]).select("cid", "values")
+    found = source.mapInArrow(run, "key binary, values array<long>, sig binary")
+    return found.join(wanted, "key").dropDuplicates(["key"]).select("cid", "values", "sig")
 
 
 def _signatures(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def link_tile(cid: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smallest cid of each part, other cid) of a tile's connected parts; sets already joined aren't compared."""
+def link_tile(cid: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest cid of each part, other cid) of a tile's connected parts; sets already joined (of equal `joined`) aren't compared."""
     order = np.lexsort((cid, [len(s) for s in sets]))
     cid, sets = cid[order], [sets[i] for i in order]
     n = np.array([len(s) for s in sets])
     sigs = [np.frombuffer(signature(s), np.uint64) for s in sets]
-    part = np.arange(len(cid))
+    widths = np.array([len(s) for s in sigs])
+    part = np.arange(len(cid)) if joined is None else np.unique(joined[order], return_inverse=True)[1]
     by_width: dict[int, np.ndarray] = {}
     for j in range(1, len(cid)):
         low = int(np.searchsorted(n[:j], least_size(int(n[j]), percent)))
         if low == j:
             continue
-        width = len(sigs[low])
-        if width not in by_width or len(by_width[width]) < j:
-            lo = int(np.searchsorted([len(s) for s in sigs], width))
+        width = int(widths[low])
+        if width not in by_width:
+            lo = int(np.searchsorted(widths, width))
             by_width[width] = np.stack([np.zeros(width, np.uint64)] * lo + [fold(s, width) for s in sigs[lo:]])
         table = by_width[width]
         apart = np.bitwise_count(table[low:j] ^ table[j]).sum(1)
@@ -190,40 +195,47 @@ def link_tile(cid: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -
             if linked(sets[near[0]], sets[j], percent):
                 part[part == part[j]] = part[near[0]]
             near = near[1:]
-    first = np.full(len(cid), np.iinfo(np.int64).max)
+    first = np.full(int(part.max(initial=0)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, part, cid)
     low = first[part]
     return low[low != cid], cid[low != cid]
 
 
-def tile_pairs(cid: np.ndarray, part: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], guest: np.ndarray, side: np.ndarray | None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a banded tile between different parts that sizes and signatures let pass."""
+def tile_pairs(cid: np.ndarray, part: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], guest: np.ndarray, side: np.ndarray | None, percent: int = PERCENT) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """What sizes and signatures let pass between different parts of a banded tile: nearest pairs that would join the
+    parts, at most one fewer than there are parts; and the cids of all sets that have any such partner."""
     order = np.lexsort((cid, n))
-    cid, part, n, guest, sigs = cid[order], part[order], n[order], guest[order], [sigs[i] for i in order]
+    cid, n, guest, sigs = cid[order], n[order], guest[order], [sigs[i] for i in order]
+    part = np.unique(part[order], return_inverse=True)[1]
     side = side[order] if side is not None else None
     width = min(len(s) for s in sigs)
     table = np.stack([fold(s, width) for s in sigs])
-    left, right = [], []
+    tree, pairs, met = np.arange(int(part.max()) + 1), [], np.zeros(len(cid), bool)
     for j in range(1, len(cid)):
         low = int(np.searchsorted(n[:j], least_size(int(n[j]), percent)))
         ok = (part[low:j] != part[j]) & ~(guest[low:j] & guest[j])
         if side is not None:
             ok &= side[low:j] != side[j]
         at = low + np.flatnonzero(ok)
+        if not len(at):
+            continue
+        apart = np.bitwise_count(table[at] ^ table[j]).sum(1)
+        pass_ = apart <= most_apart(n[at] + n[j], percent)
+        at, apart = at[pass_], apart[pass_]
         if len(at):
-            apart = np.bitwise_count(table[at] ^ table[j]).sum(1)
-            at = at[apart <= most_apart(n[at] + n[j], percent)]
-            left.append(np.minimum(cid[at], cid[j]))
-            right.append(np.maximum(cid[at], cid[j]))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+            met[at] = met[j] = True
+            at = at[np.argsort(apart, kind="stable")]
+            while len(at := at[tree[part[at]] != tree[part[j]]]):
+                pairs.append((int(min(cid[at[0]], cid[j])), int(max(cid[at[0]], cid[j]))))
+                tree[tree == tree[part[j]]] = tree[part[at[0]]]
+    return pairs, cid[met]
 
 
 def _tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links within (token, chunk) tiles of rows (token, cid, n)."""
     total = rows.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("m")).filter("m > 1")
     dealt = rows.join(total, "token").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.ceil(F.col("total") / TILE_SHINGLES)))
-    dealt = dealt.select("token", "chunk", "cid").join(sets, "cid")
+    dealt = dealt.select("token", "chunk", "cid").join(sets.select("cid", "values"), "cid")
 
     def run(table: pa.Table) -> pa.Table:
         cid = table.column("cid").combine_chunks().to_numpy()
@@ -235,26 +247,63 @@ def _tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("token", "chunk").applyInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(tiles: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) between different parts of all tiles, after size bands and signatures."""
+def _mixed(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, band, p, q, block, cid, n, part, guest, sig) of the tiles that still hold different parts, in bands and blocks."""
     rows = tiles.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("part"))
-    mixed = rows.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
+    # shingles with the very same sets give the same tile, told by two hashes of its members; one of them is enough
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"h{i}") for i in (0, 1)]
+    mixed = rows.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m"), *hashes).filter("x < y")
+    mixed = mixed.groupBy("m", "h0", "h1").agg(F.min("token").alias("token")).select("token")
     rows = stored(rows.join(mixed, "token"), "mixed")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     banded = rows.withColumn("own", band).select("token", "cid", "n", "part", "own", F.explode(F.array("own", F.col("own") + 1)).alias("band")).withColumn("guest", F.col("own") != F.col("band"))
-    sizes = banded.groupBy("token", "band").agg(F.count("*").alias("m"), F.min("part").alias("x"), F.max("part").alias("y"), F.min("guest").alias("g")).filter("x < y and not g")
-    dealt = banded.join(sizes, ["token", "band"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    sizes = banded.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("part").alias("x"), F.max("part").alias("y"), F.min("guest").alias("g")).filter("x < y and not g")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / (TILE_SHINGLES // 2)))
+    dealt = banded.join(sizes.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("token", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "n", "part", "guest")
-    dealt = dealt.join(classes.select("cid", "sig"), "cid")
+    return dealt.join(sets.select("cid", "sig"), "cid")
+
+
+_GROUP = ["token", "band", "p", "q"]
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _passed(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    block = _column(table, "block")
+    return tile_pairs(_column(table, "cid"), _column(table, "part"), _column(table, "n"), _signatures(table.column("sig").combine_chunks()), _column(table, "guest"), None if (block == block[0]).all() else block, percent)
+
+
+def _tree_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that would join each tile's parts."""
 
     def run(table: pa.Table) -> pa.Table:
-        get = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        block = get("block")
-        a, b = tile_pairs(get("cid"), get("part"), get("n"), _signatures(table.column("sig").combine_chunks()), get("guest"), None if (block == block[0]).all() else block, percent)
+        pairs, _ = _passed(table, percent)
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return mixed.groupBy(*_GROUP).applyInArrow(run, "a long, b long").distinct()
+
+
+def _last_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All that is left to link: the sets of a tile with any partner by signature, compared exactly in place."""
+
+    def screen(table: pa.Table) -> pa.Table:
+        cid, part = _column(table, "cid"), _column(table, "part")
+        keep = np.isin(cid, _passed(table, percent)[1])
+        one = lambda c: pa.array(np.full(int(keep.sum()), table.column(c)[0].as_py()), pa.int64())
+        return pa.table({**{c: one(c) for c in _GROUP}, "cid": cid[keep], "part": part[keep]})
+
+    def link(table: pa.Table) -> pa.Table:
+        values = pa.concat_arrays(table.column("values").chunks)
+        flat, ends = values.flatten().to_numpy().view(np.uint64), np.asarray(values.offsets) - values.offsets[0].as_py()
+        a, b = link_tile(_column(table, "cid"), [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], percent, _column(table, "part"))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("token", "band", "p", "q").applyInArrow(run, "a long, b long").distinct()
+    left = stored(mixed.groupBy(*_GROUP).applyInArrow(screen, "token long, band long, p long, q long, cid long, part long"), "left")
+    return left.join(sets.select("cid", "values"), "cid").groupBy(*_GROUP).applyInArrow(link, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,31 +322,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
+    spark = docs.sparkSession
     late = frequent(docs, k, doc_id, text)
     rows = stored(scan(docs, late, k, percent, doc_id, text), "scan")
-    classes = rows.filter("n > 0").groupBy("set").agg(F.min(F.struct("key", "n", "prefix", "sig")).alias("r"), F.min("doc_id").alias("least"))
-    classes = stored(classes.select("set", "r.*", "least", F.monotonically_increasing_id().alias("cid")), "classes")
-
-    from pyspark.sql import Window
-
-    tiles = classes.select("cid", "n", F.posexplode("prefix").alias("rank", "token"))
-    tiles = stored(tiles.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1").select("token", "cid", "n", "rank"), "tiles")
-
-    close = tiles.filter("rank < 2")
-    wanted = classes.select("cid", "key").join(close.select("cid").distinct(), "cid")
-    sets = stored(sets_of(docs, wanted, k, doc_id, text), "sets")
+    classes = rows.filter("n > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.min("doc_id").alias("least"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    # of rows that repeat a doc_id and text, all have the same prefix
+    prefix = rows.select("key", "prefix").join(classes.select("key", "cid"), "key").select("cid", F.posexplode("prefix").alias("rank", "token"))
+    tiles = prefix.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1").select("token", "cid", "rank").distinct()
+    tiles = stored(tiles.join(classes.select("cid", "n"), "cid"), "tiles")
+    release(spark)
+    # a partner has percent of the shingles at least, so of its share of EXTRA
+    enough = tiles.groupBy("cid", "n").agg(F.count("*").alias("m")).filter(F.col("m") * 10_000 >= F.col("n") * EXTRA * percent).select("cid")
+    enough = stored(enough, "enough")
+    tiles = tiles.join(enough, "cid")
+
+    sets = stored(sets_of(docs, classes.select("cid", "key").join(enough, "cid"), k, doc_id, text), "sets")
+    close = tiles.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("rank", "token"))).filter("nth = 1")
     edges = stored(_tile_links(close, sets, percent), "edges")
+    release(spark)
     labels = components(edges)
 
-    pairs = stored(_cross_pairs(tiles, labels, classes, percent), "pairs")
-    if not pairs.isEmpty():
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        more = stored(sets_of(docs, classes.select("cid", "key").join(ids, "cid"), k, doc_id, text), "sets")
-        extra = stored(_verified(pairs, more, percent), "edges")
+    for last in (False,) * ROUNDS + (True,):
+        mixed = _mixed(tiles, labels, sets, percent)
+        extra = _last_links(mixed, sets, percent) if last else _verified(_tree_pairs(mixed, percent), sets, percent)
+        extra = stored(extra, "edges")
+        release(spark)
         if not extra.isEmpty():
             # links between parts, on top of each part's own
             star = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            edges = edges.unionByName(extra)
             labels = components(star.unionByName(extra))
 
     part = classes.select("cid", "set", "least").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

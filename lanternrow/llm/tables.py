@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +35,20 @@ def stored(df: DataFrame, kind: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_columns(schema, *more: tuple[str, str]):
-    """A schema of (name, type) pairs, put before further columns of the operator."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    out = StructType(list(schema))
-    for name, kind in more:
-        out = out.add(name, _parse_datatype_string(kind))
-    return out
+
+def sampled(docs: DataFrame, columns: list[str], most: int, doc_id: str = "doc_id") -> list:
+    """The rows, over columns, of the `most` doc_ids of smallest hash; a row for each doc_id. Null doc_ids aren't drawn.
+
+    Only hashes are ranked; texts come to the driver for the chosen rows alone.
+    """
+    hashed = docs.filter(F.col(doc_id).isNotNull()).withColumn("__h", F.xxhash64(F.col(doc_id).cast("string")))
+    last = hashed.select("__h").distinct().orderBy("__h").limit(most).agg(F.max("__h")).first()[0]
+    if last is None:
+        return []
+    rows = hashed.filter(F.col("__h") <= last).groupBy("__h").agg(F.min(F.struct(*columns)).alias("r")).orderBy("__h")
+    return [x["r"] for x in rows.collect()]
