@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,5 +28,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     for r in found:
         if r.doc_id not in best or r.text < best[r.doc_id][0]:
             best[r.doc_id] = (r.text, r.label)
-    pairs = [best[k] for k in sorted(best, key=lambda k: hash((k, 0x5F3759DF)))]
+    pairs = [best[k] for k in sorted(best, key=lambda k: (zlib.crc32(repr(k).encode()), k))]
     return [t for t, _ in pairs], [y for _, y in pairs]
