@@ -11,7 +11,7 @@ from ..operators import questions as Q
 from ..operators import runs as R
 from ..operators import trees as TR
 from ..sources import files as S
-from .base import load, values_sql
+from .base import load
 
 QUERIES, SQL = {}, {}
 
