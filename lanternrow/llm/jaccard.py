@@ -27,7 +27,7 @@ that is not null. Rows that repeat are copies.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -235,16 +235,59 @@ def _tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links within (token, chunk) tiles of rows (token, cid, n)."""
     total = rows.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("m")).filter("m > 1")
     dealt = rows.join(total, "token").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.ceil(F.col("total") / TILE_SHINGLES)))
-    dealt = dealt.select("token", "chunk", "cid").join(sets.select("cid", "values"), "cid")
+    dealt = dealt.select("token", "chunk", "cid").join(sets.select("cid", "values"), "cid").select("token", "chunk", "cid", "values")
 
-    def run(table: pa.Table) -> pa.Table:
-        cid = table.column("cid").combine_chunks().to_numpy()
-        values = pa.concat_arrays(table.column("values").chunks)
-        flat, ends = values.flatten().to_numpy().view(np.uint64), np.asarray(values.offsets) - values.offsets[0].as_py()
-        a, b = link_tile(cid, [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(tile: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return link_tile(np.asarray(tile.column(2)), _sets(tile.column(3)), percent)
 
-    return dealt.groupBy("token", "chunk").applyInArrow(run, "a long, b long").distinct()
+    return _by_tile(dealt, 2, run).distinct()
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy().view(np.uint64), np.asarray(column.offsets) - column.offsets[0].as_py()
+    return [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The runs of rows that are alike in the first `keys` columns; one run is held in memory."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([np.asarray(batch.column(k)) for k in range(keys)])
+        if held and any(held[-1].column(k)[-1].as_py() != own[k, 0] for k in range(keys)):
+            yield pa.concat_batches(held)
+            held = []
+        cuts = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _by_tile(rows: DataFrame, keys: int, work: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """work's long columns for each tile, that is, rows alike in the first `keys` columns, brought together and sorted by them.
+
+    Tiles are cut from a stream of batches, so that small ones cost little.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for tile in _tiles(batches, keys):
+            if len((got := work(tile))[0]):
+                out.append(got)
+                size += len(got[0])
+            if size > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=list(names))
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=list(names))
+
+    by = rows.columns[:keys]
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _mixed(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,48 +305,39 @@ def _mixed(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     dealt = banded.join(sizes.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("token", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "n", "part", "guest")
-    return dealt.join(sets.select("cid", "sig"), "cid")
-
-
-_GROUP = ["token", "band", "p", "q"]
-
-
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+    return dealt.join(sets.select("cid", "sig"), "cid").select("token", "band", "p", "q", "block", "cid", "n", "part", "guest", "sig")
 
 
-def _passed(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    block = _column(table, "block")
-    return tile_pairs(_column(table, "cid"), _column(table, "part"), _column(table, "n"), _signatures(table.column("sig").combine_chunks()), _column(table, "guest"), None if (block == block[0]).all() else block, percent)
+def _passed(tile: pa.RecordBatch, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    block, cid, n, part, guest = (tile.column(k).to_numpy(zero_copy_only=False) for k in range(4, 9))
+    return tile_pairs(cid, part, n, _signatures(tile.column(9)), guest, None if (block == block[0]).all() else block, percent)
 
 
 def _tree_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that would join each tile's parts."""
 
-    def run(table: pa.Table) -> pa.Table:
-        pairs, _ = _passed(table, percent)
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+    def run(tile: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        pairs = np.array(_passed(tile, percent)[0], np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
 
-    return mixed.groupBy(*_GROUP).applyInArrow(run, "a long, b long").distinct()
+    return _by_tile(mixed, 4, run).distinct()
 
 
 def _last_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All that is left to link: the sets of a tile with any partner by signature, compared exactly in place."""
 
-    def screen(table: pa.Table) -> pa.Table:
-        cid, part = _column(table, "cid"), _column(table, "part")
-        keep = np.isin(cid, _passed(table, percent)[1])
-        one = lambda c: pa.array(np.full(int(keep.sum()), table.column(c)[0].as_py()), pa.int64())
-        return pa.table({**{c: one(c) for c in _GROUP}, "cid": cid[keep], "part": part[keep]})
+    def screen(tile: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        met = _passed(tile, percent)[1]
+        if not len(met):
+            return (met,)
+        keep = np.isin(np.asarray(tile.column(5)), met)
+        return tuple(np.asarray(tile.column(k))[keep] for k in (0, 1, 2, 3, 5, 7))
 
-    def link(table: pa.Table) -> pa.Table:
-        values = pa.concat_arrays(table.column("values").chunks)
-        flat, ends = values.flatten().to_numpy().view(np.uint64), np.asarray(values.offsets) - values.offsets[0].as_py()
-        a, b = link_tile(_column(table, "cid"), [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], percent, _column(table, "part"))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def link(tile: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return link_tile(np.asarray(tile.column(4)), _sets(tile.column(6)), percent, np.asarray(tile.column(5)))
 
-    left = stored(mixed.groupBy(*_GROUP).applyInArrow(screen, "token long, band long, p long, q long, cid long, part long"), "left")
-    return left.join(sets.select("cid", "values"), "cid").groupBy(*_GROUP).applyInArrow(link, "a long, b long").distinct()
+    left = stored(_by_tile(mixed, 4, screen, ("token", "band", "p", "q", "cid", "part")), "left")
+    return _by_tile(left.join(sets.select("cid", "values"), "cid").select("token", "band", "p", "q", "cid", "part", "values"), 4, link).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
