@@ -60,11 +60,13 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_key, doc_key, score of every pair with a term in common; statistics are of all docs."""
     asked = query_terms(queries, query_key, query_text)
-    wanted = small(asked.select("term").distinct())
-    stats = collection_stats(docs, text)
-    # only postings of asked terms are kept, before anything is shuffled
+    # the empty term stands in every text once, so that one pass gives postings and the texts' lengths
+    wanted = small(asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string")))
     rows = docs.select(doc_key, tokens(F.col(text)).alias("t")).withColumn("len", F.size("t"))
-    post = rows.select(doc_key, "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
+    rows = rows.select(doc_key, "len", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).filter("term is not null")
+    # only postings of asked terms are kept, before anything is shuffled
+    post = rows.join(wanted, "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
+    stats = post.agg(F.count_if(F.col("term") == "").alias("n"), F.avg(F.when(F.col("term") == "", F.col("len"))).alias("avg_len"))
     terms = term_stats(post, stats)
     norm = F.when(F.col("avg_len") == 0, F.lit(1.0)).otherwise(F.col("len") / F.col("avg_len"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))
