@@ -68,8 +68,8 @@ def shingle_sets(texts: Texts, k: int = K) -> list[np.ndarray]:
 
 
 def signature(values: np.ndarray) -> bytes:
-    """Parity bits of the hashes, at least 4 a shingle, a power of two from 64 up."""
-    bits = 1 << max(6, int(4 * len(values) - 1).bit_length())
+    """Parity bits of the hashes, one to two a shingle, a power of two from 64 up."""
+    bits = 1 << max(6, int(len(values) - 1).bit_length())
     place = (mix(values ^ _U(0x7F4A7C15)) & _U(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1).tobytes()
 
