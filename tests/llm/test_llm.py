@@ -344,6 +344,32 @@ def test_lm(spark):
     assert lm.score_documents(table(spark, []), path, F.col("doc_id") >= 0).count() == 0
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    import numpy as np
+
+    from lanternrow.llm import lm
+    from lanternrow.llm.tables import sampled
+
+    path, train = P.path("byte_bpe_multi_50k.tiktoken"), F.coalesce(F.col("doc_id") > 0, F.lit(False))
+    monkeypatch.setattr(lm, "TRAIN_ROWS", 5)
+    r = random.Random(8)
+    plain = ["delta echo delta"] + [" ".join(r.choice(["alpha", "beta"]) for _ in range(30)) for _ in range(40)]
+    drawn = {x[0] for x in sampled(table(spark, plain).filter(train), ["doc_id"], 5)}
+    other = [t if i in drawn or i == 0 else " ".join(r.choice(["delta", "echo"]) for _ in range(30)) for i, t in enumerate(plain)]
+    a, b = ({x.doc_id: x.score for x in lm.score_documents(table(spark, t), path, train).collect()} for t in (plain, other))
+    assert b[0] > a[0] + 1
+
+    blocks = lm._blocks(table(spark, other + [None]), "doc_id", "text", train, path)
+    pieces, pairs, windows = lm.Pieces(path), collections.Counter(), 0
+    for t in [*other[1:], ""]:
+        ids = [i for w in low(t) for i in np.frombuffer(pieces.known[w], np.uint16).tolist()] + [lm.END]
+        pairs.update(zip([lm.END, *ids[:-1]], ids, strict=True))
+        windows += -(-len(ids) // lm.STRIDE)
+    got = lm.id_pairs(blocks)
+    assert {(int(i), int(j)): int(got[i, j]) for i, j in zip(*np.nonzero(got), strict=True)} == pairs
+    assert lm.learn(blocks, lm.fit([], pieces, got)) == windows
+
+
 def test_lm_gradients_windows_and_normalisation():
     import numpy as np
 
