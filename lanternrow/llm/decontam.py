@@ -2,7 +2,10 @@
 
 A text becomes a template: words in lower case, with numbers, units after a number, and names
 (capitalised words inside a sentence) replaced by typed placeholders, word for word. Every window
-of WINDOW template words of an item is hash-joined with every such window of the documents. Hits
+of WINDOW template words of an item is hash-joined with every such window of the documents. So are
+the plain words at the same places, without case and punctuation: names are told by case, so a copy
+in other case has another template. An item's window is met by its template or its plain words.
+Marks inside words part them, but an item is also tried as if they weren't there. Hits
 are grouped by document, item and alignment (document position less item position); an alignment
 counts only if its slots are consistent, that is, each of the item's slot values stands for one
 value of the document. A document holds an item if at least `least` of the
@@ -46,14 +49,24 @@ def template_words(raw: Column) -> Column:
     return F.regexp_replace(out, rf"(?<=<n> )(?:{UNITS})(?![^ ])", "<u>")
 
 
-def _windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, raw (all words), at, hash of each window."""
-    words = df.select(F.col(key).alias("key"), raw_words(F.col(text)).alias("raw")).filter("raw <> ''")
-    words = words.select("key", "raw", F.split(template_words(F.col("raw")), " ").alias("words"))
+def plain_words(raw: Column) -> Column:
+    """raw_words without marks, as many words."""
+    return F.replace(F.regexp_replace(raw, "[@.,]", ""), F.lit("ß"), F.lit("ss"))
+
+
+def _windows(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """key, raw (all words), at, hash, plain (hash of the plain words) of each window, and more."""
+    words = df.select(F.col(key).alias("key"), raw_words(F.col(text)).alias("raw"), *more).filter("raw <> ''")
+    words = words.select("key", "raw", F.split(template_words(F.col("raw")), " ").alias("words"), F.split(plain_words(F.col("raw")), " ").alias("plain"), *more)
     n = F.size("words")
     starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array(F.lit(0)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("words", i + 1, WINDOW)))
-    return words.select("key", "raw", F.posexplode(hashes).alias("at", "hash"))
+    hashes = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("words", i + 1, WINDOW)).alias("hash"), F.xxhash64(F.slice("plain", i + 1, WINDOW)).alias("plain")))
+    return words.select("key", "raw", F.posexplode(hashes).alias("at", "h"), *more).select("key", "raw", "at", "h.*", *more)
+
+
+def _either() -> Column:
+    """The different ones of a window's two hashes, a row each."""
+    return F.explode(F.when(F.col("hash") == F.col("plain"), F.array("hash")).otherwise(F.array("hash", "plain"))).alias("by")
 
 
 def _slots(raw: Column, at: Column) -> Column:
@@ -61,34 +74,39 @@ def _slots(raw: Column, at: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item_at, hash, item_raw (the window's own words), n_windows (different ones of the item)."""
-    rows = _windows(benchmark, item_id, text).select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "hash", _slots(F.col("raw"), F.col("at")).alias("item_raw"), F.col("raw").alias("item"))
+    """item_id, form (0 as it is, 1 without marks inside words), item_at, hash, plain, item_raw (the window's own words), n_windows (different ones of the form)."""
+    bare = F.regexp_replace(text, r"(?<=[\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}\s]+(?=[\p{L}\p{M}\p{N}])", "")
+    forms = benchmark.select(F.col(item_id).alias("item_id"), F.posexplode(F.array_distinct(F.array(F.col(text), bare))).alias("form", "text"))
+    rows = _windows(forms, "item_id", "text", "form").select(F.col("key").alias("item_id"), "form", F.col("at").alias("item_at"), "hash", "plain", _slots(F.col("raw"), F.col("at")).alias("item_raw"))
     shown = F.split(template_words(F.array_join("item_raw", " ")), " ")
     rows = rows.withColumn("literal", F.size(F.filter(shown, lambda w: ~w.rlike("^<[nup]>$"))) >= LITERALS)
-    total = rows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("literal"), F.col("hash"))).alias("literals"), F.countDistinct("hash").alias("all"))
-    rows = rows.join(total, rows["item_id"].eqNullSafe(total["item_id"])).drop(total["item_id"])
+    total = rows.groupBy("item_id", "form").agg(F.countDistinct(F.when(F.col("literal"), F.col("hash"))).alias("literals"), F.countDistinct("hash").alias("all"))
+    rows = rows.join(total, rows["item_id"].eqNullSafe(total["item_id"]) & (rows["form"] == total["form"])).drop(total["item_id"], total["form"])
     rows = rows.filter("literal or literals = 0")
-    return rows.select("item_id", "item_at", "hash", "item_raw", F.when(F.col("literals") > 0, F.col("literals")).otherwise(F.col("all")).alias("n_windows"))
+    return rows.select("item_id", "form", "item_at", "hash", "plain", "item_raw", F.when(F.col("literals") > 0, F.col("literals")).otherwise(F.col("all")).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document and item that it holds: doc_id, item_id, n_met, n_windows, reparameterised."""
-    items = stored(item_windows(benchmark), "items")
+    items = stored(item_windows(benchmark).select("item_id", "form", "item_at", "hash", "item_raw", "n_windows", _either()), "items")
     side = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    rows = _windows(docs, doc_id, text)
-    hits = rows.join(side, "hash").select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "hash", "item_raw", "n_windows", _slots(F.col("raw"), F.col("at")).alias("doc_raw"))
+    rows = _windows(docs, doc_id, text).select("key", "raw", "at", _either())
+    hits = rows.join(side, "by").select("key", "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift"), "hash", "item_raw", "n_windows", _slots(F.col("raw"), F.col("at")).alias("doc_raw"))
     # words that differ under one template are slots, those alike need no check but for being taken twice
     pairs = F.arrays_zip(F.col("item_raw").alias("i"), F.col("doc_raw").alias("d"))
-    slots = F.filter(F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))), lambda p: (p["i"] != p["d"]) | p["i"].rlike("^[@\\p{N}]"))
-    lined = hits.select("key", "item_id", "shift", "hash", "n_windows", slots.alias("slots")).groupBy("key", "item_id", "shift").agg(
+    slots = F.filter(F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), plain_words(p["d"]).alias("d"))), lambda p: (plain_words(p["i"]) != p["d"]) | p["i"].rlike("^[@\\p{N}]"))
+    lined = hits.select("key", "item_id", "form", "shift", "hash", "n_windows", slots.alias("slots")).groupBy("key", "item_id", "form", "shift").agg(
         F.collect_set("hash").alias("met"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     lined = lined.filter(F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots"))
-    changed = F.exists("slots", lambda p: p["i"] != p["d"])
-    found = lined.select("key", "item_id", "n_windows", "met", changed.alias("changed")).groupBy("key", "item_id").agg(
+    changed = F.exists("slots", lambda p: plain_words(p["i"]) != p["d"])
+    found = lined.select("key", "item_id", "form", "n_windows", "met", changed.alias("changed")).groupBy("key", "item_id", "form").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("met")))).cast("long").alias("n_met"), F.max("n_windows").alias("n_windows"), F.max("changed").alias("reparameterised")
     )
-    return found.filter(F.col("n_met") >= F.lit(least) * F.col("n_windows")).withColumnRenamed("key", "doc_id")
+    found = found.filter(F.col("n_met") >= F.lit(least) * F.col("n_windows"))
+    # of an item's forms, the one as it is comes first
+    best = found.groupBy("key", "item_id").agg(F.min(F.struct("form", "n_met", "n_windows", "reparameterised")).alias("r"))
+    return best.select(F.col("key").alias("doc_id"), "item_id", "r.n_met", "r.n_windows", "r.reparameterised")
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

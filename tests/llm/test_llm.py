@@ -261,6 +261,16 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in verdicts(table(spark, docs), bench.limit(0)).collect()) and verdicts(table(spark, []), bench).count() == 0
 
 
+def test_decontamination_in_other_case_and_without_punctuation(spark):
+    from lanternrow.llm.decontam import verdicts
+
+    item = "In 1990 Tom's well-known aunt Ada Berg, of Graz, paid 1,250.50 EUR; then Max (her son) paid 40 EUR more to Eva Holm in Bonn"
+    bare = "".join(c for c in item if c.isalnum() or c == " ")
+    docs = ["so it was. " + t + " and on it went" for t in (item, item.upper(), item.title(), item.lower(), bare, bare.upper())] + ["so it was. in 1990 the aunt paid more to eva"]
+    got = [r.doc_id for r in verdicts(table(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).filter("contaminated").collect()]
+    assert sorted(got) == [0, 1, 2, 3, 4, 5]
+
+
 def test_decontamination_slots_by_brute_force(spark):
     from lanternrow.llm.decontam import raw_words, template_words
 
