@@ -304,6 +304,18 @@ def _(spark, d):
     return Q.merge_reviewers(l.filter("at % 97 = 0"), l.filter("at % 89 = 1 and cast(draft_id as int) % 2 = 0"))
 
 
+#: The whole log, without SQL: the recursive stack is too slow there, and the queries with SQL keep their rows.
+@query("decision_replay_whole")
+def _(spark, d):
+    return Q.replay(_log(spark, d)).select("draft_id", "action", F.col("at").alias("last_at"))
+
+
+@query("merge_reviewers_whole")
+def _(spark, d):
+    l = _log(spark, d).filter("action <> 'undo'")
+    return Q.merge_reviewers(l.filter("log <> 0"), l.filter("log = 0"))
+
+
 @query("next_item", "WITH dr AS (SELECT p_partkey AS id, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS draft_id, p_brand AS regime, CAST(p_size % 3 AS VARCHAR) AS qtype FROM part), de AS (SELECT draft_id, CASE WHEN id % 2 = 0 THEN 'accept' ELSE 'reject' END AS action FROM dr WHERE id % 3 = 0), f AS (SELECT regime, qtype, count(*) AS filled FROM de JOIN dr USING (draft_id) WHERE action = 'accept' GROUP BY ALL) SELECT draft_id, regime, qtype FROM dr LEFT JOIN f USING (regime, qtype) WHERE draft_id NOT IN (SELECT draft_id FROM de) ORDER BY id % 5 = 1, CASE WHEN id % 5 = 1 THEN id ELSE 0 END, coalesce(filled, 0), draft_id LIMIT 1")
 def _(spark, d):
     dr = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("draft_id"), F.col("p_brand").alias("regime"), (F.col("p_size") % 3).cast("string").alias("qtype"))

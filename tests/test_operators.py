@@ -1,5 +1,6 @@
 """Golden rows and edge cases of single operators."""
 
+import random
 from datetime import date
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lanternrow.functions import hashing, text, values
 from lanternrow.operators import arms, metrics, questions, retrieval, runs, trees
+from lanternrow.plans.registry import QUERIES as PLANS
 from lanternrow.sources import files, services
 
 
@@ -72,6 +74,28 @@ def test_replay_takes_back_the_last_entry_of_any_draft(spark):
     assert {(r.draft_id, r.action) for r in questions.replay(log).collect()} == {("a", "accept"), ("c", "accept"), ("d", "accept")}
 
 
+def test_whole_log_by_brute_force(spark, tmp_path):
+    r = random.Random(3)
+    kinds = {"error": "undo", "purchase": "accept", "view": "reject"}
+    events = [(i, r.randrange(200), r.choice(list(kinds))) for i in range(3000)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    stacks, ruled, said = {}, {}, {}
+    for i, user, kind in events:
+        draft, action, stack = str(user % 20), kinds[kind], stacks.setdefault(user % 3, [])
+        if action == "undo":
+            del stack[-1:]
+            continue
+        stack.append((i, draft, action))
+        if user % 3:
+            said.setdefault(draft, []).append(action)
+        else:
+            ruled[draft] = action
+    last = {draft: (action, i) for i, draft, action in sorted(x for s in stacks.values() for x in s)}
+    assert {x.draft_id: (x.action, x.last_at) for x in PLANS["decision_replay_whole"](spark, str(tmp_path)).collect()} == last
+    merged = {d: ruled.get(d) or (said[d][-1] if len(set(said[d])) == 1 else None) for d in ruled.keys() | said.keys()}
+    assert {x.draft_id: x.action for x in PLANS["merge_reviewers_whole"](spark, str(tmp_path)).collect()} == merged
+
+
 def test_missing_price_raises(spark):
     calls = spark.createDataFrame([("q", "m", 1, 1, 1.0, False, None)], "qid string, model string, input_tokens int, output_tokens int, latency_s double, local boolean, parallel_group string")
     prices = spark.createDataFrame([("n", 1.0, 1.0)], "model string, input_per_m double, output_per_m double")
