@@ -215,8 +215,8 @@ def _(spark, d):
 def _(spark, d):
     from ..sources.services import best_page
 
-    own = pages(spark, d).filter("page <= 12")
-    wanted = own.filter("page % 4 = 2").select("doc_id", F.col("page").alias("mapped"), "text")
+    own = pages(spark, d)
+    wanted = own.select("doc_id", F.col("page").alias("mapped"), "text")
     return best_page(wanted, own).select("doc_id", "mapped", "page", F.round("ratio", 6).alias("ratio"))
 
 

@@ -96,6 +96,23 @@ def test_whole_log_by_brute_force(spark, tmp_path):
     assert {x.draft_id: x.action for x in PLANS["merge_reviewers_whole"](spark, str(tmp_path)).collect()} == merged
 
 
+def test_all_pages_are_verified_and_checked(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    r = random.Random(6)
+    docs = [(i, "en", "\n".join(" ".join(r.choice(["ab", "cd", "ef", "gh"]) for _ in range(r.randrange(0, 9))) for _ in range(n))) for i, n in enumerate([1, 5, 17])]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, facts = {}, {}
+    for i, _, t in docs:
+        lines = t.split("\n")
+        for m, line in enumerate(lines):
+            near = [(SequenceMatcher(None, line, lines[k], autojunk=False).ratio(), -k) for k in range(max(0, m - 2), min(len(lines), m + 3))]
+            want[i, m + 1] = 1 - max(near)[1], round(max(near)[0], 6)
+            facts[i, m + 1] = i % 2 == 0 and len(line.split()[1:6]) >= 3
+    assert {(x.doc_id, x.mapped): (x.page, x.ratio) for x in PLANS["page_verify"](spark, str(tmp_path)).collect()} == want
+    assert {(x.doc_id, x.page): x.quote_ok for x in PLANS["checked_facts_whole"](spark, str(tmp_path)).collect()} == facts
+
+
 def test_missing_price_raises(spark):
     calls = spark.createDataFrame([("q", "m", 1, 1, 1.0, False, None)], "qid string, model string, input_tokens int, output_tokens int, latency_s double, local boolean, parallel_group string")
     prices = spark.createDataFrame([("n", 1.0, 1.0)], "model string, input_per_m double, output_per_m double")
