@@ -19,9 +19,11 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new path in spark.checkpoint.dir, which the whole cluster shares; set here only where unset."""
+    """A new path in spark.checkpoint.dir, which the whole cluster shares; set here only where unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         root = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -41,6 +43,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Ids up to which a set of dropped rows is broadcast; beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column); null is in ids if it is there. Columns as they are, of any name."""
+    gone = stored(ids.distinct().toDF("gone"), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left, right = docs.alias("docs"), side.alias("ids")
+    return left.join(right, F.col(f"docs.`{doc_id}`").eqNullSafe(F.col("ids.gone")), "left_anti")
+
+
 def sampled(docs: DataFrame, columns: list[str], most: int, doc_id: str = "doc_id") -> list:
     """The rows, over columns, of the `most` doc_ids of smallest hash; a row for each doc_id. Null doc_ids aren't drawn.
 

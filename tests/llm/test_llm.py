@@ -255,9 +255,9 @@ def test_decontamination(spark):
     ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.contaminated, list(r.item_ids)) for r in verdicts(table(spark, docs), bench).collect()}
-    assert {i for i, v in got.items() if v[0]} == {0, 1, 3} and got[0][1] == [1] and got[3][1] == [2] and len(got) == len(docs)
+    assert {i for i, v in got.items() if v[0]} == {0, 1, 3, 4} and got[0][1] == [1] and got[3][1] == [2] and len(got) == len(docs)
     kept = drop_contaminated(table(spark, docs), bench)
-    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", ") and kept.count() == len(docs) - 3
+    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", ") and kept.count() == len(docs) - 4
     assert not any(r.contaminated for r in verdicts(table(spark, docs), bench.limit(0)).collect()) and verdicts(table(spark, []), bench).count() == 0
 
 
@@ -271,12 +271,66 @@ def test_decontamination_in_other_case_and_without_punctuation(spark):
     assert sorted(got) == [0, 1, 2, 3, 4, 5]
 
 
-def test_decontamination_slots_by_brute_force(spark):
+def test_decontamination_templates(spark):
     from lanternrow.llm.decontam import raw_words, template_words
 
     df = spark.createDataFrame([("In Rome 3.5 kg, 7 of Tom's 1,000 EUR. Then",)], "t string").select(raw_words(F.col("t")).alias("r"))
     r, t = df.select("r", template_words(F.col("r"))).first()
-    assert r == "in @rome 3.5 kg 7 of @tom s 1,000 @eur then" and t == "in <p> <n> <u> <n> of <p> s <n> <p> then"
+    assert r == "@@in @rome 3.5 kg 7 of @tom s 1,000 @eur @@then" and t == "in <p> <n> <u> <n> of <p> s <n> <p> then"
+
+
+def reparameterised(r, n):
+    """Items with names (also first in a sentence or line), numbers and units, and copies of them with others."""
+    plain = [f"w{x}{y}" for x in "abcdefghij" for y in "klmnopqrst"]
+    items, copies = [], []
+    for _ in range(n):
+        text, twin, names = [], [], [("Anna", "Olaf"), ("Bruno", "Petra"), ("Clara", "Quinn")]
+        for line in range(3):
+            a, b = names[line], names[(line + 1) % 3]
+            k, m, w = r.randrange(10, 99), r.randrange(100, 999), [r.choice(plain) for _ in range(12)]
+            make = lambda j: f"{a[j]} {' '.join(w[:6])} {(k, m)[j]} {('km', 'miles')[j]} {' '.join(w[6:])} to {b[j]}."  # noqa: B023, E731
+            text.append(make(0)), twin.append(make(1))
+        items.append("\n".join(text)), copies.append("\n".join(twin))
+    return items, copies
+
+
+def test_decontamination_by_brute_force(spark, monkeypatch):
+    import re
+
+    from lanternrow.llm import decontam as D
+
+    r = random.Random(6)
+    items, copies = reparameterised(r, 30)
+    items += ["Just Four plain words", "two words", "12 34 56 78 90 11", "a_b c.d", "ab ab ab ab ab ab ab"]
+    v = [f"w{x}{y}" for x in "abcdefghij" for y in "klmnopqrst"]
+    fill = lambda: " ".join(r.choice(v) for _ in range(40)) + "."
+    docs = [f"{fill()} {t}\n{fill()}" for t in items + copies] + [fill() * 2 for _ in range(20)]
+    for t in items[:30]:
+        w = t.split()
+        for gone in (2, 4, 6, 9, 14):
+            x = w[:]
+            for _ in range(gone):
+                x[r.randrange(len(x))] = "zzz"
+            docs.append(fill() + " " + " ".join(x))
+    docs += ["two words", "Two: words!", "two words more", "!" * 100_000, "b c.d a b c d", "1,5 " * 30_000, None, "", "ab " * 50]
+    df, bench = table(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_met, x.n_windows) for x in D.contaminated(df, bench).collect()}
+    # plain wording, counted by hand: each of these must be found
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    for j, t in enumerate(items[:30]):
+        w = words(t)
+        wanted = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        for i, d in enumerate(docs):
+            x = words(d)
+            held = len(wanted & {tuple(x[k : k + 5]) for k in range(len(x) - 4)})
+            assert ((i, j) in got) >= (held >= 0.8 * len(wanted)) and ((i, j) not in got or i < 60 or held >= 0.5 * len(wanted)), (i, j)
+    assert sum((30 + 5 + j, j) in got for j in range(30)) >= 27
+    assert {(i, j) for i, j in got if j >= 30} >= {(30, 30), (32, 32), (33, 33), (34, 34)} and not any(j < 30 and 65 <= i < 85 for i, j in got)
+    n = len(docs) - 9
+    assert {i for i, j in got if j == 31} == {n, n + 1} and (n + 8, 34) in got
+    # the screen loses nothing
+    monkeypatch.setattr(D, "_screen", lambda *a: F.lit(True))
+    assert {(x.doc_id, x.item_id): (x.n_met, x.n_windows) for x in D.contaminated(df, bench).collect()} == got
 
 
 def test_maximal_segments_by_brute_force():
