@@ -39,8 +39,8 @@ from .tables import release, sampled, stored
 from .words import SPACED, Texts, mix, slices
 
 K, PERCENT, EXTRA = 5, 80, 5
-#: Documents looked at for the order of shingles, and the share of them from which one is frequent.
-SAMPLE_ROWS, FREQUENT = 2000, 0.004
+#: Documents, and bytes, looked at for the order of shingles, and the share of them from which one is frequent.
+SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 2000, 32 << 20, 0.004
 #: Shingles of a tile that one task holds, sets of a block, and bits of the table of candidates.
 TILE_SHINGLES, BLOCK, TABLE_BITS = 4_000_000, 4096, 24
 #: Rounds of nearest pairs before the last, exhaustive one.
@@ -103,8 +103,8 @@ def most_apart(total, percent: int = PERCENT):
 
 def frequent(docs: DataFrame, k: int, doc_id: str, text: str) -> np.ndarray:
     """Sorted shingles that at least FREQUENT of a sample's documents have, of different sets; bounded by the sample."""
-    rows = sampled(docs, [text], SAMPLE_ROWS, doc_id)
-    sets = {s.tobytes(): s for _, _, t in slices(pa.array([r[0] for r in rows], pa.large_string())) for s in shingle_sets(t, k)}
+    rows = sampled(docs, text, SAMPLE_ROWS, SAMPLE_BYTES, doc_id)
+    sets = {s.tobytes(): s for _, _, t in slices(pa.array(rows, pa.large_string())) for s in shingle_sets(t, k)}
     if not sets:
         return np.zeros(0, np.uint64)
     value, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)

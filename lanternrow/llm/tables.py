@@ -29,11 +29,10 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, kind)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,14 +54,20 @@ def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFram
     return left.join(right, F.col(f"docs.`{doc_id}`").eqNullSafe(F.col("ids.gone")), "left_anti")
 
 
-def sampled(docs: DataFrame, columns: list[str], most: int, doc_id: str = "doc_id") -> list:
-    """The rows, over columns, of the `most` doc_ids of smallest hash; a row for each doc_id. Null doc_ids aren't drawn.
+def sampled(docs: DataFrame, column: str, most: int, most_bytes: int, doc_id: str = "doc_id") -> list[str]:
+    """Texts of `column` of the `most` doc_ids of smallest hash, in that order; one text, the least, for each doc_id.
 
-    Only hashes are ranked; texts come to the driver for the chosen rows alone.
+    Texts that would go beyond most_bytes in all are passed over, so what comes to the driver is
+    bounded. Only hashes and sizes are ranked. Null doc_ids aren't drawn, null texts are empty.
     """
-    hashed = docs.filter(F.col(doc_id).isNotNull()).withColumn("__h", F.xxhash64(F.col(doc_id).cast("string")))
-    last = hashed.select("__h").distinct().orderBy("__h").limit(most).agg(F.max("__h")).first()[0]
-    if last is None:
+    hashed = docs.filter(F.col(doc_id).isNotNull()).select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.coalesce(column, F.lit("")).alias("t"))
+    first = hashed.groupBy("h").agg(F.max(F.octet_length("t")).alias("size")).orderBy("h").limit(most).collect()
+    taken, total = [], 0
+    for r in first:
+        if total + r.size <= most_bytes:
+            taken.append((r.h,))
+            total += r.size
+    if not taken:
         return []
-    rows = hashed.filter(F.col("__h") <= last).groupBy("__h").agg(F.min(F.struct(*columns)).alias("r")).orderBy("__h")
-    return [x["r"] for x in rows.collect()]
+    few = F.broadcast(docs.sparkSession.createDataFrame(taken, "h long"))  # `most` rows at the most
+    return [r[0] for r in hashed.join(few, "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").select("t").collect()]

@@ -416,9 +416,10 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
 
     path, train = P.path("byte_bpe_multi_50k.tiktoken"), F.coalesce(F.col("doc_id") > 0, F.lit(False))
     monkeypatch.setattr(lm, "TRAIN_ROWS", 5)
+    monkeypatch.setattr(lm, "SHARE", 1)
     r = random.Random(8)
     plain = ["delta echo delta"] + [" ".join(r.choice(["alpha", "beta"]) for _ in range(30)) for _ in range(40)]
-    drawn = {x[0] for x in sampled(table(spark, plain).filter(train), ["doc_id"], 5)}
+    drawn = {int(x) for x in sampled(table(spark, plain).filter(train).withColumn("id", F.col("doc_id").cast("string")), "id", 5, 1 << 20)}
     other = [t if i in drawn or i == 0 else " ".join(r.choice(["delta", "echo"]) for _ in range(30)) for i, t in enumerate(plain)]
     a, b = ({x.doc_id: x.score for x in lm.score_documents(table(spark, t), path, train).collect()} for t in (plain, other))
     assert b[0] > a[0] + 1
@@ -434,6 +435,40 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     assert lm.learn(blocks, lm.fit([], pieces, got)) == windows
 
 
+def test_lm_memory_by_brute_force(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    from lanternrow.llm import lm
+
+    path, r = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(9)
+    v = [f"v{i}" for i in range(400)]
+    once = [sentence(r, 60, v) for _ in range(60)]
+    docs = once + once[:20] + [once[30].upper(), None, "", "v1 v2 v3", "v1 v2 v3 v4", "same " * 200]
+    df, train = table(spark, docs), F.coalesce(F.col("doc_id") % 10 != 0, F.lit(False))
+    monkeypatch.setattr(lm, "ANCHOR", 1)
+    pairs, runs = collections.Counter(), collections.Counter()
+    places = {i: [(tuple(w[k : k + 3]), w[k + 3]) for k in range(len(w) - 3)] for i, t in enumerate(docs) for w in [low(t)]}
+    for i, own in places.items():
+        if i % 10:
+            pairs.update(own)
+            runs.update(x for x, _ in own)
+    # attention and counts are mixed word by word; with K beyond all counts only attention is left
+    folder = f"file://{tmp_path}/d"
+    lm.dictionary(lm.word_counts(lm._blocks(df, "doc_id", "text", train, path).coalesce(1)), folder).collect()
+    got = collections.Counter(tuple(x) for x in spark.read.parquet(folder).filter("next <> 0").groupBy("hash", "next").agg(F.max("c"), F.max("t")).select("max(c)", "max(t)").collect())
+    here, held = set().union(*places.values()), {x for i, own in places.items() if i % 10 == 0 for x in own}
+    want = collections.Counter((pairs[x], runs[x[0]]) for x in here if runs[x[0]] > 1 or (runs[x[0]] == 1 and x in held and not pairs[x]))
+    assert {k: n for k, n in got.items() if k[1] > 1} == {k: n for k, n in want.items() if k[1] > 1} and sum(got.values()) >= sum(want.values())
+    a = {x.doc_id: x.score for x in lm.score_documents(df, path, train).collect()}
+    monkeypatch.setattr(lm, "K", 1e15)
+    b = {x.doc_id: x.score for x in lm.score_documents(df, path, train).collect()}
+    gain = {i: a[i] - b[i] for i in a if i is not None}
+    # a copy of which neither is learned from tells nothing
+    assert min(gain[i] for i in [*range(20), *range(60, 80)] if i % 10) > 20 > max(abs(gain[i]) for i in [*range(20, 60), 0, 60])
+    # a text that occurs once lends itself nothing
+    assert all(abs(gain[i]) < 1e-6 for i in range(31, 60) if i % 10 and not any(runs[x] > 1 for x, _ in places[i])) and np.isfinite(list(a.values())).all()
+
+
 def test_lm_gradients_windows_and_normalisation():
     import numpy as np
 
