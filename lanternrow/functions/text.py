@@ -62,7 +62,7 @@ def norm_quote(s: Column) -> Column:
     """norm for quotes: soft hyphens out, straight quotes, words broken over lines joined, folded, collapsed."""
     s = F.replace(s, F.lit("­"), F.lit(""))
     s = F.translate(s, "‘’“”", "''\"\"")
-    s = F.regexp_replace(s, r"(\p{L})-\s*\n\s*(\p{L})", "$1$2")
+    s = F.regexp_replace(s, r"-\s*\n\s*", "")
     return F.trim(collapse(fold(s)))
 
 

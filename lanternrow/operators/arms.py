@@ -106,28 +106,7 @@ def raptor_levels(leaves: DataFrame, branching: int = 6, most_levels: int = 3, s
 
 
 def _cluster(nodes: DataFrame, branching: int, seed: int) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        k = -(-len(x) // branching)
-        draw = np.random.default_rng(seed)
-        c = x[draw.choice(len(x), k, replace=False)]
-        label = np.zeros(len(x), int)
-        for r in range(25):
-            new = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-            if r and (new == label).all():
-                break
-            label = new
-            for j in range(k):
-                if (label == j).any():
-                    c[j] = x[label == j].mean(0)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "node_id": pdf["node_id"].to_numpy(), "cluster": label.astype("int32")})
-
-    types = dict(nodes.dtypes)
-    return nodes.select("doc_id", "node_id", "embedding").groupBy("doc_id").applyInPandas(run, f"doc_id {types['doc_id']}, node_id {types['node_id']}, cluster int")
+    return R.grouped_clusters(nodes, "doc_id", "node_id", "embedding", lambda n: -(-n // branching), seed)
 
 
 #: Methods by name, with the family that each belongs to.

@@ -57,31 +57,41 @@ def disambiguation(facts: DataFrame, sibs: DataFrame, used: DataFrame, fields: l
 
 
 def replay(log: DataFrame, by: str = "draft_id", order: str = "at", action: str = "action") -> DataFrame:
-    """The decisions in force: the last of each draft, where 'undo' takes back the log's last entry that still stands.
+    """The decisions in force in each log: a draft's last entry, unless an undo took it back, which leaves the draft without any.
 
-    An undo cancels the nearest earlier entry, of whatever draft, that no other undo has: brackets
-    are matched by their depth within each log, so no list of the log is built. log has column `log`.
+    An undo takes back the log's last entry that still stands, of whatever draft: brackets are
+    matched by their depth within each log, so no list of the log is built. log has column `log`.
     """
     w = Window.partitionBy("log").orderBy(order)
     undo = F.col(action) == "undo"
-    level = F.sum(F.when(undo, -1).otherwise(1)).over(w)
-    rows = log.withColumn("level", level)
+    rows = log.withColumn("__level", F.sum(F.when(undo, -1).otherwise(1)).over(w))
     # an undo with nothing to take back doesn't lower the level: the floor so far is added again
-    floor = F.least(F.lit(0), F.min("level").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("level", F.col("level") - floor)
-    # an entry at level n is undone if the level falls below n later
-    later = F.min("level").over(w.rowsBetween(1, Window.unboundedFollowing))
-    stands = rows.withColumn("later", later).filter(~undo & (F.coalesce("later", "level") >= F.col("level")))
-    rest = [c for c in log.columns if c != by]
-    return stands.groupBy(by).agg(F.max_by(F.struct(*rest), order).alias("r")).select(by, *(F.col(f"r.{c}").alias(c) for c in rest))
-
-
-def merge_reviewers(decisions: DataFrame, adjudications: DataFrame) -> DataFrame:
-    """draft_id, action, source: the adjudication, else what all reviewers agree on, else conflict. decisions (draft_id, reviewer, action, at)."""
-    agreed = decisions.groupBy("draft_id").agg(F.count_distinct("action").alias("n"), F.max_by("action", "at").alias("agreed"))
-    last = adjudications.groupBy("draft_id").agg(F.max_by("action", "at").alias("ruling"))
-    rows = agreed.join(last, "draft_id", "full")
-    return rows.select("draft_id", F.coalesce("ruling", F.when(F.col("n") == 1, F.col("agreed"))).alias("action"), F.when(F.col("ruling").isNotNull(), F.lit("adjudicated")).when(F.col("n") == 1, F.lit("agreed")).otherwise(F.lit("conflict")).alias("source"))
+    floor = F.least(F.lit(0), F.min("__level").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__level", F.col("__level") - floor)
+    # an entry at level n is undone if the level falls below n later; backwards, so that the frame only grows
+    back = Window.partitionBy("log").orderBy(F.col(order).desc())
+    later = F.min("__level").over(back.rowsBetween(Window.unboundedPreceding, -1))
+    entries = rows.withColumn("__stands", F.coalesce(later, F.col("__level")) >= F.col("__level")).filter(~undo)
+    rest = [c for c in log.columns if c not in (by, "log")]
+    last = entries.groupBy("log", by).agg(F.max_by(F.struct(*rest, "__stands"), order).alias("r")).filter("r.__stands")
+    return last.select("log", by, *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
+def merge_reviewers(decisions: DataFrame, drafts: DataFrame, decided: DataFrame, strict: bool = False) -> DataFrame:
+    """draft_id, action, at, source: of known drafts without a decision, each reviewer's last word; an adjudication
+    wins, else all must agree and the latest line counts, else it is a conflict, an error if strict.
+
+    decisions (draft_id, reviewer, action, at); the reviewer 'adjudication' rules.
+    """
+    word = F.struct("at", "action")
+    last = decisions.groupBy("draft_id", "reviewer").agg(F.max(word).alias("w"))
+    rows = last.join(drafts.select("draft_id").distinct(), "draft_id", "left_semi").join(decided.select("draft_id"), "draft_id", "left_anti")
+    said = rows.groupBy("draft_id").agg(F.max(F.when(F.col("reviewer") == "adjudication", F.col("w"))).alias("ruling"), F.min("w.action").alias("a"), F.max("w.action").alias("b"), F.max("w").alias("newest"))
+    agreed = F.when(F.col("a") == F.col("b"), F.col("newest"))
+    chosen = F.coalesce("ruling", agreed)
+    source = F.when(F.col("ruling").isNotNull(), "adjudicated").when(F.col("a") == F.col("b"), "agreed")
+    conflict = F.raise_error(F.concat(F.lit("reviewers disagree on "), "draft_id")).cast("string") if strict else F.lit("conflict")
+    return said.select("draft_id", chosen["action"].alias("action"), chosen["at"].alias("at"), F.when(source.isNotNull(), source).otherwise(conflict).alias("source"))
 
 
 def next_item(drafts: DataFrame, decided: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -112,22 +122,36 @@ def two_forms(accepted: DataFrame) -> DataFrame:
     return accepted.select("regime", F.explode(forms).alias("f")).select("regime", "f.*")
 
 
-def normalise_answer(kind: Column, answer: Column) -> Column:
-    """(kind, value, values) of a drafted answer: ISO dates and leading numbers are recognised, everything else is free."""
-    iso = r"^\s*\d{4}-\d{2}-\d{2}\s*$"
-    parts = F.filter(F.transform(F.split(answer, r"[,;\n]"), lambda x: F.trim(x)), lambda x: x != "")
-    many = (F.size(parts) > 1) & F.forall(parts, lambda x: x.rlike(iso))
-    number = F.regexp_extract(answer, r"^\s*([-+]?\d[\d.,']*\s*%?)", 1)
+#: Kinds of answers that are scored, and an amount, with or without a currency, that 'of' or 'per' may follow.
+KINDS = ("exact", "numeric", "date", "date_list", "free")
+AMOUNT = r"^((?:[A-Z]{3}\s?)?-?\d[\d.,']*\s?%?)(?:\s+(?:of|per)\b.*)?$"
+
+
+def normalise_answer(kind: Column, answer: Column, answers: Column | None = None) -> Column:
+    """(kind, value, values) of a drafted answer, or of a list of answers, as it can be scored; what can't is free text.
+
+    Unknown kinds are free, null answers empty. ISO dates after one another are a list, amounts under
+    numeric and exact are numeric.
+    """
+    iso = r"^\d{4}-\d{2}-\d{2}$"
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     none = F.lit(None).cast("array<string>")
-    make = lambda k, v, vs: F.struct(k.alias("kind"), v.alias("value"), vs.alias("values"))
-    return (
-        F.when((kind == "unanswerable") | answer.isNull(), make(F.lit("unanswerable"), F.lit(None).cast("string"), none))
-        .when(many, make(F.lit("date_list"), F.lit(None).cast("string"), parts))
-        .when(answer.rlike(iso), make(F.lit("date"), F.trim(answer), none))
-        .when((kind == "numeric") & (number != ""), make(F.lit("numeric"), F.trim(number), none))
-        .when(kind == "exact", make(F.lit("exact"), F.trim(answer), none))
-        .otherwise(make(F.lit("free"), F.trim(answer), none))
+    make = lambda k, v, vs: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), v.alias("value"), vs.alias("values"))
+    own = F.when(kind.isin(*KINDS), kind).otherwise("free")
+    text = strip(F.coalesce(answer, F.lit("")))
+    parts = F.filter(F.transform(F.split(text, r"[,;]\s*|\s+and\s+"), strip), lambda x: x != "")
+    amount = F.regexp_extract(text, AMOUNT, 1)
+    one = (
+        F.when(own.isin("date_list", "free") & (F.size(parts) > 1) & F.forall(parts, lambda x: x.rlike(iso)), make("date_list", F.lit(None).cast("string"), parts))
+        .when(own.isin("numeric", "exact") & (amount != ""), make("numeric", strip(amount), none))
+        .when((own.isin("numeric", "date_list")) | ((own == "date") & ~text.rlike(iso)), make("free", text, none))
+        .otherwise(make(own, text, none))
     )
+    if answers is None:
+        return one
+    clean = F.transform(answers, strip)
+    many = F.when((F.size(answers) > 0) & F.forall(clean, lambda x: x.rlike(iso)), make("date_list", F.lit(None).cast("string"), clean)).otherwise(make("free", F.array_join(answers, "; "), none))
+    return F.when(answers.isNotNull(), many).otherwise(one)
 
 
 def excluded(rows: DataFrame, names: DataFrame, text: str) -> DataFrame:

@@ -154,32 +154,48 @@ def reachable(questions: DataFrame, groups: DataFrame, mode: str = "corpus") ->
     return scope(questions, groups, mode).select("doc_id").distinct()
 
 
+def clusters(x, k: int, draws, rounds: int = 25):
+    """Cluster numbers of the rows of x: k-means++ starts by `draws` (a number in [0, 1) each), then moving means until nothing changes, ties to the lowest."""
+    import numpy as np
+
+    k, norm = max(1, min(k, len(x))), (x * x).sum(1)
+    chosen, far = [int(draws[0] * len(x))], np.full(len(x), np.inf)
+    for u in draws[1:k]:
+        far = np.minimum(far, np.maximum(norm - 2 * x @ x[chosen[-1]] + norm[chosen[-1]], 0))
+        far[chosen] = 0
+        reach = np.cumsum(far)
+        # of rows that all stand on a centre, any will do
+        chosen.append(int(np.searchsorted(reach, u * reach[-1], side="right")) if reach[-1] > 0 else int(u * len(x)))
+    means, label = x[chosen].copy(), np.full(len(x), -1)
+    for _ in range(rounds):
+        now = ((means * means).sum(1) - 2 * x @ means.T).argmin(1)
+        if np.array_equal(now, label):
+            break
+        label, size = now, np.bincount(now, minlength=k)
+        total = np.zeros_like(means)
+        np.add.at(total, label, x)
+        means = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], means)
+    return label
+
+
 def kmeans(vectors: DataFrame, by: str, k: int, seed: int = 0, rounds: int = 25, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """by, key, cluster: seeded k-means++ within each group, at most `rounds` rounds, ties to the lowest cluster.
 
     A group is one document's leaves; for one large collection take pyspark.ml.clustering.KMeans.
     """
+    return grouped_clusters(vectors, by, key, vector, lambda n: k, seed, rounds)
+
+
+def grouped_clusters(vectors: DataFrame, by: str, key: str, vector: str, how_many, seed: int, rounds: int = 25) -> DataFrame:
+    """by, key, cluster of each group's vectors, in how_many(n) clusters of n vectors; a group's draws depend on the seed alone."""
     import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        draw, m = np.random.default_rng(seed), min(k, len(x))
-        centres = [x[draw.integers(len(x))]]
-        while len(centres) < m:
-            d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-            centres.append(x[draw.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[len(centres)])
-        c, label = np.stack(centres), None
-        for _ in range(rounds):
-            new = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-            if label is not None and (new == label).all():
-                break
-            label = new
-            for j in range(m):
-                if (label == j).any():
-                    c[j] = x[label == j].mean(0)
-        return pd.DataFrame({by: pdf[by].to_numpy(), key: pdf[key].to_numpy(), "cluster": label.astype("int32")})
+        k = how_many(len(x))
+        return pd.DataFrame({by: pdf[by].to_numpy(), key: pdf[key].to_numpy(), "cluster": clusters(x, k, np.random.default_rng(seed).random(max(1, k)), rounds).astype("int32")})
 
     types = dict(vectors.dtypes)
     return vectors.select(by, key, vector).groupBy(by).applyInPandas(run, f"{by} {types[by]}, {key} {types[key]}, cluster int")

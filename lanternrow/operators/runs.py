@@ -11,7 +11,12 @@ from ..functions.values import score
 KEY = ("qid", "arm", "navigator", "answerer")
 #: Judges whose verdicts can be computed again.
 DETERMINISTIC = ("numeric", "date", "date_list", "exact", "refusal")
-RUN_FIELDS = "qid dataset regime qtype form arm navigator answerer correct judge evidence_recall evidence_precision wrong_doc latency_s llm_calls_sequential tokens_query tokens_index_amortised cost_usd gpu_s failure".split()
+#: The fields of an exported run, and why a run's answer can fail.
+RUN_FIELDS = [
+    "qid", "dataset", "regime", "qtype", "form", "arm", "navigator", "answerer", "correct", "judge", "evidence_recall", "evidence_precision", "wrong_doc", "latency_s",
+    "llm_calls_sequential", "tokens_query", "tokens_index_amortised", "cost_usd", "gpu_s", "failure",
+]
+FAILURES = ["index_failed", "max_turns", "wrong_doc", "parse_failure", "wrong_page", "right_evidence_wrong_answer", "answered_unanswerable", "not_applicable", "truncated"]
 
 
 def key() -> Column:
@@ -81,16 +86,27 @@ def shards(rows: DataFrame, by: str, order: str, size: int = 50) -> DataFrame:
     return rows.withColumn("shard", F.floor((nth - 1) / F.lit(size)).cast("int"))
 
 
+#: Trace entries that hold an arm's own prose.
+TRACE_TEXTS = ("native_answer", "sdk_answer")
+
+
 def redact(rows: DataFrame, licensed: list[str]) -> DataFrame:
-    """Of licensed datasets: question, gold and answer as null, evidence without texts, trace without prose."""
+    """rows (qid, dataset, question, gold of kind and value, answer, evidence, trace) with redacted: licensed ones keep their
+    place and kind, but no question, gold value, answer, snippet or prose of the trace. Columns that are absent are passed over."""
     hide = F.col("dataset").isin(*licensed)
-    out = rows.withColumns({c: F.when(~hide, F.col(c)) for c in ("question", "gold", "answer") if c in rows.columns})
+    out = rows.withColumn("redacted", F.coalesce(hide, F.lit(False)))
+    hide, new = F.col("redacted"), {}
+    if "question" in rows.columns:
+        new["question"] = F.when(hide, F.concat("dataset", F.lit(" question "), "qid")).otherwise(F.col("question"))
+    if "gold" in rows.columns:
+        new["gold"] = F.when(hide, F.col("gold").withField("value", F.lit(None))).otherwise(F.col("gold"))
+    if "answer" in rows.columns:
+        new["answer"] = F.when(~hide, F.col("answer"))
     if "evidence" in rows.columns:
-        bare = F.transform("evidence", lambda e: e.withField("snippet", F.when(~hide, e["snippet"])))
-        out = out.withColumn("evidence", bare)
+        new["evidence"] = F.transform("evidence", lambda e: e.withField("snippet", F.when(hide & e["snippet"].isNotNull(), F.lit("")).otherwise(e["snippet"])))
     if "trace" in rows.columns:
-        out = out.withColumn("trace", F.when(hide, F.map_filter("trace", lambda k, v: ~k.isin("summary", "thoughts", "answer", "sdk_answer", "text"))).otherwise(F.col("trace")))
-    return out
+        new["trace"] = F.when(hide, F.map_filter("trace", lambda k, v: ~k.isin(*TRACE_TEXTS))).otherwise(F.col("trace"))
+    return out.withColumns(new)
 
 
 def top_snippets(evidence: Column, n: int = 5) -> Column:
@@ -107,7 +123,6 @@ def model_roles(runs: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 def invalid_runs(runs: DataFrame, allow_errors: bool = False) -> DataFrame:
     """Rows that may not be exported, with why."""
-    failures = ["index_failed", "max_turns", "wrong_doc", "parse_failure", "wrong_page", "right_evidence_wrong_answer", "answered_unanswerable", "not_applicable", "truncated"]
-    why = F.when((F.col("failure") == "error") & F.lit(not allow_errors), F.lit("error row")).when(F.col("failure").isNotNull() & ~F.col("failure").isin(*failures, "error"), F.lit("unknown failure"))
+    why = F.when((F.col("failure") == "error") & F.lit(not allow_errors), F.lit("error row")).when(F.col("failure").isNotNull() & ~F.col("failure").isin(*FAILURES, "error"), F.lit("unknown failure"))
     why = why.when(F.col("qid").isNull() | F.col("arm").isNull(), F.lit("no key")).when(F.col("evidence_recall").between(0, 1) == F.lit(False), F.lit("recall out of range"))
     return runs.withColumn("why", why).filter("why is not null")

@@ -64,12 +64,17 @@ def build_tree(headings: DataFrame, docs: DataFrame) -> DataFrame:
     heading of no greater level, else the last page. docs (doc_id, title, n_pages): a document
     without headings is one root.
     """
-    own = headings.join(docs.select("doc_id", "n_pages"), "doc_id").alias("c")
-    up = headings.select("doc_id", F.col("pos").alias("ppos"), F.col("level").alias("plevel"))
-    parents = own.join(up, "doc_id").filter("ppos < pos and plevel < level").groupBy("doc_id", "pos").agg(F.max("ppos").alias("ppos"))
-    later = headings.select("doc_id", F.col("pos").alias("npos"), F.col("level").alias("nlevel"), F.col("page").alias("npage"))
-    ends = own.join(later, "doc_id").filter("npos > pos and nlevel <= level").groupBy("doc_id", "pos").agg(F.min_by("npage", "npos").alias("npage"))
-    rows = own.join(parents, ["doc_id", "pos"], "left").join(ends, ["doc_id", "pos"], "left")
+    # running values a level instead of joins of all pairs of headings; levels go from 1 to MAX_LEVEL
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda k, c: F.when(F.col("level") == k, c)
+    last = {k: F.last(at(k, F.col("pos")), ignorenulls=True).over(before) for k in range(1, MAX_LEVEL + 1)}
+    after = {k: F.last(at(k, F.struct("pos", "page")), ignorenulls=True).over(behind) for k in range(1, MAX_LEVEL + 1)}
+    rows = headings.join(docs.select("doc_id", "n_pages"), "doc_id")
+    rows = rows.withColumns({f"__u{k}": c for k, c in last.items()} | {f"__d{k}": c for k, c in after.items()})
+    above = F.greatest(F.lit(None).cast("int"), *(F.when(F.col("level") > k, F.col(f"__u{k}")) for k in last))
+    below = F.least(F.lit(None).cast(dict(rows.dtypes)["__d1"]), *(F.when(F.col("level") >= k, F.col(f"__d{k}")) for k in after))
+    rows = rows.withColumns({"ppos": above, "npage": below["page"]})
     end = F.when(F.col("npage").isNull(), F.col("n_pages")).otherwise(F.greatest("page", "npage"))
     name = lambda p: F.concat(F.lit("n"), p.cast("string"))
     nodes = rows.select("doc_id", name(F.col("pos")).alias("node_id"), name(F.col("ppos")).alias("parent"), "title", F.col("page").alias("start_page"), end.alias("end_page"), "level", "pos")

@@ -98,10 +98,11 @@ def _(spark, d):
     return R.shards(load(spark, d, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "shard")
 
 
-@query("redacted_export", "SELECT doc_id, CASE WHEN lang <> 'de' THEN source END AS question, CASE WHEN lang <> 'de' THEN substr(text, 1, 20) END AS snippet, CASE WHEN lang <> 'de' THEN 2 ELSE 1 END AS n_trace FROM documents")
+@query("redacted_export", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'de question ' || doc_id ELSE source END AS question, 'exact' AS gold_kind, CASE WHEN lang <> 'de' THEN source END AS gold_value, CASE WHEN lang <> 'de' THEN substr(text, 1, 9) END AS answer, CASE WHEN lang = 'de' THEN '' ELSE substr(text, 1, 20) END AS snippet, CASE WHEN lang = 'de' THEN 'steps,summary' ELSE 'native_answer,sdk_answer,steps,summary' END AS trace, lang = 'de' AS redacted FROM documents")
 def _(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", F.col("lang").alias("dataset"), F.col("source").alias("question"), F.array(F.struct("doc_id", F.substring("text", 1, 20).alias("snippet"))).alias("evidence"), F.create_map(F.lit("steps"), F.lit("3"), F.lit("summary"), F.col("source")).alias("trace"))
-    return R.redact(rows, ["de"]).select("doc_id", "question", F.col("evidence")[0]["snippet"].alias("snippet"), F.size("trace").alias("n_trace"))
+    trace = F.create_map(*(x for k in ("steps", "summary", "native_answer", "sdk_answer") for x in (F.lit(k), F.col("source"))))
+    rows = load(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("qid"), F.col("lang").alias("dataset"), F.col("source").alias("question"), F.struct(F.lit("exact").alias("kind"), F.col("source").alias("value")).alias("gold"), F.substring("text", 1, 9).alias("answer"), F.array(F.struct("doc_id", F.substring("text", 1, 20).alias("snippet"))).alias("evidence"), trace.alias("trace"))
+    return R.redact(rows, ["de"]).select("doc_id", "question", F.col("gold.kind").alias("gold_kind"), F.col("gold.value").alias("gold_value"), "answer", F.col("evidence")[0]["snippet"].alias("snippet"), F.array_join(F.array_sort(F.map_keys("trace")), ",").alias("trace"), "redacted")
 
 
 @query("top_snippets", "SELECT o_custkey, count(*) AS n, CAST(least(count(*), 5) AS BIGINT) AS kept FROM orders GROUP BY o_custkey")
@@ -191,13 +192,13 @@ def _(spark, d):
 
 
 _H = r"SELECT page_id AS doc_id, CAST(i AS INTEGER) AS pos, CAST(regexp_extract(h[i], '^<h([1-6])', 1) AS INTEGER) AS level, CAST((i + 1) // 2 AS INTEGER) AS page FROM (SELECT page_id, regexp_extract_all(html, '(?s)(<h[1-6][^>]*>.*?</h[1-6]>)', 1) AS h FROM pages), UNNEST(range(1, len(h) + 1)) AS u(i)"
-_TREE = f"WITH h AS (SELECT * FROM ({_H}) UNION ALL SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1000 AS INTEGER), CAST(substr(o_orderpriority, 1, 1) AS INTEGER), CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) FROM orders WHERE o_custkey % 5 = 0), np AS (SELECT doc_id, max(page) + 3 AS n_pages FROM h GROUP BY doc_id), tree AS (SELECT a.doc_id, 'n' || a.pos AS node_id, 'n' || (SELECT max(b.pos) FROM h b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.level < a.level) AS parent, a.page AS start_page, CASE WHEN nx.page IS NULL THEN n_pages ELSE greatest(a.page, nx.page) END AS end_page, a.level, a.pos FROM h a JOIN np USING (doc_id) LEFT JOIN h nx ON nx.doc_id = a.doc_id AND nx.pos = (SELECT min(c.pos) FROM h c WHERE c.doc_id = a.doc_id AND c.pos > a.pos AND c.level <= a.level))"
+_TREE = f"WITH h AS (SELECT * FROM ({_H}) UNION ALL SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1000 AS INTEGER), CAST(substr(o_orderpriority, 1, 1) AS INTEGER), CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) FROM orders), np AS (SELECT doc_id, max(page) + 3 AS n_pages FROM h GROUP BY doc_id), tree AS (SELECT a.doc_id, 'n' || a.pos AS node_id, 'n' || (SELECT max(b.pos) FROM h b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.level < a.level) AS parent, a.page AS start_page, CASE WHEN nx.page IS NULL THEN n_pages ELSE greatest(a.page, nx.page) END AS end_page, a.level, a.pos FROM h a JOIN np USING (doc_id) LEFT JOIN h nx ON nx.doc_id = a.doc_id AND nx.pos = (SELECT min(c.pos) FROM h c WHERE c.doc_id = a.doc_id AND c.pos > a.pos AND c.level <= a.level))"
 
 
 def _tree(spark, d):
     own = S.html_headings(load(spark, d, "pages"), "page_id").select(F.col("page_id").alias("doc_id"), "pos", "level", F.floor((F.col("pos") + 1) / 2).cast("int").alias("page"))
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    more = load(spark, d, "orders").filter("o_custkey % 5 = 0").select(F.col("o_custkey").alias("doc_id"), (n + 1000).alias("pos"), F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), n.alias("page"))
+    more = load(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (n + 1000).alias("pos"), F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), n.alias("page"))
     h = own.unionByName(more).withColumn("title", F.lit("t"))
     docs = h.groupBy("doc_id").agg((F.max("page") + 3).alias("n_pages")).withColumn("title", F.lit("d"))
     return TR.build_tree(h, docs)
@@ -277,43 +278,36 @@ def _(spark, d):
     return Q.disambiguation(facts, Q.siblings(p), used, ["maturity", "barrier", "currency"])
 
 
-_LOG = "SELECT CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type = 'purchase' THEN 'accept' ELSE 'reject' END AS action, CAST(user_id % 20 AS VARCHAR) AS draft_id, event_id AS \"at\", user_id % 3 AS log FROM events"
-
-
-@query("decision_replay_no_undo", f"SELECT draft_id, arg_max(action, \"at\") AS action, max(\"at\") AS last_at FROM ({_LOG}) WHERE action <> 'undo' GROUP BY draft_id")
-def _(spark, d):
-    return Q.replay(_log(spark, d).filter("action <> 'undo'")).select("draft_id", "action", F.col("at").alias("last_at"))
+_LOG = "SELECT CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type = 'purchase' THEN 'accept' ELSE 'reject' END AS action, CAST(event_id * 7 % 20 AS VARCHAR) AS draft_id, event_id AS \"at\", user_id % 50 AS log FROM events"
 
 
 def _log(spark, d):
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "purchase", "accept").otherwise("reject")
-    return load(spark, d, "events").select(action.alias("action"), (F.col("user_id") % 20).cast("string").alias("draft_id"), F.col("event_id").alias("at"), (F.col("user_id") % 3).alias("log"))
+    return load(spark, d, "events").select(action.alias("action"), (F.col("event_id") * 7 % 20).cast("string").alias("draft_id"), F.col("event_id").alias("at"), (F.col("user_id") % 50).alias("log"))
 
 
-_STACK = f"WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY \"at\") AS n FROM ({_LOG}) WHERE \"at\" % 10 = 0), r AS (SELECT log, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS st FROM (SELECT DISTINCT log FROM l) UNION ALL SELECT l.log, l.n, CASE WHEN l.action = 'undo' THEN r.st[1:len(r.st) - 1] ELSE list_append(r.st, l.\"at\") END FROM r JOIN l ON l.log = r.log AND l.n = r.n + 1), f AS (SELECT log, arg_max(st, n) AS st FROM r GROUP BY log)"
+@query("decision_replay_no_undo", f"SELECT log, draft_id, arg_max(action, \"at\") AS action, max(\"at\") AS last_at FROM ({_LOG}) WHERE action <> 'undo' GROUP BY log, draft_id")
+def _(spark, d):
+    return Q.replay(_log(spark, d).filter("action <> 'undo'")).select("log", "draft_id", "action", F.col("at").alias("last_at"))
 
 
-@query("decision_replay", _STACK + " SELECT l.draft_id, arg_max(l.action, l.\"at\") AS action, max(l.\"at\") AS last_at FROM l JOIN f ON l.log = f.log AND list_contains(f.st, l.\"at\") GROUP BY l.draft_id")
-def _(spark, d):
-    return Q.replay(_log(spark, d).filter("at % 10 = 0")).select("draft_id", "action", F.col("at").alias("last_at"))
+#: A stack a log, line by line: st holds the entries that stand.
+_STACK = f"WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY \"at\") AS n FROM ({_LOG})), r AS (SELECT log, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS st FROM (SELECT DISTINCT log FROM l) UNION ALL SELECT l.log, l.n, CASE WHEN l.action = 'undo' THEN r.st[1:len(r.st) - 1] ELSE list_append(r.st, l.\"at\") END FROM r JOIN l ON l.log = r.log AND l.n = r.n + 1), f AS (SELECT log, arg_max(st, n) AS st FROM r GROUP BY log)"
 
 
-@query("merge_reviewers", f"WITH l AS ({_LOG}), a AS (SELECT draft_id, count(DISTINCT action) AS n, arg_max(action, \"at\") AS agreed FROM l WHERE \"at\" % 97 = 0 AND action <> 'undo' GROUP BY 1), r AS (SELECT draft_id, arg_max(action, \"at\") AS ruling FROM l WHERE \"at\" % 89 = 1 AND action <> 'undo' AND CAST(draft_id AS INTEGER) % 2 = 0 GROUP BY 1) SELECT draft_id, coalesce(ruling, CASE WHEN n = 1 THEN agreed END) AS action, CASE WHEN ruling IS NOT NULL THEN 'adjudicated' WHEN n = 1 THEN 'agreed' ELSE 'conflict' END AS source FROM a FULL JOIN r USING (draft_id)")
+@query("decision_replay", _STACK + ", e AS (SELECT log, draft_id, arg_max(action, \"at\") AS action, max(\"at\") AS last_at FROM l WHERE action <> 'undo' GROUP BY log, draft_id) SELECT e.* FROM e JOIN f ON e.log = f.log AND list_contains(f.st, e.last_at)")
 def _(spark, d):
-    l = _log(spark, d).filter("action <> 'undo'")
-    return Q.merge_reviewers(l.filter("at % 97 = 0"), l.filter("at % 89 = 1 and cast(draft_id as int) % 2 = 0"))
+    return Q.replay(_log(spark, d)).select("log", "draft_id", "action", F.col("at").alias("last_at"))
 
 
-#: The whole log, without SQL: the recursive stack is too slow there, and the queries with SQL keep their rows.
-@query("decision_replay_whole")
-def _(spark, d):
-    return Q.replay(_log(spark, d)).select("draft_id", "action", F.col("at").alias("last_at"))
+_SAID = "SELECT CAST(event_id % 700 AS VARCHAR) AS draft_id, CASE WHEN user_id % 19 = 0 THEN 'adjudication' ELSE 'r' || (user_id % 3) END AS reviewer, CASE event_type WHEN 'click' THEN 'reject' WHEN 'error' THEN 'reject' ELSE 'accept' END AS action, event_id AS \"at\" FROM events"
 
 
-@query("merge_reviewers_whole")
+@query("merge_reviewers", f"WITH l AS ({_SAID}), w AS (SELECT draft_id, reviewer, arg_max(action, \"at\") AS action, max(\"at\") AS \"at\" FROM l WHERE CAST(draft_id AS INTEGER) BETWEEN 50 AND 600 GROUP BY ALL), g AS (SELECT draft_id, max(action) FILTER (reviewer = 'adjudication') AS ruling, max(\"at\") FILTER (reviewer = 'adjudication') AS ruled, count(DISTINCT action) AS n, arg_max(action, \"at\") AS agreed, max(\"at\") AS said FROM w GROUP BY 1) SELECT draft_id, CASE WHEN ruling IS NOT NULL THEN ruling WHEN n = 1 THEN agreed END AS action, CASE WHEN ruling IS NOT NULL THEN ruled WHEN n = 1 THEN said END AS \"at\", CASE WHEN ruling IS NOT NULL THEN 'adjudicated' WHEN n = 1 THEN 'agreed' ELSE 'conflict' END AS source FROM g")
 def _(spark, d):
-    l = _log(spark, d).filter("action <> 'undo'")
-    return Q.merge_reviewers(l.filter("log <> 0"), l.filter("log = 0"))
+    said = load(spark, d, "events").select((F.col("event_id") % 700).cast("string").alias("draft_id"), F.when(F.col("user_id") % 19 == 0, "adjudication").otherwise(F.concat(F.lit("r"), F.col("user_id") % 3)).alias("reviewer"), F.when(F.col("event_type").isin("click", "error"), "reject").otherwise("accept").alias("action"), F.col("event_id").alias("at"))
+    known = spark.range(601).select(F.col("id").cast("string").alias("draft_id"))
+    return Q.merge_reviewers(said, known, known.filter("cast(draft_id as int) < 50"))
 
 
 @query("next_item", "WITH dr AS (SELECT p_partkey AS id, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS draft_id, p_brand AS regime, CAST(p_size % 3 AS VARCHAR) AS qtype FROM part), de AS (SELECT draft_id, CASE WHEN id % 2 = 0 THEN 'accept' ELSE 'reject' END AS action FROM dr WHERE id % 3 = 0), f AS (SELECT regime, qtype, count(*) AS filled FROM de JOIN dr USING (draft_id) WHERE action = 'accept' GROUP BY ALL) SELECT draft_id, regime, qtype FROM dr LEFT JOIN f USING (regime, qtype) WHERE draft_id NOT IN (SELECT draft_id FROM de) ORDER BY id % 5 = 1, CASE WHEN id % 5 = 1 THEN id ELSE 0 END, coalesce(filled, 0), draft_id LIMIT 1")

@@ -156,12 +156,23 @@ def _(spark, d):
     return _fixture(spark).select("id", s.alias("s")).select("id", "s.*")
 
 
-_DRAFTS = [(1, "numeric", "60 % of par"), (2, "free", "2026-06-15; 2026-12-15"), (3, "date", "2026-06-15"), (4, "free", "Swiss law"), (5, "unanswerable", "x"), (6, "exact", " Deutsche Bank "), (7, "numeric", "n/a"), (8, "free", None)]
-
-
-@query("normalise_answers", "SELECT * FROM (VALUES (1, 'numeric', '60 %', NULL), (2, 'date_list', NULL, '2026-06-15|2026-12-15'), (3, 'date', '2026-06-15', NULL), (4, 'free', 'Swiss law', NULL), (5, 'unanswerable', NULL, NULL), (6, 'exact', 'Deutsche Bank', NULL), (7, 'free', 'n/a', NULL), (8, 'unanswerable', NULL, NULL)) AS t(id, kind, value, vs)")
-def _(spark, d):
-    rows = spark.createDataFrame(_DRAFTS, "id int, kind string, answer string")
+#: Drafted answers of every kind and form, from orders.
+_DRAFTED = """SELECT o_orderkey AS id, list_extract(['numeric', 'exact', 'date', 'date_list', 'free', 'bogus'], CAST(o_orderkey % 6 + 1 AS INTEGER)) AS kind,
+    CASE o_custkey % 9 WHEN 0 THEN 'CHF 1' || chr(39) || n || '.00' WHEN 1 THEN ' ' || n || '.5 % of the initial price' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || ', 2027-01-02;2028-03-04'
+    WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') || ' and 2027-01-02' WHEN 5 THEN 'about ' || o_orderpriority WHEN 6 THEN n || ' shares' WHEN 7 THEN '-' || n || ' per share' END AS answer
+    FROM (SELECT *, CAST(o_orderkey % 997 AS VARCHAR) AS n FROM orders)"""
+
+
+@query("normalise_answers", rf"""WITH t AS (SELECT id, CASE WHEN kind = 'bogus' THEN 'free' ELSE kind END AS kind, trim(coalesce(answer, '')) AS a FROM ({_DRAFTED})),
+    p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(a, '[,;]\s*|\s+and\s+'), lambda x: trim(x)), lambda x: x <> '') AS parts, regexp_extract(a, '^((?:[A-Z]{{3}}\s?)?-?\d[\d.,'']*\s?%?)(?:\s+(?:of|per)\b.*)?$', 1) AS amount FROM t),
+    q AS (SELECT *, len(parts) > 1 AND len(list_filter(parts, lambda x: NOT regexp_full_match(x, '\d{{4}}-\d{{2}}-\d{{2}}'))) = 0 AS dates FROM p)
+    SELECT id, CASE WHEN kind IN ('date_list', 'free') AND dates THEN 'date_list' WHEN kind IN ('numeric', 'exact') AND amount <> '' THEN 'numeric' WHEN kind IN ('numeric', 'date_list') THEN 'free' WHEN kind = 'date' AND NOT regexp_full_match(a, '\d{{4}}-\d{{2}}-\d{{2}}') THEN 'free' ELSE kind END AS kind,
+    CASE WHEN kind IN ('date_list', 'free') AND dates THEN NULL WHEN kind IN ('numeric', 'exact') AND amount <> '' THEN trim(amount) ELSE a END AS value, CASE WHEN kind IN ('date_list', 'free') AND dates THEN array_to_string(parts, '|') END AS vs FROM q""")
+def _(spark, d):
+    day, n = F.date_format("o_orderdate", "yyyy-MM-dd"), (F.col("o_orderkey") % 997).cast("string")
+    forms = [F.concat(F.lit("CHF 1'"), n, F.lit(".00")), F.concat(F.lit(" "), n, F.lit(".5 % of the initial price")), day, F.concat(day, F.lit(", 2027-01-02;2028-03-04")), F.concat(day, F.lit(" and 2027-01-02")), F.concat(F.lit("about "), "o_orderpriority"), F.concat(n, F.lit(" shares")), F.concat(F.lit("-"), n, F.lit(" per share")), F.lit(None).cast("string")]
+    kinds = F.array(*(F.lit(k) for k in ("numeric", "exact", "date", "date_list", "free", "bogus")))
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.get(kinds, (F.col("o_orderkey") % 6).cast("int")).alias("kind"), F.get(F.array(*forms), (F.col("o_custkey") % 9).cast("int")).alias("answer"))
     return rows.select("id", Q.normalise_answer(F.col("kind"), F.col("answer")).alias("a")).select("id", "a.kind", "a.value", F.array_join("a.values", "|").alias("vs"))
 
 

@@ -46,36 +46,43 @@ def complete(prompts: DataFrame, key: str = "qid", prompt: str = "prompt", servi
 
 
 def fuzzy_quotes(rows: DataFrame, quote: str = "quote", page: str = "page", least: float = 0.9) -> DataFrame:
-    """rows with on_page: the quote stands on the page, or its matching blocks make up `least` of it within 1.5 times its length."""
+    """rows with on_page: a quote of three words or more stands on the page, or characters of the page that match it in order
+    make up `least` of it and lie within 1.5 times its length. Only quotes that the page has the letters for are aligned."""
     import pandas as pd
     from pyspark.sql import functions as F
 
-    from ..functions.text import norm_quote, quote_on_page_exact
+    from ..functions.text import norm_quote, quote_on_page_exact, words
 
-    @F.pandas_udf("boolean")
-    def near(q: pd.Series, p: pd.Series) -> pd.Series:
+    def covers(text: str, wanted: str) -> bool:
+        from collections import Counter
         from difflib import SequenceMatcher
 
-        def one(a: str | None, b: str | None) -> bool:
-            if not a or not b or len(a.split()) < 3:
-                return False
-            blocks = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
-            if not blocks:
-                return False
-            span = blocks[-1].b + blocks[-1].size - blocks[0].b
-            return sum(m.size for m in blocks) / len(a) >= least and span <= 1.5 * len(a)
+        need = least * len(wanted)
+        if (Counter(wanted) & Counter(text)).total() < need:
+            return False
+        # the page comes first: the alignment isn't symmetric
+        spans = [(m.a, m.a + m.size) for m in SequenceMatcher(a=text, b=wanted, autojunk=False).get_matching_blocks() if m.size]
+        return bool(spans) and sum(e - s for s, e in spans) >= need and spans[-1][1] - spans[0][0] <= 1.5 * len(wanted)
 
-        return pd.Series([one(a, b) for a, b in zip(q, p, strict=True)])
+    @F.pandas_udf("boolean")
+    def near(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([bool(w) and t is not None and covers(t, w) for t, w in zip(texts, wanted, strict=True)], dtype=bool)
 
     exact = F.coalesce(quote_on_page_exact(F.col(quote), F.col(page)), F.lit(False))
-    return rows.withColumn("on_page", F.when(exact, F.lit(True)).otherwise(near(norm_quote(F.col(quote)), norm_quote(F.col(page)))))
+    open_ = F.when(~exact & (F.size(words(F.col(quote))) >= 3), norm_quote(F.col(quote)))
+    return rows.withColumn("on_page", exact | near(norm_quote(F.col(page)), open_))
 
 
 def best_page(evidence: DataFrame, pages: DataFrame, reach: int = 2) -> DataFrame:
-    """doc_id, mapped, page, ratio: of the pages within `reach` of a mapped page the one most like its text, the first of equals."""
+    """doc_id, mapped, page, ratio: of the pages within `reach` of a mapped page the one most like its text, the first of equals.
+
+    Texts are compared folded and with white space collapsed.
+    """
     import pandas as pd
     from pyspark.sql import functions as F
 
+    from ..functions.text import collapse, fold
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
@@ -84,5 +91,6 @@ def best_page(evidence: DataFrame, pages: DataFrame, reach: int = 2) -> DataFram
 
     near = evidence.withColumn("page", F.explode(F.sequence(F.col("mapped") - reach, F.col("mapped") + reach)))
     rows = near.join(pages.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"])
-    rows = rows.withColumn("ratio", ratio(F.col("text"), F.col("page_text")))
+    plain = lambda c: F.trim(collapse(fold(F.col(c))))
+    rows = rows.withColumn("ratio", ratio(plain("text"), plain("page_text")))
     return rows.groupBy("doc_id", "mapped").agg(F.max_by(F.struct("page", "ratio"), F.struct("ratio", -F.col("page"))).alias("r")).select("doc_id", "mapped", "r.page", "r.ratio")

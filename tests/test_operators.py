@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternrow.functions import hashing, text, values
-from lanternrow.operators import arms, metrics, questions, retrieval, runs, trees
+from lanternrow.operators import arms, drafting, metrics, questions, retrieval, runs, trees
 from lanternrow.plans.registry import QUERIES as PLANS
 from lanternrow.sources import files, services
 
@@ -70,8 +70,10 @@ def test_tree(spark):
 
 
 def test_replay_takes_back_the_last_entry_of_any_draft(spark):
-    log = spark.createDataFrame([("l", "a", "accept", 1), ("l", "b", "reject", 2), ("l", "", "undo", 3), ("l", "a", "reject", 4), ("l", "", "undo", 5), ("l", "c", "accept", 6), ("m", "", "undo", 1), ("m", "d", "accept", 2)], "log string, draft_id string, action string, at int")
-    assert {(r.draft_id, r.action) for r in questions.replay(log).collect()} == {("a", "accept"), ("c", "accept"), ("d", "accept")}
+    log = [("l", "a", "accept", 1), ("l", "b", "reject", 2), ("l", "", "undo", 3), ("l", "a", "reject", 4), ("l", "", "undo", 5), ("l", "c", "accept", 6), ("m", "", "undo", 1), ("m", "d", "accept", 2), ("n", "a", "accept", 1), ("n", "a", "reject", 2), ("n", "", "undo", 3)]
+    got = questions.replay(spark.createDataFrame(log, "log string, draft_id string, action string, at int")).collect()
+    # an undone draft has no decision, whatever it had before
+    assert {(r.log, r.draft_id, r.action) for r in got} == {("l", "c", "accept"), ("m", "d", "accept")}
 
 
 def test_whole_log_by_brute_force(spark, tmp_path):
@@ -79,21 +81,107 @@ def test_whole_log_by_brute_force(spark, tmp_path):
     kinds = {"error": "undo", "purchase": "accept", "view": "reject"}
     events = [(i, r.randrange(200), r.choice(list(kinds))) for i in range(3000)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    stacks, ruled, said = {}, {}, {}
+    stacks, now, said = {}, {}, {}
     for i, user, kind in events:
-        draft, action, stack = str(user % 20), kinds[kind], stacks.setdefault(user % 3, [])
+        log, draft, action = user % 50, str(i * 7 % 20), kinds[kind]
+        stack = stacks.setdefault(log, [])
         if action == "undo":
-            del stack[-1:]
-            continue
-        stack.append((i, draft, action))
-        if user % 3:
-            said.setdefault(draft, []).append(action)
+            if stack:
+                now.pop((log, stack.pop()), None)
         else:
-            ruled[draft] = action
-    last = {draft: (action, i) for i, draft, action in sorted(x for s in stacks.values() for x in s)}
-    assert {x.draft_id: (x.action, x.last_at) for x in PLANS["decision_replay_whole"](spark, str(tmp_path)).collect()} == last
-    merged = {d: ruled.get(d) or (said[d][-1] if len(set(said[d])) == 1 else None) for d in ruled.keys() | said.keys()}
-    assert {x.draft_id: x.action for x in PLANS["merge_reviewers_whole"](spark, str(tmp_path)).collect()} == merged
+            stack.append(draft)
+            now[log, draft] = action, i
+        who, d = "adjudication" if user % 19 == 0 else f"r{user % 3}", i % 700
+        if 50 <= d <= 600:
+            said.setdefault(str(d), {})[who] = ("reject" if kind == "error" else "accept", i)
+    assert {(x.log, x.draft_id): (x.action, x.last_at) for x in PLANS["decision_replay"](spark, str(tmp_path)).collect()} == now
+    merged = {}
+    for d, by in said.items():
+        alike = len({a for a, _ in by.values()}) == 1
+        merged[d] = (*by["adjudication"], "adjudicated") if "adjudication" in by else (*max(by.values(), key=lambda x: x[1]), "agreed") if alike else (None, None, "conflict")
+    assert {x.draft_id: (x.action, x.at, x.source) for x in PLANS["merge_reviewers"](spark, str(tmp_path)).collect()} == merged
+    lines = spark.createDataFrame([("a", "r1", "accept", 1), ("a", "r2", "reject", 2)], "draft_id string, reviewer string, action string, at int")
+    drafts = lines.select("draft_id")
+    with pytest.raises(Exception, match="disagree on a"):
+        questions.merge_reviewers(lines, drafts, drafts.limit(0), strict=True).collect()
+
+
+#: Answers and how they are scored.
+ANSWERS = [
+    ("exact", "65.00% of the initial reference price", None, "numeric", "65.00%", None),
+    ("numeric", "CHF 1,152.00", None, "numeric", "CHF 1,152.00", None),
+    ("free", "2027-03-30, 2027-06-29", None, "date_list", None, ["2027-03-30", "2027-06-29"]),
+    ("date_list", None, ["2027-03-30", "2027-06-29"], "date_list", None, ["2027-03-30", "2027-06-29"]),
+    ("date", "30 March 2027", None, "free", "30 March 2027", None),
+    ("numeric", "about a third", None, "free", "about a third", None),
+    ("exact", "Bank Julius Baer & Co. Ltd.", None, "exact", "Bank Julius Baer & Co. Ltd.", None),
+    ("bogus", "yes", None, "free", "yes", None),
+    ("numeric", "CHF 1'000", None, "numeric", "CHF 1'000", None),
+    ("numeric", "60 shares", None, "free", "60 shares", None),
+    ("exact", "2027-03-30", None, "numeric", "2027-03-30", None),
+    ("free", "2027-03-30 and 2027-06-29", None, "date_list", None, ["2027-03-30", "2027-06-29"]),
+    ("free", None, ["a", "2027-06-29"], "free", "a; 2027-06-29", None),
+    ("free", None, None, "free", "", None),
+]
+
+
+def test_normalise_answer(spark):
+    import re
+
+    rows = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(ANSWERS)], "i int, kind string, answer string, answers array<string>")
+    got = {r.i: r.a for r in rows.select("i", questions.normalise_answer(F.col("kind"), F.col("answer"), F.col("answers")).alias("a")).collect()}
+    for i, (_, answer, _, kind, value, values) in enumerate(ANSWERS):
+        if answer == "2027-03-30":  # an amount only if all of it is one
+            kind = "numeric" if re.match(questions.AMOUNT, answer) else "exact"
+        assert (got[i].kind, got[i].value, got[i].values) == (kind, value, values), i
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([("q1", "fb", "what?", ("numeric", "5"), "five", [("d", 1, "text"), ("d", 2, None)], {"native_answer": "x", "sdk_answer": "y", "reads": "1"}), ("q2", "own", "what?", ("numeric", "5"), "five", [("d", 1, "text")], {"native_answer": "x"})], "qid string, dataset string, question string, gold struct<kind: string, value: string>, answer string, evidence array<struct<doc_id: string, page: int, snippet: string>>, trace map<string, string>")
+    a, b = runs.redact(rows, ["fb"]).orderBy("qid").collect()
+    assert (a.question, tuple(a.gold), a.answer, [e.snippet for e in a.evidence], a.trace, a.redacted) == ("fb question q1", ("numeric", None), None, ["", None], {"reads": "1"}, True)
+    assert (b.question, tuple(b.gold), b.answer, b.evidence[0].snippet, b.trace, b.redacted) == ("what?", ("numeric", "5"), "five", "text", {"native_answer": "x"}, False)
+
+
+def test_page_windows(spark):
+    r, text = random.Random(4), "w " * 130
+    table = text + "\n| a | b |\n|---|---|\n| 1 | 2 |"
+    kinds = {d: [r.choice([text, table, "short"]) for _ in range(r.randrange(1, 40))] for d in range(12)} | {99: [table] * 30}
+    pages = spark.createDataFrame([(d, n + 1, t) for d, ts in kinds.items() for n, t in enumerate(ts)], "doc_id long, page int, text string")
+    got = {}
+    for x in drafting.page_windows(pages).collect():
+        got.setdefault(x.doc_id, []).append((x.start, list(x.pages)))
+    for d, ts in kinds.items():
+        starts = sorted(s for s, _ in got.get(d, []))
+        fits = lambda s: all(abs(s - t) > 3 for t in starts)  # noqa: B023, E731
+        assert all(ts[s - 1] != "short" for s in starts) and all(b - a > 3 for a, b in zip(starts, starts[1:]))
+        assert all(p == list(range(s, min(s + 2, len(ts)) + 1)) for s, p in got.get(d, []))
+        # nothing that fits is left out while there is room
+        assert len(starts) == 4 or not any(fits(n + 1) for n, t in enumerate(ts) if t != "short")
+    assert len(got[99]) == 4
+
+
+def test_clusters():
+    import numpy as np
+
+    from lanternrow.operators.retrieval import clusters
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.standard_normal((30, 4)) * 0.1 + c for c in (np.zeros(4), np.full(4, 9.0), np.array([9.0, 0, 0, 0]))])
+    label = clusters(x, 3, r.random(3))
+    assert all(len(set(label[a : a + 30])) == 1 for a in (0, 30, 60)) and len(set(label)) == 3
+    assert len(set(clusters(np.zeros((5, 2)), 3, r.random(3)))) == 1 and clusters(x[:1], 4, r.random(4)).tolist() == [0]
+    means = np.stack([x[label == j].mean(0) for j in range(3)])
+    assert (((x[:, None] - means[None]) ** 2).sum(2).argmin(1) == label).all()
+
+
+def test_near_quotes(spark):
+    page = "The issuer pays a coupon of 5.25 % per annum on each\ncoupon pay-\nment date; the notes are redeemed at par unless a barrier event has occurred."
+    rows = [(1, "pays a coupon of 5.25 % per annum"), (2, "pays a cupon of 5.25 % per anum"), (3, "coupon payment date"), (4, "two words"), (5, "something else that is quite different"), (6, None), (7, "The notes coupon annum barrier par")]
+    from lanternrow.sources.services import fuzzy_quotes
+
+    df = spark.createDataFrame([(i, q, page) for i, q in rows], "i int, quote string, page string").unionByName(spark.createDataFrame([(8, "three whole words", None)], "i int, quote string, page string"))
+    assert {r.i for r in fuzzy_quotes(df).collect() if r.on_page} == {1, 2, 3}
 
 
 def test_all_pages_are_verified_and_checked(spark, tmp_path):
@@ -106,11 +194,11 @@ def test_all_pages_are_verified_and_checked(spark, tmp_path):
     for i, _, t in docs:
         lines = t.split("\n")
         for m, line in enumerate(lines):
-            near = [(SequenceMatcher(None, line, lines[k], autojunk=False).ratio(), -k) for k in range(max(0, m - 2), min(len(lines), m + 3))]
+            near = [(SequenceMatcher(None, *(" ".join(x.split()) for x in (line, lines[k])), autojunk=False).ratio(), -k) for k in range(max(0, m - 2), min(len(lines), m + 3))]
             want[i, m + 1] = 1 - max(near)[1], round(max(near)[0], 6)
             facts[i, m + 1] = i % 2 == 0 and len(line.split()[1:6]) >= 3
     assert {(x.doc_id, x.mapped): (x.page, x.ratio) for x in PLANS["page_verify"](spark, str(tmp_path)).collect()} == want
-    assert {(x.doc_id, x.page): x.quote_ok for x in PLANS["checked_facts_whole"](spark, str(tmp_path)).collect()} == facts
+    assert {(x.doc_id, x.page): x.quote_ok for x in PLANS["checked_facts"](spark, str(tmp_path)).collect()} == facts
 
 
 def test_missing_price_raises(spark):
