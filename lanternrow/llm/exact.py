@@ -3,11 +3,14 @@
 Keys are 64-bit hashes of whole normalised texts. The directory starts with one bucket; a bucket
 that holds more keys than its capacity is split by one more leading bit, and the directory doubles
 whenever a bucket gets deeper than it. The directory has at most 2**MAX_BITS entries, as each
-counts a range of keys, so it is the only thing that the driver sees. Copies are counted per task
-before any shuffle, so a hot text costs one row a task. An owner task holds a bucket range: texts
-with one hash chain there by their position among that hash's different texts, found by comparing
-the texts' bytes (the aggregate's key is the text itself). The index is written as Parquet files
-in the shared folder, a folder a range, sorted by bucket and hash.
+counts a range of keys, so it is the only thing that the driver sees; buckets at that depth hold
+what they hold. Owner tasks hold bucket ranges. A key of one row is written to its bucket as it is.
+Texts of keys with several rows (screened by a bit table of fixed size) are compared by their
+bytes: the aggregate's key is the text, copies are counted per task before any shuffle, so a hot
+text costs one row a task. Different texts of one key chain in its bucket. The index is written as
+Parquet files in the shared folder, a folder a range, sorted by bucket, key and chain, and every
+answer is read from it: by key and SHA-256, which tells a chain's texts apart. Groups above a
+HOT-th of all rows, fewer than HOT, are looked up by broadcast, so no task gets a hot key's rows.
 
 Null texts count as empty, so do empty ones: they are copies of each other. Rows with a null
 doc_id belong to their group; the group's keep_id is its smallest doc_id that is not null, else
@@ -16,15 +19,19 @@ null, and of rows that repeat that doc_id with equal texts one is kept.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import BROADCAST_IDS, stored
 
 #: Leading hash bits that the directory can use at most.
 MAX_BITS = 16
 #: Keys that a bucket holds before it splits.
 CAPACITY = 1 << 20
+#: Bits of the table of keys with several rows, and the share of all rows from which a group is hot.
+TABLE_BITS, HOT = 24, 1000
 
 
 def normalised(text: Column) -> Column:
@@ -64,39 +71,69 @@ def bucket_table(spark, depth: int, buckets: list[tuple[int, int]]) -> DataFrame
     return spark.createDataFrame(rows, "slot long, bucket int")
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, chain.
+def _bit(hash_: Column) -> tuple[Column, Column]:
+    """(word, place in it) of a key in the bit table."""
+    at = F.shiftrightunsigned(hash_, 64 - TABLE_BITS)
+    return F.shiftright(at, 6), at.bitwiseAND(63).cast("int")
 
-    chain numbers the different texts of one hash, 0 unless hashes collide.
-    """
-    spark = docs.sparkSession
-    norm = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("norm")).withColumn("hash", F.xxhash64("norm"))
-    entries = stored(norm.select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "entries")
-    keys = entries.select("hash").distinct()
-    counts = {r[0]: r[1] for r in keys.groupBy(_prefix(MAX_BITS).alias("p")).agg(F.count("*")).collect()}
+
+def build_index(norm: DataFrame, entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The index of norm (doc_id, norm, hash) and its entries (doc_id, hash, sha, row): bucket, hash, chain, sha, keep_id, group_size, stays (a row of entries)."""
+    spark = norm.sparkSession
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    keys = stored(entries.groupBy("hash", "sha").agg(first, F.count("*").alias("n")), "keys")
+    counts = {r[0]: r[1] for r in keys.select("hash").distinct().groupBy(_prefix(MAX_BITS).alias("p")).agg(F.count("*")).collect()}
     # a bucket for each core at least, as far as the directory goes
     fair = -(-sum(counts.values()) // max(1, 4 * spark.sparkContext.defaultParallelism))
     depth, buckets = directory(counts, max(1, min(capacity, fair)))
     slots = bucket_table(spark, depth, buckets)
 
-    texts = norm.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chained = texts.select("hash", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    owned = chained.withColumn("slot", _prefix(depth)).join(F.broadcast(slots), "slot").drop("slot")
-    owned = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("text_sha256")) - 1)
-    owned = owned.repartitionByRange("bucket").sortWithinPartitions("bucket", "hash", "chain")
-    index = stored(owned, "index")
+    several = keys.groupBy("hash").agg(F.sum("n").alias("rows")).filter("rows > 1").select("hash")
+    word, place = _bit(F.col("hash"))
+    bits = several.select(word.alias("w"), F.expr(f"shiftleft(1L, {_place_sql()})").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))  # 2**(TABLE_BITS - 6) rows at most
+    near = norm.withColumn("w", word).join(F.broadcast(bits), "w").filter(F.getbit("v", place) == 1)
+    # the bytes decide: copies are counted by text; what the bit table let through beside has one row a key
+    texts = near.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    compared = texts.select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size").join(several, "hash", "left_semi")
+    alone = keys.join(several, "hash", "left_anti").select("hash", "sha", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    owned = compared.unionByName(alone).join(keys.select("hash", "sha", F.col("first.row").alias("stays")), ["hash", "sha"])
+    owned = owned.withColumn("slot", _prefix(depth)).join(F.broadcast(slots), "slot").drop("slot")
+    owned = owned.withColumn("chain", F.row_number().over(Window.partitionBy("hash").orderBy("sha")) - 1)
+    return stored(owned.repartitionByRange("bucket").sortWithinPartitions("bucket", "hash", "chain"), "index")
+
 
-    # one of the rows that repeat a doc_id and text is kept
-    stays = entries.groupBy("hash", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
-    stays = stays.select("hash", "text_sha256", F.col("stays.row").alias("stays"))
-    found = entries.join(index.drop("bucket").join(stays, ["hash", "text_sha256"]), ["hash", "text_sha256"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), "text_sha256", "chain")
+def _place_sql() -> str:
+    return f"cast(shiftrightunsigned(hash, {64 - TABLE_BITS}) & 63 as int)"
+
+
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
+    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, chain.
+
+    chain numbers the different texts of one hash, 0 unless hashes collide, as they do when hash_bits are few.
+    """
+    plain = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("norm"))
+    norm = plain.withColumn("hash", F.xxhash64("norm").bitwiseAND(F.lit(-1 << 64 - hash_bits)) if hash_bits < 64 else F.xxhash64("norm"))
+    entries = stored(norm.select("doc_id", "hash", F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("row")), "entries")
+    index = build_index(norm, entries, capacity)
+    held, total = index.drop("bucket"), entries.count()
+    hot = F.broadcast(held.filter(F.col("group_size") * HOT > total))  # fewer than HOT rows
+    cold = entries.join(hot, ["hash", "sha"], "left_anti").join(held.filter(F.col("group_size") * HOT <= total), ["hash", "sha"])
+    found = cold.unionByName(entries.join(hot, ["hash", "sha"]))
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "chain")
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the copies; columns as they are. A row of one doc_id and text stays once."""
-    kept = exact_groups(docs, doc_id, text, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    key = docs.withColumn("__sha", F.sha2(normalised(F.col(text)), 256))
-    same = key[doc_id].eqNullSafe(kept["__id"]) & (key["__sha"] == kept["__sha"])
-    out = key.join(kept, same, "left_semi")
-    return out.dropDuplicates([doc_id, "__sha"]).drop("__sha")
+    """docs without the copies; columns as they are, of any name. A row of one doc_id and text stays once."""
+    found = exact_groups(docs, doc_id, text, **options)
+    pairs = stored(found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("not kept or n > 1"), "copies")
+    side = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    rows = docs.alias("docs")
+    same = F.col(f"docs.`{doc_id}`").eqNullSafe(F.col("copy.doc_id")) & (F.sha2(normalised(F.col(f"docs.`{text}`")), 256) == F.col("copy.text_sha256"))
+    out = rows.join(side.alias("copy"), same, "left_anti")
+    twice = pairs.filter("kept")
+    if twice.isEmpty():
+        return out
+    # rows that repeat a doc_id and text, one of which stays
+    key = f"key_{uuid.uuid4().hex}"
+    again = rows.join(twice.alias("copy"), same, "left_semi").withColumn(key, F.sha2(normalised(F.col(text)), 256))
+    return out.unionByName(again.dropDuplicates([doc_id, key]).drop(key))
