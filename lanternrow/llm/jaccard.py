@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import release, sampled, stored
+from .tables import release, sampled, stored, without
 from .words import SPACED, Texts, mix, slices
 
 K, PERCENT, EXTRA = 5, 80, 5
@@ -301,7 +301,9 @@ def _mixed(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     banded = rows.withColumn("own", band).select("token", "cid", "n", "part", "own", F.explode(F.array("own", F.col("own") + 1)).alias("band")).withColumn("guest", F.col("own") != F.col("band"))
     sizes = banded.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("part").alias("x"), F.max("part").alias("y"), F.min("guest").alias("g")).filter("x < y and not g")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / (TILE_SHINGLES // 2)))
+    # a tile of m rows is dealt out in blocks of 8 sqrt(m), within bounds: small enough to share a middling one out, large enough not to copy a large one too often
+    size = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(256.0), 8 * F.sqrt(F.col("m").cast("double"))))
+    blocks = F.greatest(F.ceil(F.col("m") / size), F.ceil(F.col("total") / (TILE_SHINGLES // 2)))
     dealt = banded.join(sizes.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("token", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "n", "part", "guest")
@@ -401,5 +403,4 @@ def drop_linked(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str
     Rows of a null doc_id stay: they have no smallest doc_id to be dropped for.
     """
     found = jaccard_components(docs, k, percent, doc_id, text)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    return without(docs, found.filter("component_id < doc_id").select("doc_id"), doc_id)
