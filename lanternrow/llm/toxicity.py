@@ -2,13 +2,13 @@
 
 Fitting: tokens of labelled texts give log-odds of toxic against clean use with an informative
 Dirichlet prior (the pooled counts); a token is a word or one of a longer word's first bytes, so
-that unseen endings are met. Significant tokens keep their log-odds, all others cost DRIFT. A
-linear scan finds every maximal-scoring segment of a text. Segments are judged by extreme-value
+that unseen endings are met. Significant tokens keep their log-odds, weaker ones the lower bound of
+theirs, all others cost DRIFT. A linear scan finds every maximal-scoring segment of a text. Segments are judged by extreme-value
 statistics: lambda solves E[exp(lambda s)] = 1 for clean tokens, and the location is fitted to the
 maxima of clean texts that the log-odds haven't seen. A text's segments of E below 1 add up, and a
 logistic curve, fitted on the same unseen texts, turns the sum into a score.
 
-The sample of labelled rows is bounded by per_class rows of each label. All of every text is
+The sample of labelled rows is bounded by per_class rows of each label and by bytes. All of every text is
 scanned. Null and empty texts have no segment and get the score of a text without any. With labels
 of only one kind, or none, every score is 0. No row is dropped, repeated rows stay.
 """
@@ -29,6 +29,8 @@ PER_CLASS = 4000
 PREFIXES = (4, 5, 6, 7)
 #: Prior tokens as a share of all, least log-odds of a significant token, and the cost of any other.
 PRIOR, LEAST_ODDS, DRIFT = 0.05, 2.3, 0.25
+#: Least lower bound of a weak token's log-odds, and toxic texts that have it.
+LEAST_WEAK, LEAST_TEXTS = 1.4, 3
 THRESHOLD = 0.7
 _U = np.uint64
 
@@ -181,8 +183,11 @@ def log_odds(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, np.ndarray
     # the root of the likelihood ratio against equal use, where chance alone would reach one in all tokens
     share, both = nt / (nt + nc), ct + clean_count
     ratio = 2 * (ct * np.log(ct / (both * share)) + clean_count * np.log(np.maximum(clean_count, 1e-9) / (both * (1 - share))))
-    keep = (odds >= LEAST_ODDS) & (ct > both * share) & (ratio >= 2 * np.log(max(len(ut), 2)))
-    return ut[keep], odds[keep]
+    strong = (odds >= LEAST_ODDS) & (ct > both * share) & (ratio >= 2 * np.log(max(len(ut), 2)))
+    # others count by a standard deviation less than their log-odds, if texts enough have them and that is still much
+    weak = odds - np.sqrt(1 / (ct + prior) + 1 / (clean_count + prior))
+    keep = strong | ((weak > LEAST_WEAK) & (ct >= LEAST_TEXTS))
+    return ut[keep], np.where(strong, odds, weak)[keep]
 
 
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
@@ -254,9 +259,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
     return source.mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """docs without the rows that are predicted toxic; columns as they are."""
-    model = train(docs, labels, None, per_class=per_class)
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """docs without the rows that are predicted toxic, learned from the labelled rows where train_rows (over doc_id) holds; columns as they are."""
+    model = train(docs, labels, train_rows, per_class=per_class)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
