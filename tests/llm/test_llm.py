@@ -94,11 +94,17 @@ def test_exact(spark, texts):
     for i, t in ids:
         groups[t].append(i)
     least = {t: min((x for x in g if x is not None), default=None) for t, g in groups.items()}
-    got = exact_groups(df, capacity=3).collect()
+    for bits in (64, 3):
+        got = exact_groups(df, capacity=3, hash_bits=bits).collect()
+        assert (max(r.chain for r in got) > 3) == (bits == 3) and len({(r.chain, r.text_sha256) for r in got}) == len(groups)
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == sorted((str(i), str(least[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in ids)
+        assert sum(r.kept for r in got) == len(groups)
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == sorted((str(i), str(least[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in ids)
     assert sum(r.kept for r in got) == len(groups)
-    kept = drop_copies(df)
-    assert kept.columns == df.columns and kept.count() == len(groups)
+    named = df.withColumns({c: F.lit(1) for c in ("__sha", "__id", "__text", "__gone", "hash", "sha", "norm", "kept", "keep_id", "text_sha256", "copy", "docs", "row")})
+    for d in (df, named):
+        kept = drop_copies(d)
+        assert kept.columns == d.columns and kept.count() == len(groups)
     assert exact_groups(table(spark, [])).count() == 0
     assert directory({0: 3, 1: 3, 2: 1, 3: 1}, 4, 2) == (2, [(0, 2), (1, 2), (1, 1)])
 
@@ -181,6 +187,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    from lanternrow.llm.components import components
+
+    n, rounds = 5000, []
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    edges = [(i, i + 1) for i in range(n - 1)] + [(n + a, n + b) for a, b in zip(order, order[1:])]
+    got = components(spark.createDataFrame(edges, "a long, b long"), rounds).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {(0, n), (n, n)} and len(rounds) <= 12
+
+
 def test_warc_round_trip(spark, tmp_path):
     from lanternrow.llm import warc as W
 
@@ -239,7 +256,36 @@ def test_licences(spark, texts):
     assert (labels[0], labels[1], labels[3], labels[5], labels[6]) == ("mit", "", "apache-2", "cc-by-nc", "all-rights-reserved")
     assert all(set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1 for r in got)
     a = L.Automaton("alpha beta <<beginOptional>>gamma <<beginOptional>>delta <<endOptional>><<endOptional>>end <<var;name=x;most=2>> stop")
-    assert [a.match(s.encode().split(), 0) for s in ("alpha beta end stop", "alpha beta gamma end a b stop", "alpha beta gamma delta end stop", "alpha beta delta end stop", "alpha beta end a b c stop")] == [4, 7, 6, None, None]
+    assert [a.match(s.encode().split(), 0) for s in ("alpha beta end stop", "alpha beta gamma end a b stop", "alpha beta gamma delta end stop", "alpha beta delta end stop", "alpha beta end a b c stop", "alpha beta end a b c", "alpha beta end a stop b stop")] == [4, 7, 6, None, 7, None, 5]
+
+
+def test_licence_regions(spark):
+    import time
+
+    from lanternrow.llm import license_scan as L
+
+    holder = "Copyright (c) 1989, 1990, 1991, 1992, 1993, 1994 The Regents of the University of California and others. "
+    bsd = dict(L.TEMPLATES)["bsd"].split("<<beginOptional>><<beginOptional>>3")[0].replace("<<beginOptional>>", "").replace("<<endOptional>>", "")
+    texts = [holder + "All rights reserved", "copyright here\n\nnothing; all rights reserved", "Copyright a. All rights reserved. b all rights reserved", bsd, bsd.replace("binary forms must reproduce", "binary forms should reproduce").replace("source code must", "source code may"), "copyright all " * 40_000, "copyright all rights reserved " * 20_000]
+    began = time.time()
+    got = {r.doc_id: r for r in L.scan_licences(table(spark, texts)).collect()}
+    assert time.time() - began < 60
+    assert [got[i].labels for i in range(6)] == ["all-rights-reserved", "", "all-rights-reserved", "bsd", "", ""] and got[2].spans.startswith("0-5:") and len(got[6].spans.split()) == 20_000
+
+    def brute(parts, words):
+        """Whether a template of words and regions (None) matches from the front, by trying all."""
+        if not parts:
+            return True
+        if parts[0] is None:
+            return any(brute(parts[1:], words[k:]) for k in range(len(words) + 1))
+        return bool(words) and words[0] == parts[0] and brute(parts[1:], words[1:])
+
+    r = random.Random(8)
+    for _ in range(300):
+        parts = [b"a", *(r.choice([b"a", b"b", None]) for _ in range(r.randrange(1, 5)))]
+        words = [r.choice([b"a", b"b", b"c"]) for _ in range(r.randrange(1, 9))]
+        template = " ".join("<<var;name=x>>" if x is None else x.decode() for x in parts)
+        assert (L.Automaton(template).match(words, 0) is not None) == brute(parts, words), (template, words)
 
 
 def test_decontamination(spark):
