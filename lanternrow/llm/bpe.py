@@ -3,7 +3,8 @@
 The ranks of a byte-level vocabulary are put into a sentencepiece model file directly, field by
 field: every token becomes a piece whose bytes are mapped to printable characters and whose score
 is the negative rank, and normalisation is the identity. Pre-tokens (each match of the pattern) are
-encoded one by one by that model; decoding joins the ids' own bytes.
+encoded one by one by that model, those that are whole tokens as such; decoding reads the ids'
+pieces from the model and maps their characters back to bytes. Bytes without a piece are an error.
 
 Null texts count as empty: no ids, empty bytes. No row is dropped, repeated rows stay.
 """
@@ -82,6 +83,9 @@ class ByteBpe:
         self.split = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
         self.letters = dict(enumerate(byte_characters()))
+        back = {c: b for b, c in self.letters.items()}
+        #: The bytes of the model's own pieces, by the inverse of the characters; piece r + 1 is rank r.
+        self.bytes = [bytes(map(back.__getitem__, self.model.id_to_piece(i + 1))) for i in range(len(tokens))]
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -89,7 +93,10 @@ class ByteBpe:
         data = text.encode("utf-8", "surrogatepass")
         if (rank := self.whole.get(data)) is not None:
             return (rank,)
-        return tuple(i - 1 for i in self.model.encode(data.decode("latin-1").translate(self.letters)))
+        ids = self.model.encode(data.decode("latin-1").translate(self.letters))
+        if 0 in ids:
+            raise ValueError(f"the vocabulary has no pieces for {data!r}")
+        return tuple(i - 1 for i in ids)
 
     def encode(self, text: str | None) -> list[int]:
         found = self.split(text or "")
@@ -101,7 +108,7 @@ class ByteBpe:
         return list(chain.from_iterable(map(known.__getitem__, found)))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.bytes.__getitem__, ids))
 
 
 def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:

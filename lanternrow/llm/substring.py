@@ -5,7 +5,8 @@ hashes, so only those minima, about one word place in sixteen, go to the index.
 of immutable runs, each a table sorted and bucketed by fingerprint. A new batch is sorted once and
 merge-joined with every run; a fingerprint met before, or twice in the batch, is a hit. The batch
 then becomes a run itself, and runs are merged into one when there are more than `fan`. Windows
-around hits are verified by two 64-bit hashes of all their words: those that occur once stay.
+around hits are verified by 96 bits of hashes of all their words, which rest on 64-bit hashes of the
+single words: those that occur once stay.
 
 Texts of equal word sequences are judged once: where there are several of WINDOW words or more,
 all their words go. Null and empty texts have no words. Repeated rows are copies of each other.

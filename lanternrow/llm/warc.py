@@ -5,7 +5,8 @@ for each record one Zstandard frame made with that dictionary. Tasks write files
 name to the shared folder and pass on their paths, which Spark commits as a table, so a task that
 is run again leaves no record twice. Files are read a chunk at a time, one record in memory.
 
-The dictionary is trained on a bounded sample of payloads (SAMPLE_ROWS); with too few rows there
+The dictionary is trained on a bounded sample of whole payloads, by the smallest hashes of page_id
+(SAMPLE_ROWS, SAMPLE_BYTES); with too few rows there
 is none. A null html is an empty payload; a null url has no target field, a null page_id no id
 field and reads back as null. Of records with equal payloads of at least REVISIT_BYTES, those with
 the largest page_id are responses; the others revisit it. Repeated rows stay.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shared_folder, stored
+from .tables import sampled, shared_folder, stored
 
 #: Fixed values of the format.
 SKIPPABLE = 0x184D2A5D
@@ -32,7 +33,9 @@ END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 REVISIT_BYTES = 1000
-SAMPLE_ROWS = 400
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 16 << 20
+#: Repeated payloads up to which all are looked up by broadcast; beyond, only those above a HOT-th of all rows.
+BROADCAST_FIRSTS, HOT = 500_000, 1000
 DICT_BYTES = 32 << 10
 #: Uncompressed bytes after which a task begins another file.
 FILE_BYTES = 256 << 20
@@ -153,17 +156,31 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes | No
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null as empty), refers_to: the page_id of the response that a row revisits."""
+    """page_id, url, html (null as empty), refers_to: the page_id of the response that a row revisits.
+
+    Payloads that repeat are counted by digest, with their rows counted per task first. The few that
+    make up more than a HOT-th of all rows are looked up by broadcast, so no task gets a hot payload's rows.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     large = F.octet_length("html") >= REVISIT_BYTES
-    rows = rows.withColumn("key", F.when(large, F.sha2("html", 256)).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
-    firsts = rows.filter(large).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(firsts, "key", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    rows = rows.withColumn("key", F.when(large, F.unhex(F.sha2("html", 256))))
+    firsts = rows.filter(large).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    firsts, total = stored(firsts, "firsts"), pages.count()
+    if firsts.count() <= BROADCAST_FIRSTS:
+        found = rows.join(F.broadcast(firsts.drop("n")), "key", "left")
+    else:
+        hot = F.broadcast(firsts.filter(F.col("n") * HOT > total).select("key", F.col("last").alias("hot_last")))  # fewer than HOT rows
+        marked = rows.join(hot, "key", "left")
+        # keys of their own for rows that have no partner to meet
+        met = F.when(F.col("hot_last").isNull(), F.col("key"))
+        marked = marked.withColumn("key", F.coalesce(met, F.unhex(F.sha2(F.concat_ws(" ", F.lit("alone"), F.col("page_id").cast("string"), "url"), 256))))
+        found = marked.join(firsts.filter(F.col("n") * HOT <= total).drop("n"), "key", "left").withColumn("last", F.coalesce("hot_last", "last"))
+    return found.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes with_revisits(pages) to archives in folder; returns the table of their paths and record counts."""
-    sample = [r[0].encode("utf-8", "surrogatepass") for r in pages.filter("html is not null").select(F.substring("html", 1, 20_000)).limit(SAMPLE_ROWS).collect()]
+    sample = [t.encode("utf-8", "surrogatepass") for t in sampled(pages.filter("html is not null"), "html", SAMPLE_ROWS, SAMPLE_BYTES, "page_id")]
     dictionary = train_dictionary([record_bytes(0, "", s, None) for s in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -215,6 +215,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert W.round_trip(spark.createDataFrame([], pages.schema)).count() == 0
 
 
+def test_warc_revisits_by_shuffle(spark, monkeypatch):
+    from lanternrow.llm import warc as W
+
+    rows = [(i, f"u{i}", "<p>" + str(i % 4) * 1200) for i in range(300)] + [(i, "u", "hot " * 400) for i in range(300, 400)] + [(400 + i, None, "small") for i in range(9)] + [(None, None, None)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, W.with_revisits(pages).collect()), key=str)
+    monkeypatch.setattr(W, "BROADCAST_FIRSTS", 0)
+    for hot in (1, 5, 1000):
+        monkeypatch.setattr(W, "HOT", hot)
+        assert sorted(map(tuple, W.with_revisits(pages).collect()), key=str) == want
+    assert {x[3] for x in want} == {None, 299, 298, 297, 296, 399}
+
+
 def test_warc_validation():
     import struct
 
@@ -562,6 +575,28 @@ def test_pipeline(spark):
     assert c.run(spark, SF).count() == docs.count()
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path, texts):
+    import corpus_pipeline as c
+
+    odd = [t for t in texts if t is not KEYLESS][:40] + ["x " * 100_000, None, "", "twice over", "twice over"]
+    names = ("__sha", "gone", "ids", "docs", "score", "hash", "norm", "key", "__text")
+    docs = table(spark, odd).unionByName(table(spark, [KEYLESS])).unionByName(table(spark, odd[:3])).drop("score", "key").withColumns({n: F.lit(n) for n in names})
+    labels = "doc_id long, quality int, toxic int"
+    for case, rows in (("full", docs), ("empty", docs.limit(0))):
+        at = f"{tmp_path}/{case}"
+        rows.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None), (3, 1, 0)] if case == "full" else [], labels).write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, odd[8]), (2, None), (3, ""), (1, odd[8])] if case == "full" else [], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        kept = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in c.STAGES[:-1]:
+            before, kept = kept, c.stored(stage(spark, kept, at), "odd")
+            assert kept.columns == docs.columns and kept.exceptAll(before).count() == 0
+        got = c.run(spark, at).collect()
+        assert len(got) == kept.count() and (case == "full") == bool(got)
+        # document 8 is item 1
+        assert 8 not in {r.doc_id for r in got}
+
+
 def test_crc(spark):
     from lanternrow.llm.tables import crc_mod
 
