@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternrow.llm.tables import stored, table
+from lanternrow.llm.tables import crc_mod, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.7 or more go; the model learns from labels and docs."""
+    """Documents whose toxicity score is 0.7 or more go; the model learns from the labelled two thirds that aren't held out."""
     from lanternrow.llm.toxicity import drop_toxic
 
-    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+    return drop_toxic(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
