@@ -109,13 +109,37 @@ def _cluster(nodes: DataFrame, branching: int, seed: int) -> DataFrame:
     return R.grouped_clusters(nodes, "doc_id", "node_id", "embedding", lambda n: -(-n // branching), seed)
 
 
+def vec_tree(questions: DataFrame, cards: DataFrame, scope: DataFrame, reads: DataFrame, k: int = 3) -> DataFrame:
+    """qid, seq, doc_id, page, doc_rank: what was read (qid, seq, doc_id, page) within the k documents of the question's
+    scope (qid, doc_id) whose cards (doc_id, embedding) are nearest to it (qid, embedding)."""
+    near = scope.select("qid", "doc_id").join(R.small(questions.select("qid", F.col("embedding").alias("q"))), "qid").join(cards.select("doc_id", "embedding"), "doc_id")
+    best = R.top_k(near.select("qid", "doc_id", R.dot(F.col("embedding"), F.col("q")).alias("score")), "qid", k, "doc_id")
+    return reads.join(best.select("qid", "doc_id", F.col("rank").alias("doc_rank")), ["qid", "doc_id"]).select("qid", "seq", "doc_id", "page", "doc_rank")
+
+
+def raptor(questions: DataFrame, nodes: DataFrame, scope: DataFrame, budget: int = 2000) -> DataFrame:
+    """qid, rank, node_id, doc_id, page, end_page, kind: nodes of all levels by their nearness, taken while they fit `budget` words.
+
+    nodes (node_id, doc_id, level, start_page, end_page, text, embedding), scope (qid, doc_id, pos);
+    summaries carry their last page. Equal scores go by the scope's order, then by level and node.
+    """
+    sized = nodes.select("node_id", "doc_id", "level", "start_page", "end_page", F.size(words(F.col("text"))).alias("n_words"), "embedding")
+    near = scope.join(R.small(questions.select("qid", F.col("embedding").alias("q"))), "qid").join(sized, "doc_id").withColumn("score", R.dot(F.col("embedding"), F.col("q")))
+    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "pos", "level", "start_page", "node_id")
+    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("n_words") <= budget)
+    taken = greedy_budget(ranked.select("qid", "rank", "n_words", "node_id"), "qid", budget)
+    kind = F.when(F.col("level") == 0, "chunk").otherwise("summary")
+    return taken.join(nodes.select("node_id", "doc_id", "level", "start_page", "end_page"), "node_id").select("qid", "rank", "node_id", "doc_id", F.col("start_page").alias("page"), F.when(F.col("level") > 0, F.col("end_page")).alias("end_page"), kind.alias("kind"))
+
+
 #: Methods by name, with the family that each belongs to.
 ARMS: dict[str, tuple[str, Callable]] = {
     "oracle": ("control", oracle),
     "chunk_embed": ("vector", chunk_embed),
     "hybrid_rerank": ("vector", hybrid_rerank),
     "long_context": ("context", long_context),
-    "raptor": ("tree", raptor_levels),
+    "raptor": ("tree", raptor),
+    "vec_tree": ("hybrid", vec_tree),
 }
 
 

@@ -19,7 +19,7 @@ def mock_chat(prompt: str) -> dict:
 
 
 def complete(prompts: DataFrame, key: str = "qid", prompt: str = "prompt", service: Callable[[str], dict] = mock_chat, tries: int = 3, wait: float = 0.5) -> DataFrame:
-    """key and the answer's fields. A call is tried again with doubled waits; what still fails is a row with error set.
+    """key and the answer's fields. A call is tried again with doubled waits; what still fails is a row with error set. Refused stops the job.
 
     Write the result before using it twice: a plan that is run again calls the service again.
     """
@@ -35,6 +35,8 @@ def complete(prompts: DataFrame, key: str = "qid", prompt: str = "prompt", servi
                     try:
                         row |= service(p or "") | {"error": None, "latency_s": time.time() - began}
                         break
+                    except Refused:
+                        raise
                     except Exception as e:  # noqa: BLE001  the service's errors are results
                         row["error"] = f"{type(e).__name__}: {e}"
                         if n + 1 < tries:
@@ -94,3 +96,75 @@ def best_page(evidence: DataFrame, pages: DataFrame, reach: int = 2) -> DataFram
     plain = lambda c: F.trim(collapse(fold(F.col(c))))
     rows = rows.withColumn("ratio", ratio(plain("text"), plain("page_text")))
     return rows.groupBy("doc_id", "mapped").agg(F.max_by(F.struct("page", "ratio"), F.struct("ratio", -F.col("page"))).alias("r")).select("doc_id", "mapped", "r.page", "r.ratio")
+
+
+class Refused(Exception):
+    """A request that the service will never take: not tried again and not made a row, the job stops."""
+
+
+def mock_embed(texts: list[str]) -> dict:
+    """Vectors of (bytes, spaces, 1), the last first, with their index; tokens are words."""
+    data = [{"index": i, "embedding": [float(len(t.encode())), float(t.count(" ")), 1.0]} for i, t in enumerate(texts)]
+    return {"data": data[::-1], "prompt_tokens": sum(len(t.split()) for t in texts)}
+
+
+def embed(texts: DataFrame, key: str, text: str = "text", service: Callable[[list[str]], dict] = mock_embed, size: int = 64) -> DataFrame:
+    """key, embedding of unit length (a zero vector stays), input_tokens. Texts go in requests of `size`; answers are put back by their index.
+
+    A request's tokens stand on its first row and the others have 0, so that their sum is what was used. Null texts are empty.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at : at + size]
+                asked = [t or "" for t in part[text]]
+                answer = service(asked)
+                if sorted(d["index"] for d in answer["data"]) != list(range(len(asked))):
+                    raise ValueError(f"{len(asked)} texts were sent, but the answer's indices are others")
+                x = np.asarray([d["embedding"] for d in sorted(answer["data"], key=lambda d: d["index"])], np.float64)
+                length = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, length, out=x, where=length > 0)
+                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(x), "input_tokens": [int(answer["prompt_tokens"])] + [0] * (len(asked) - 1)})
+
+    return texts.select(key, text).mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<double>, input_tokens long")
+
+
+def mock_rerank(query: str, documents: list[str]) -> list[dict]:
+    """The shorter text's length over the longer one's in bytes, the best first."""
+    size = [(len(query.encode()), len(d.encode())) for d in documents]
+    found = [{"index": i, "relevance_score": min(s) / max(*s, 1)} for i, s in enumerate(size)]
+    return sorted(found, key=lambda r: -r["relevance_score"])
+
+
+def rerank(
+    candidates: DataFrame, query_key: str, key: str, service: Callable[[str, list[str]], list[dict]] = mock_rerank, query: str = "query", document: str = "document",
+    query_form: str = "{query}", document_form: str = "{document}",
+) -> DataFrame:
+    """query_key, key, score of each candidate, one request a query; scores are put back by their index. No candidates, no rows.
+
+    Candidates of a query are a top list, so a query's group is bounded by its length. The forms' braces are replaced as they stand.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from ..functions.text import expand
+
+    none = F.lit("")
+    rows = candidates.select(
+        query_key, key, expand(query_form, F.coalesce(F.col(query), none), none).alias("q"), expand(document_form, F.coalesce(F.col(query), none), F.coalesce(F.col(document), none)).alias("d")
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        score = [float("nan")] * len(pdf)
+        for r in service(pdf["q"].iloc[0], pdf["d"].tolist()):
+            score[r["index"]] = float(r["relevance_score"])
+        if any(s != s for s in score):
+            raise ValueError("the answer has no score for some documents")
+        return pd.DataFrame({query_key: pdf[query_key].to_numpy(), key: pdf[key].to_numpy(), "score": score})
+
+    types = dict(candidates.dtypes)
+    return rows.groupBy(query_key).applyInPandas(run, f"{query_key} {types[query_key]}, {key} {types[key]}, score double")
