@@ -73,14 +73,16 @@ def answer(questions: DataFrame, blocks: DataFrame, service: Callable[[str], dic
     return found.join(asked.select("qid", "truncated"), "qid").select("qid", raw.alias("raw"), extract_final(raw).alias("answer"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "input_tokens", "output_tokens", "latency_s", error.alias("error"))
 
 
-def judge(rows: DataFrame, service: Callable[[str], dict], key: str = "qid") -> DataFrame:
-    """key, correct, error of rows (key, question, gold, candidate): right if the verdict begins with CORRECT in any case."""
+def judge(rows: DataFrame, service: Callable[[str], dict], key: str = "qid", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep, said, unsaid of rows (key, question, gold, candidate): right if the verdict begins with CORRECT in any case;
+    unsaid is the service's error. With keep, rows without a candidate pass by unjudged."""
     prompt = F.concat_ws(
         "\n", F.lit("Does the candidate state the same fact as the reference? Other wording is fine. Reply with one word, CORRECT or INCORRECT."),
         F.concat(F.lit("Question: "), F.coalesce("question", F.lit(""))), F.concat(F.lit("Reference: "), F.coalesce("gold", F.lit(""))), F.concat(F.lit("Candidate: "), F.coalesce("candidate", F.lit(""))),
     )
-    found = complete(rows.select(key, prompt.alias("prompt")), key, service=service)
-    return found.select(key, F.upper(F.regexp_replace("text", r"^\s+", "")).startswith("CORRECT").alias("correct"), "error")
+    asked = rows.select(key, *keep, F.when(F.col("candidate").isNotNull() | F.lit(not keep), prompt).alias("prompt"))
+    found = complete(asked, key, service=service, keep=keep)
+    return found.select(key, *keep, F.upper(F.regexp_replace("text", r"^\s+", "")).startswith("CORRECT").alias("said"), F.col("error").alias("unsaid"))
 
 
 def stopped(rows: DataFrame) -> DataFrame:
@@ -117,10 +119,11 @@ def evaluate(questions: DataFrame, retrieved: DataFrame, pages: DataFrame, servi
     found = answer(questions, retrieved.select("qid", "rank", "text"), service, budget)
     scored = questions.join(found, "qid").withColumn("s", score(F.col("raw"), F.col("gold.kind"), F.col("gold.value"), F.col("gold.values")))
     scored = scored.select("qid", "question", "answer", "error", gold_text(F.col("gold.kind"), F.col("gold.value"), F.col("gold.values")).alias("gold"), "s.*")
-    open_ = scored.filter("error is null and correct is null")
-    verdict = judge(open_.select("qid", "question", "gold", F.col("answer").alias("candidate")), judged_by).select("qid", F.col("correct").alias("said"), F.col("error").alias("unsaid"))
-    rows = scored.join(verdict, "qid", "left").join(M.evidence_metrics(questions, retrieved), "qid").join(parse_failure(questions, pages), "qid")
-    rows = rows.withColumns({"correct": F.coalesce("correct", "said"), "error": F.coalesce("error", "unsaid")})
-    why = M.failure_class(F.col("correct"), F.col("failure"), F.col("recall"), F.col("wrong_doc"), F.col("parse_failure"))
-    ran = rows.select("qid", "answer", "correct", F.col("method").alias("judge"), F.col("recall").alias("evidence_recall"), F.col("precision").alias("evidence_precision"), "wrong_doc", why.alias("failure"), "error")
-    return ran.filter("error is null").unionByName(error_rows(ran))
+    scored = scored.withColumnRenamed("error", "unanswered").withColumn("candidate", F.when(F.col("unanswered").isNull() & F.col("correct").isNull(), F.coalesce("answer", F.lit(""))))
+    # the judge's pass carries the answers on, so that no service is asked twice
+    rows = judge(scored, judged_by, keep=("answer", "correct", "method", "failure", "unanswered"))
+    rows = rows.join(M.evidence_metrics(questions, retrieved), "qid").join(parse_failure(questions, pages), "qid")
+    rows = rows.withColumns({"correct": F.coalesce("correct", "said"), "error": F.coalesce("unanswered", "unsaid")})
+    why, ran = M.failure_class(F.col("correct"), F.col("failure"), F.col("recall"), F.col("wrong_doc"), F.col("parse_failure")), F.col("error").isNull()
+    kept = {"correct": "correct", "method": "judge", "recall": "evidence_recall", "precision": "evidence_precision", "wrong_doc": "wrong_doc"}
+    return rows.select("qid", F.when(ran, F.col("answer")).alias("answer"), *(F.when(ran, F.col(c)).alias(n) for c, n in kept.items()), F.when(ran, why).otherwise("error").alias("failure"), "error")

@@ -141,9 +141,14 @@ def excerpt(text: Column, quote: Column, reach: int = 450, most: int = 12) -> Co
     parts = F.slice(F.regexp_extract_all(F.coalesce(quote, F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)), 1, most)
     # words have no marks, so the pattern needs no escapes
     pattern = F.concat(F.lit("(?iu)"), F.array_join(parts, r"[^\p{L}\p{M}\p{N}_]+"))
-    marked = F.when(F.size(parts) >= 3, F.regexp_substr(page, pattern))
-    at = F.instr(page, F.coalesce(marked, F.lit("")))
-    before = F.substr(page, F.greatest(at - reach, F.lit(1)), at - F.greatest(at - reach, F.lit(1)))
-    after = F.substr(page, at + F.length(marked), F.lit(reach))
-    part = lambda a, b, c, ok: F.struct(a.alias("before"), b.alias("marked"), c.alias("after"), F.lit(ok).alias("found"))
-    return F.when(marked.isNotNull(), part(before, marked, after, True)).otherwise(part(F.left(page, F.lit(2 * reach)), F.lit(""), F.lit(""), False))
+    found = F.when(F.size(parts) >= 3, F.regexp_substr(page, pattern))
+
+    def cut(p: Column, marked: Column) -> Column:
+        at = F.instr(p, F.coalesce(marked, F.lit("")))
+        first = F.greatest(at - reach, F.lit(1))
+        part = lambda a, b, c, ok: F.struct(a.alias("before"), b.alias("marked"), c.alias("after"), F.lit(ok).alias("found"))
+        whole = part(F.left(p, F.lit(2 * reach)), F.lit(""), F.lit(""), False)
+        return F.when(marked.isNotNull(), part(F.substr(p, first, at - first), marked, F.substr(p, at + F.length(marked), F.lit(reach)), True)).otherwise(whole)
+
+    # bound as a lambda's variable, the page is searched once
+    return F.get(F.transform(F.array(F.struct(page.alias("p"), found.alias("m"))), lambda x: cut(x["p"], x["m"])), F.lit(0))

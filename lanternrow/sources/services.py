@@ -18,8 +18,8 @@ def mock_chat(prompt: str) -> dict:
     return {"text": text, "input_tokens": len(prompt.split()), "output_tokens": len(text.split()), "finish_reason": "stop"}
 
 
-def complete(prompts: DataFrame, key: str = "qid", prompt: str = "prompt", service: Callable[[str], dict] = mock_chat, tries: int = 3, wait: float = 0.5) -> DataFrame:
-    """key and the answer's fields. A call is tried again with doubled waits; what still fails is a row with error set. Refused stops the job.
+def complete(prompts: DataFrame, key: str = "qid", prompt: str = "prompt", service: Callable[[str], dict] = mock_chat, tries: int = 3, wait: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key and the answer's fields, and the columns of `keep` as they are; with `keep`, rows without a prompt pass by without a call. A call is tried again with doubled waits; what still fails is a row with error set. Refused stops the job.
 
     Write the result before using it twice: a plan that is run again calls the service again.
     """
@@ -28,9 +28,9 @@ def complete(prompts: DataFrame, key: str = "qid", prompt: str = "prompt", servi
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, p in zip(pdf[key], pdf[prompt], strict=True):
-                row: dict = {key: k, "text": None, "input_tokens": None, "output_tokens": None, "latency_s": None, "finish_reason": None, "error": None}
-                for n in range(tries):
+            for at, (k, p) in enumerate(zip(pdf[key], pdf[prompt], strict=True)):
+                row: dict = {key: k} | {c: pdf[c].iloc[at] for c in keep} | {"text": None, "input_tokens": None, "output_tokens": None, "latency_s": None, "finish_reason": None, "error": None}
+                for n in range(0 if keep and p is None else tries):
                     began = time.time()
                     try:
                         row |= service(p or "") | {"error": None, "latency_s": time.time() - began}
@@ -42,9 +42,10 @@ def complete(prompts: DataFrame, key: str = "qid", prompt: str = "prompt", servi
                         if n + 1 < tries:
                             time.sleep(min(30.0, wait * 2**n))
                 out.append(row)
-            yield pd.DataFrame(out, columns=[key, "text", "input_tokens", "output_tokens", "latency_s", "finish_reason", "error"]).astype({"text": object, "input_tokens": "Int64", "output_tokens": "Int64", "latency_s": "Float64", "finish_reason": object, "error": object})
+            yield pd.DataFrame(out, columns=[key, *keep, "text", "input_tokens", "output_tokens", "latency_s", "finish_reason", "error"]).astype({"text": object, "input_tokens": "Int64", "output_tokens": "Int64", "latency_s": "Float64", "finish_reason": object, "error": object})
 
-    return prompts.select(key, prompt).mapInPandas(run, f"{key} {dict(prompts.dtypes)[key]}, {ANSWER}")
+    types = dict(prompts.dtypes)
+    return prompts.select(key, prompt, *keep).mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in (key, *keep)) + f", {ANSWER}")
 
 
 def fuzzy_quotes(rows: DataFrame, quote: str = "quote", page: str = "page", least: float = 0.9) -> DataFrame:
@@ -154,13 +155,13 @@ def rerank(
 
     none = F.lit("")
     rows = candidates.select(
-        query_key, key, expand(query_form, F.coalesce(F.col(query), none), none).alias("q"), expand(document_form, F.coalesce(F.col(query), none), F.coalesce(F.col(document), none)).alias("d")
+        query_key, key, expand(query_form, F.coalesce(F.col(query), none), none).alias("__query"), expand(document_form, F.coalesce(F.col(query), none), F.coalesce(F.col(document), none)).alias("__document")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")
         score = [float("nan")] * len(pdf)
-        for r in service(pdf["q"].iloc[0], pdf["d"].tolist()):
+        for r in service(pdf["__query"].iloc[0], pdf["__document"].tolist()):
             score[r["index"]] = float(r["relevance_score"])
         if any(s != s for s in score):
             raise ValueError("the answer has no score for some documents")

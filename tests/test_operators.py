@@ -259,3 +259,99 @@ def test_streams(spark, tmp_path):
     upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert windowed_counts(stream.withColumn("ts", F.current_timestamp()).withColumn("event_type", F.col("id"))).columns == ["start", "event_type", "n"]
+
+
+def test_embedding_service_puts_vectors_back_in_order(spark):
+    from lanternrow.sources.services import embed
+
+    rows = spark.createDataFrame([(i, "x" * i if i else None) for i in range(130)], "k int, text string").coalesce(1)
+    got = embed(rows, "k").collect()
+    assert sorted(r.k for r in got) == list(range(130))
+    for r in got:
+        size = (r.k**2 + 1) ** 0.5
+        assert r.embedding == pytest.approx([r.k / size, 0.0, 1 / size])
+    assert sum(r.input_tokens for r in got) == 129
+    assert embed(rows.limit(0), "k").count() == 0
+
+
+def test_rerank_service_scatters_scores_and_takes_nothing(spark):
+    from lanternrow.sources.services import rerank
+
+    rows = spark.createDataFrame([(1, 1, "ab{document}", "a"), (1, 2, "ab{document}", "x" * 12), (2, 1, None, None)], "q int, d int, query string, document string")
+    got = {(r.q, r.d): r.score for r in rerank(rows, "q", "d").collect()}
+    assert got[(1, 1)] == pytest.approx(1 / 12) and got[(1, 2)] == 1.0 and got[(2, 1)] == 0.0
+    assert rerank(rows.limit(0), "q", "d").count() == 0
+
+
+def test_refused_requests_stop_the_job(spark):
+    from lanternrow.sources.services import Refused, complete
+
+    def refuse(prompt):
+        raise Refused("bad request")
+
+    with pytest.raises(Exception, match="bad request"):
+        complete(spark.createDataFrame([("q", "p")], "qid string, prompt string"), service=refuse).collect()
+
+
+def test_evaluation_asks_each_service_once_and_keeps_errors(spark, tmp_path):
+    from lanternrow.operators import evaluation as E
+
+    log = str(tmp_path / "calls")
+
+    def note(line):
+        with open(log, "a") as f:
+            f.write(line + "\n")
+
+    def chat(prompt):
+        q = prompt.splitlines()[-1]
+        note(f"answer {q}")
+        if q == "long":
+            return {"text": "ANSWER: x", "input_tokens": 1, "output_tokens": 1, "finish_reason": "length"}
+        return {"text": f"ANSWER: {q}", "input_tokens": 1, "output_tokens": 1, "finish_reason": "stop"}
+
+    def verdict(prompt):
+        note("judge " + prompt.splitlines()[-1])
+        return {"text": "\n correct", "input_tokens": 1, "output_tokens": 1, "finish_reason": "stop"}
+
+    kinds = [("a", "one", "exact", "one"), ("b", "two", "exact", "other"), ("c", "long", "exact", "x"), ("d", "four", "free", "4"), ("e", "five", "exact", "other"), ("f", "six", "unanswerable", None)]
+    q = spark.createDataFrame([(k, t, ["d"], [("d", 2 if k == "e" else 1)], (kind, v, None)) for k, t, kind, v in kinds], "qid string, question string, doc_ids array<string>, evidence array<struct<doc_id: string, page: int>>, gold struct<kind: string, value: string, values: array<string>>")
+    pages = spark.createDataFrame([("d", 1, "text"), ("d", 2, " \n")], "doc_id string, page int, text string")
+    got = spark.createDataFrame([(k[0], 1, "d", 1, "chunk", "text") for k in kinds], "qid string, rank int, doc_id string, page int, kind string, text string")
+    out = {r.qid: r for r in E.evaluate(q, got, pages, chat, verdict).collect()}
+    assert {k: (r.correct, r.failure) for k, r in out.items()} == {
+        "a": (True, None), "b": (False, "right_evidence_wrong_answer"), "c": (None, "error"), "d": (True, None), "e": (False, "parse_failure"), "f": (False, "answered_unanswerable"),
+    }
+    assert out["c"].evidence_recall is None and "cut off" in out["c"].error and out["d"].judge == "llm"
+    calls = open(log).read().splitlines()
+    assert sorted(calls) == sorted([f"answer {k[1]}" for k in kinds] + ["judge Candidate: four"])
+
+
+def test_paired_statistics(spark):
+    from math import comb
+
+    from lanternrow.operators import review as V
+
+    a = spark.createDataFrame([(i, i < 12) for i in range(20)] + [(99, None)], "qid int, correct boolean")
+    b = spark.createDataFrame([(i, i >= 9 and i % 2 == 1) for i in range(20)] + [(99, True)], "qid int, correct boolean")
+    r = V.paired(a, b).first()
+    x, y = r.only_a, r.only_b
+    assert (r.n, x + y + r.both <= 20) == (20, True)
+    assert r.p == pytest.approx(min(1.0, 2 * sum(comb(x + y, i) for i in range(min(x, y) + 1)) / 2 ** (x + y)))
+    assert V.paired(a, a).first().p == 1.0 and V.paired(a.limit(0), b).first().n == 0
+    h = {r.k: (round(r.adjusted, 6), r.rejected) for r in V.holm(spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "k string, p double")).collect()}
+    assert h == {"a": (0.03, True), "c": (0.06, False), "b": (0.06, False)}
+    up = V.paired_bootstrap(a.na.drop().select("qid", a.correct.cast("int").alias("v")), b.na.drop().select("qid", b.correct.cast("int").alias("v")), "qid", "v", 500).first()
+    assert up.low <= up.difference <= up.high and 0 <= up.wins <= 1
+
+
+def test_quota_gaps_of_an_empty_set_and_excerpts(spark):
+    from pyspark.sql import functions as F
+
+    from lanternrow.operators import review as V
+
+    none = spark.createDataFrame([], "qid string, pair_id string, regime string, qtype string, split string")
+    assert V.quota_gaps(none).count() == 2 * 2 + 6
+    rows = spark.createDataFrame([("a" * 600 + " The Rate,\nis FIVE per cent. " + "b" * 600, "rate is five"), ("x ---- y", "too short"), (None, None)], "t string, q string")
+    one, two, three = (r.e for r in rows.select(V.excerpt(F.col("t"), F.col("q")).alias("e")).collect())
+    assert (one.found, one.marked, len(one.before), len(one.after)) == (True, "Rate,\nis FIVE", 450, 450)
+    assert (two.found, two.before) == (False, "x — y") and three.before == ""
