@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,8 +119,9 @@ def sse_usage(stream: Column) -> Column:
 
 
 def expand(template: str, query: Column, document: Column) -> Column:
-    """{query} and {document} put in by plain replacement, so that braces survive."""
-    return F.replace(F.replace(F.lit(template), F.lit("{query}"), query), F.lit("{document}"), document)
+    """The template with {query} and {document} put in as they stand: braces in either survive."""
+    parts = re.split(r"(\{query\}|\{document\})", template)
+    return F.concat(*({"{query}": query, "{document}": document}.get(p, F.lit(p)) for p in parts))
 
 
 def gold_text(kind: Column, value: Column, values: Column) -> Column:
