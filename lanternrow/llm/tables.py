@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,28 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that a Python worker is sent, or one longer row; Spark's own bound is 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs started within send Python workers batches of at most `most` bytes, so rows of long texts don't add up in JVM and worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    own = int(before.rstrip("bB"))
+    spark.conf.set(name, str(min(most, own) if own > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, kind: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, kind)
-    df.write.parquet(path, compression=compression)
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

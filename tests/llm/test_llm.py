@@ -597,6 +597,24 @@ def test_pipeline_on_odd_tables(spark, tmp_path, texts):
         assert 8 not in {r.doc_id for r in got}
 
 
+def test_stored_sends_bounded_batches(spark):
+    import pyarrow as pa
+
+    from lanternrow.llm.tables import BATCH_BYTES, stored
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(6000, numPartitions=1).selectExpr("repeat('x', if(id = 7, 10000000, 4000)) AS text")
+    got = stored(texts.mapInArrow(run, "n long, size long"), "batches").collect()
+    assert sum(r.n for r in got) == 6000 and spark.conf.get(name) == before
+    # a row that is longer than the bound is sent all the same
+    assert all(r.size < BATCH_BYTES + 11_000_000 for r in got) and sum(r.size <= BATCH_BYTES + 10_000 for r in got) >= len(got) - 1
+
+
 def test_crc(spark):
     from lanternrow.llm.tables import crc_mod
 
