@@ -20,8 +20,10 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import releasing
+
 #: Pre-tokens whose ids are held in memory at once; a cache, emptied when full.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -139,4 +141,4 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
                 more = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())] + [pa.array(lists, pa.list_(pa.int32()))] * ids
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], names=[f.name for f in schema.fields])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import release, sampled, stored, without
-from .words import SPACED, Texts, mix, slices
+from .words import SPACED, Texts, mix, releasing, slices
 
 K, PERCENT, EXTRA = 5, 80, 5
 #: Documents, and bytes, looked at for the order of shingles, and the share of them from which one is frequent.
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, late: np.ndarray, k: int, percent: int, doc_id: str, t
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), lists], names=["doc_id", "key", "n", "set", "prefix"])
 
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, key binary, n long, set binary, prefix array<long>")
+    return source.mapInArrow(releasing(run), f"doc_id {dict(source.dtypes)['doc_id']}, key binary, n long, set binary, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
@@ -159,7 +159,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, doc_id: str, text: str)
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))), pa.array([signature(v) for v in sets], pa.binary())], names=["key", "values", "sig"])
 
-    found = source.mapInArrow(run, "key binary, values array<long>, sig binary")
+    found = source.mapInArrow(releasing(run), "key binary, values array<long>, sig binary")
     return found.join(wanted, "key").dropDuplicates(["key"]).select("cid", "values", "sig")
 
 
@@ -287,7 +287,7 @@ def _by_tile(rows: DataFrame, keys: int, work: Callable[[pa.RecordBatch], tuple[
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=list(names))
 
     by = rows.columns[:keys]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(releasing(run), ", ".join(f"{n} long" for n in names))
 
 
 def _mixed(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,7 +353,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(u.values.to_numpy().view(np.uint64), v.values.to_numpy().view(np.uint64), percent) for u, v in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(releasing(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from .sampling import labelled_sample
-from .words import ALNUM, Texts, Words, mix, slices
+from .words import ALNUM, Texts, Words, mix, releasing, slices
 
 PER_CLASS = 4000
 PREFIXES = (4, 5, 6, 7)
@@ -256,7 +256,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id
                 columns.append(pa.array([" ".join(f"{a}-{b}:{e:.3f}" for a, b, e in x[1]) for x in got], pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
@@ -270,4 +270,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: Column | None = N
             if keep:
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
