@@ -45,7 +45,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from lanternrow.llm.bpe import encode_column
 
-    return encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    # stored, as its batches are bounded then; rows are digests
+    return stored(encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), "pipeline-tokens")
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("n-gram Jaccard join", ngram_jaccard), ("benchmark decontamination", decontaminate), ("byte-level BPE", byte_bpe)]
