@@ -109,11 +109,15 @@ def _cluster(nodes: DataFrame, branching: int, seed: int) -> DataFrame:
     return R.grouped_clusters(nodes, "doc_id", "node_id", "embedding", lambda n: -(-n // branching), seed)
 
 
-def vec_tree(questions: DataFrame, cards: DataFrame, scope: DataFrame, reads: DataFrame, k: int = 3) -> DataFrame:
-    """qid, seq, doc_id, page, doc_rank: what was read (qid, seq, doc_id, page) within the k documents of the question's
-    scope (qid, doc_id) whose cards (doc_id, embedding) are nearest to it (qid, embedding)."""
+def nearest_documents(questions: DataFrame, cards: DataFrame, scope: DataFrame, k: int = 3) -> DataFrame:
+    """qid, doc_id, rank, score: the k documents of each question's scope (qid, doc_id) whose cards (doc_id, embedding) are nearest to it (qid, embedding)."""
     near = scope.select("qid", "doc_id").join(R.small(questions.select("qid", F.col("embedding").alias("q"))), "qid").join(cards.select("doc_id", "embedding"), "doc_id")
-    best = R.top_k(near.select("qid", "doc_id", R.dot(F.col("embedding"), F.col("q")).alias("score")), "qid", k, "doc_id")
+    return R.top_k(near.select("qid", "doc_id", R.dot(F.col("embedding"), F.col("q")).alias("score")), "qid", k, "doc_id")
+
+
+def reads_within(questions: DataFrame, cards: DataFrame, scope: DataFrame, reads: DataFrame, k: int = 3) -> DataFrame:
+    """qid, seq, doc_id, page, doc_rank: what was read (qid, seq, doc_id, page) in the k nearest documents."""
+    best = nearest_documents(questions, cards, scope, k)
     return reads.join(best.select("qid", "doc_id", F.col("rank").alias("doc_rank")), ["qid", "doc_id"]).select("qid", "seq", "doc_id", "page", "doc_rank")
 
 
@@ -130,21 +134,3 @@ def raptor(questions: DataFrame, nodes: DataFrame, scope: DataFrame, budget: int
     taken = greedy_budget(ranked.select("qid", "rank", "n_words", "node_id"), "qid", budget)
     kind = F.when(F.col("level") == 0, "chunk").otherwise("summary")
     return taken.join(nodes.select("node_id", "doc_id", "level", "start_page", "end_page"), "node_id").select("qid", "rank", "node_id", "doc_id", F.col("start_page").alias("page"), F.when(F.col("level") > 0, F.col("end_page")).alias("end_page"), kind.alias("kind"))
-
-
-#: Methods by name, with the family that each belongs to.
-ARMS: dict[str, tuple[str, Callable]] = {
-    "oracle": ("control", oracle),
-    "chunk_embed": ("vector", chunk_embed),
-    "hybrid_rerank": ("vector", hybrid_rerank),
-    "long_context": ("context", long_context),
-    "raptor": ("tree", raptor),
-    "vec_tree": ("hybrid", vec_tree),
-}
-
-
-def arm(name: str) -> Callable:
-    """The method of a name; the error lists the known ones."""
-    if name not in ARMS:
-        raise ValueError(f"unknown arm {name!r}; known: {', '.join(sorted(ARMS))}")
-    return ARMS[name][1]

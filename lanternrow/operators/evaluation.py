@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_final, gold_text
 from ..functions.values import score
 from ..sources.services import complete, mock_chat
+from ..storage import kept
 from . import arms as A
 from . import metrics as M
 
@@ -127,3 +128,71 @@ def evaluate(questions: DataFrame, retrieved: DataFrame, pages: DataFrame, servi
     why, ran = M.failure_class(F.col("correct"), F.col("failure"), F.col("recall"), F.col("wrong_doc"), F.col("parse_failure")), F.col("error").isNull()
     kept = {"correct": "correct", "method": "judge", "recall": "evidence_recall", "precision": "evidence_precision", "wrong_doc": "wrong_doc"}
     return rows.select("qid", F.when(ran, F.col("answer")).alias("answer"), *(F.when(ran, F.col(c)).alias(n) for c, n in kept.items()), F.when(ran, why).otherwise("error").alias("failure"), "error")
+
+
+#: A run's row as run_rows() gives it.
+ROW = ("qid", "arm", "navigator", "answerer", "answer", "correct", "judge", *MEASURES, *COSTS, "tokens_index_amortised", "failure", "error")
+
+
+def run_rows(
+    questions: DataFrame, evidence: DataFrame, outcomes: DataFrame, calls: DataFrame, pages: DataFrame, index: DataFrame, prices: DataFrame, folder: str,
+    service: Callable[[str], dict], judged_by: Callable[[str], dict], arm: str, navigator: str = "none", answerer: str = "answerer", n_questions: int = 1, local: bool = True, budget: int = 9000,
+) -> DataFrame:
+    """A row of ROW for each question of one arm, and one more where the arm gave an answer of its own.
+
+    outcomes (qid, not_applicable, failure, native_answer, error) says what retrieval came to: a
+    question that doesn't apply has no verdict, one that failed is wrong without asking anyone, one
+    in error is an error row. The others are answered from their evidence, scored by rule or judged,
+    and charged with retrieval (calls) and answer; the arm's own answer is judged as prose and
+    charged with retrieval alone, under the name of arm and "_native". index (one row: input_tokens,
+    output_tokens, gpu_s, cost_usd) is shared by n_questions. Answers and verdicts are stored in
+    folder before they are used, so neither a lost executor nor a second start asks again.
+    """
+    columns = set(outcomes.columns)
+    given = lambda name, kind: F.col(name) if name in columns else F.lit(None).cast(kind).alias(name)
+    state = outcomes.select("qid", given("not_applicable", "boolean"), given("failure", "string").alias("stop"), given("native_answer", "string"), given("error", "string").alias("lost"))
+    base = questions.join(state, "qid", "left").withColumn("open", F.coalesce(~F.coalesce("not_applicable", F.lit(False)) & F.col("stop").isNull() & F.col("lost").isNull(), F.lit(True)))
+    asked = base.filter("open")
+    found = kept(answer(asked, evidence.select("qid", "rank", "text"), service, budget), f"{folder}/answers")
+    gold = gold_text(F.col("gold.kind"), F.col("gold.value"), F.col("gold.values"))
+    scored = asked.join(found, "qid").withColumn("s", score(F.col("raw"), F.col("gold.kind"), F.col("gold.value"), F.col("gold.values")))
+    free = scored.filter("error is null and s.correct is null").select("qid", F.lit("main").alias("what"), "question", gold.alias("gold"), F.coalesce("answer", F.lit("")).alias("candidate"))
+    own = asked.filter("native_answer is not null").select("qid", F.lit("native").alias("what"), "question", gold.alias("gold"), F.col("native_answer").alias("candidate"))
+    verdicts = kept(judge(free.unionByName(own), judged_by, keep=("what",)), f"{folder}/verdicts")
+    said = lambda what: verdicts.filter(F.col("what") == what).drop("what")
+
+    measured = M.evidence_metrics(questions, evidence).join(parse_failure(questions, pages), "qid")
+    to_answer = found.select("qid", F.lit(answerer).alias("model"), "input_tokens", "output_tokens", "latency_s", F.lit(local).alias("local"), F.lit(None).cast("string").alias("parallel_group"))
+    retrieval = calls.select(*to_answer.columns)
+    one = index.limit(1).withColumn("arm", F.lit(arm))
+
+    def charged(rows: DataFrame, ran: DataFrame) -> DataFrame:
+        sums = M.ledger(ran, prices, "qid").select("qid", "latency_s", F.col("sequential").alias("llm_calls_sequential"), (F.col("input_tokens") + F.col("output_tokens")).alias("tokens_query"), "cost_usd", "gpu_s")
+        out = M.amortised(rows.join(sums, "qid", "left").withColumn("arm", F.lit(arm)), one, n_questions, "arm")
+        # a question that took no call has used none
+        return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("llm_calls_sequential", "tokens_query")} | {"latency_s": F.coalesce("latency_s", F.lit(0.0))})
+
+    def classed(rows: DataFrame, prior) -> DataFrame:
+        rows = rows.join(measured, "qid")
+        why = M.failure_class(F.col("correct"), prior, F.col("recall"), F.col("wrong_doc"), F.col("parse_failure"))
+        return rows.withColumns({"failure": why, "evidence_recall": F.col("recall"), "evidence_precision": F.col("precision")})
+
+    main = scored.select("qid", "answer", F.col("s.correct").alias("by_rule"), F.col("s.method").alias("judge"), F.col("s.failure").alias("prior"), F.col("error").alias("unanswered")).join(said("main"), "qid", "left")
+    main = main.select("qid", "answer", F.coalesce("by_rule", "said").alias("correct"), "judge", "prior", F.coalesce("unanswered", "unsaid").alias("error"))
+    main = classed(charged(main, retrieval.unionByName(to_answer)), F.col("prior")).withColumns({"arm": F.lit(arm), "navigator": F.lit(navigator), "answerer": F.lit(answerer)})
+    twin = asked.filter("native_answer is not null").select("qid", F.col("native_answer").alias("answer"), (F.col("gold.kind") == "unanswerable").alias("none")).join(said("native"), "qid")
+    twin = twin.select("qid", F.substring("answer", 1, 500).alias("answer"), F.col("said").alias("correct"), F.lit("llm").alias("judge"), F.when(F.col("none") & ~F.col("said"), "answered_unanswerable").alias("prior"), F.col("unsaid").alias("error"))
+    twin = classed(charged(twin, retrieval), F.col("prior")).withColumns({"arm": F.lit(f"{arm}_native"), "navigator": F.lit(navigator), "answerer": F.lit(navigator)})
+    ran = main.select(*ROW).unionByName(twin.select(*ROW))
+
+    ended = base.filter(~F.col("open")).select("qid", "not_applicable", F.col("stop").alias("failure"), F.col("native_answer").alias("native"), F.col("lost").alias("error"))
+    ended = charged(ended, retrieval).join(measured, "qid").withColumns({
+        "evidence_recall": F.col("recall"), "evidence_precision": F.col("precision"), "arm": F.lit(arm), "navigator": F.lit(navigator), "answerer": F.lit(answerer), "answer": F.lit(None).cast("string"),
+        "correct": F.lit(None).cast("boolean"), "judge": F.lit(None).cast("string"),
+    })
+    failed = stopped(ended.filter("error is null")).select(*ROW)
+    # an arm that answers by itself is wrong under that name, too, where it failed
+    if "native_answer" in columns:
+        failed = failed.filter(F.col("arm") == arm)
+        failed = failed.unionByName(failed.filter("failure <> 'not_applicable'").withColumns({"arm": F.lit(f"{arm}_native"), "answerer": F.lit(navigator)}))
+    return ran.filter("error is null").unionByName(failed).unionByName(error_rows(ran.unionByName(ended.select(*ROW))))

@@ -210,7 +210,7 @@ def _(spark, d):
     v, q = _vectors(spark, d)
     scope = q.select("qid", "label").join(v.select("label", F.col("vec_id").alias("doc_id")), "label").select("qid", "doc_id")
     reads = scope.filter("doc_id % 4 > 0").select("qid", F.lit(1).alias("seq"), "doc_id", F.lit(1).alias("page"))
-    return A.vec_tree(q.drop("label"), v.select(F.col("vec_id").alias("doc_id"), "embedding"), scope, reads).select("qid", "doc_id", F.col("doc_rank").cast("long").alias("doc_rank"))
+    return A.reads_within(q.drop("label"), v.select(F.col("vec_id").alias("doc_id"), "embedding"), scope, reads).select("qid", "doc_id", F.col("doc_rank").cast("long").alias("doc_rank"))
 
 
 _QUOTE = rf"SELECT doc_id, regexp_replace(regexp_replace(text, '-{{4,}}', '—', 'g'), '(?:\|\s*){{3,}}', '| ', 'g') AS page, regexp_extract_all(array_to_string(({WORDS.format('text')})[3:8], ' '), '[\p{{L}}\p{{M}}\p{{N}}_]+')[1:12] AS w FROM documents"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import drafts, evaluation, runs, search, text
+from . import drafts, evaluation, navigation, runs, search, text
 
-QUERIES = text.QUERIES | search.QUERIES | runs.QUERIES | drafts.QUERIES | evaluation.QUERIES
-SQL = text.SQL | search.SQL | runs.SQL | drafts.SQL | evaluation.SQL
+QUERIES = text.QUERIES | search.QUERIES | runs.QUERIES | drafts.QUERIES | evaluation.QUERIES | navigation.QUERIES
+SQL = text.SQL | search.SQL | runs.SQL | drafts.SQL | evaluation.SQL | navigation.SQL

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternrow.functions import hashing, text, values
-from lanternrow.operators import arms, drafting, metrics, questions, retrieval, runs, trees
+from lanternrow.operators import arms, registry, drafting, metrics, questions, retrieval, runs, trees
 from lanternrow.plans.registry import QUERIES as PLANS
 from lanternrow.sources import files, services
 
@@ -59,7 +59,10 @@ def test_scope_treats_missing_groups_as_one(spark):
     groups = spark.createDataFrame([("a", None), ("b", None), ("c", "x")], "doc_id string, corpus string")
     assert [r.doc_id for r in retrieval.scope(q, groups).orderBy("pos").collect()] == ["a", "b"]
     with pytest.raises(ValueError):
-        arms.arm("nothing")
+        registry.arm("nothing")
+    with pytest.raises(ValueError):
+        registry.arm("pageindex_native")()
+    assert len(registry.ARMS) == 8
 
 
 def test_tree(spark):
