@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,13 +155,38 @@ def normalise_answer(kind: Column, answer: Column, answers: Column | None = None
     return F.when(answers.isNotNull(), many).otherwise(one)
 
 
-def excluded(rows: DataFrame, names: DataFrame, text: str) -> DataFrame:
-    """Rows whose folded, collapsed text holds none of the names. No names at all is an error: the screen fails closed."""
+#: Names of one automaton; a longer list takes one pass over the texts for each.
+NAMES_AT_ONCE = 1_000_000
+
+
+def excluded(rows: DataFrame, names: DataFrame, text: str, at_once: int = NAMES_AT_ONCE) -> DataFrame:
+    """Rows whose folded, collapsed text holds none of the names anywhere; null texts hold none. No names at all is an error: the screen fails closed.
+
+    Names become automata of at_once names each, built once and sent to executors as arrays; a text
+    is read once for each, whatever the number of its names. Names of white space alone are left out.
+    """
+    from ..functions.automaton import Automaton
     from ..functions.text import collapse, fold
 
-    if names.isEmpty():
+    spark = rows.sparkSession
+    plain = lambda c: F.trim(collapse(fold(c)))
+    wanted = names.select(plain(F.col("name")).alias("name")).filter("name <> ''").distinct()
+    block, shipped = [], []
+    for r in wanted.toLocalIterator():
+        block.append(r[0].encode())
+        if len(block) == at_once:
+            shipped, block = [*shipped, spark.sparkContext.broadcast(Automaton.build(block))], []
+    if block:
+        shipped.append(spark.sparkContext.broadcast(Automaton.build(block)))
+    if not shipped:
         raise ValueError("the list of excluded names is empty")
-    wanted = names.select(F.trim(collapse(fold(F.col("name")))).alias("name")).distinct()
-    # the list is an exclusion list of people or firms, broadcast while small
-    side = F.broadcast(wanted) if wanted.limit(10_001).count() <= 10_000 else wanted
-    return rows.join(side, F.contains(collapse(fold(F.col(text))), F.col("name")), "left_anti")
+
+    @F.pandas_udf("boolean")
+    def mentions(texts: pd.Series) -> pd.Series:
+        given = [(t or "").encode() for t in texts]
+        found = shipped[0].value.found_in(given)
+        for other in shipped[1:]:
+            found |= other.value.found_in(given)
+        return pd.Series(found)
+
+    return rows.filter(~mentions(plain(F.col(text))))

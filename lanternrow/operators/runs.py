@@ -91,15 +91,16 @@ TRACE_TEXTS = ("native_answer", "sdk_answer")
 
 
 def redact(rows: DataFrame, licensed: list[str]) -> DataFrame:
-    """rows (qid, dataset, question, gold of kind and value, answer, evidence, trace) with redacted: licensed ones keep their
-    place and kind, but no question, gold value, answer, snippet or prose of the trace. Columns that are absent are passed over."""
+    """rows (qid, dataset, question, gold, answer, evidence, trace) with redacted: licensed ones keep their place and gold's
+    kind, but no question, no other field of gold, no answer, snippet or prose of the trace. Columns that are absent are passed over."""
     hide = F.col("dataset").isin(*licensed)
     out = rows.withColumn("redacted", F.coalesce(hide, F.lit(False)))
     hide, new = F.col("redacted"), {}
     if "question" in rows.columns:
         new["question"] = F.when(hide, F.concat("dataset", F.lit(" question "), "qid")).otherwise(F.col("question"))
     if "gold" in rows.columns:
-        new["gold"] = F.when(hide, F.col("gold").withField("value", F.lit(None))).otherwise(F.col("gold"))
+        kept = {f.name: F.col("gold")[f.name] if f.name == "kind" else F.when(~hide, F.col("gold")[f.name]) for f in rows.schema["gold"].dataType.fields}
+        new["gold"] = F.struct(*(c.alias(n) for n, c in kept.items()))
     if "answer" in rows.columns:
         new["answer"] = F.when(~hide, F.col("answer"))
     if "evidence" in rows.columns:

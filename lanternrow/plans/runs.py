@@ -98,11 +98,11 @@ def _(spark, d):
     return R.shards(load(spark, d, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "shard")
 
 
-@query("redacted_export", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'de question ' || doc_id ELSE source END AS question, 'exact' AS gold_kind, CASE WHEN lang <> 'de' THEN source END AS gold_value, CASE WHEN lang <> 'de' THEN substr(text, 1, 9) END AS answer, CASE WHEN lang = 'de' THEN '' ELSE substr(text, 1, 20) END AS snippet, CASE WHEN lang = 'de' THEN 'steps,summary' ELSE 'native_answer,sdk_answer,steps,summary' END AS trace, lang = 'de' AS redacted FROM documents")
+@query("redacted_export", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'de question ' || doc_id ELSE source END AS question, 'exact' AS gold_kind, CASE WHEN lang <> 'de' THEN source END AS gold_value, CASE WHEN lang <> 'de' THEN source || ';' || lang END AS gold_values, CASE WHEN lang <> 'de' THEN substr(text, 1, 9) END AS answer, CASE WHEN lang = 'de' THEN '' ELSE substr(text, 1, 20) END AS snippet, CASE WHEN lang = 'de' THEN 'steps,summary' ELSE 'native_answer,sdk_answer,steps,summary' END AS trace, lang = 'de' AS redacted FROM documents")
 def _(spark, d):
     trace = F.create_map(*(x for k in ("steps", "summary", "native_answer", "sdk_answer") for x in (F.lit(k), F.col("source"))))
-    rows = load(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("qid"), F.col("lang").alias("dataset"), F.col("source").alias("question"), F.struct(F.lit("exact").alias("kind"), F.col("source").alias("value")).alias("gold"), F.substring("text", 1, 9).alias("answer"), F.array(F.struct("doc_id", F.substring("text", 1, 20).alias("snippet"))).alias("evidence"), trace.alias("trace"))
-    return R.redact(rows, ["de"]).select("doc_id", "question", F.col("gold.kind").alias("gold_kind"), F.col("gold.value").alias("gold_value"), "answer", F.col("evidence")[0]["snippet"].alias("snippet"), F.array_join(F.array_sort(F.map_keys("trace")), ",").alias("trace"), "redacted")
+    rows = load(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("qid"), F.col("lang").alias("dataset"), F.col("source").alias("question"), F.struct(F.lit("exact").alias("kind"), F.col("source").alias("value"), F.array("source", "lang").alias("values")).alias("gold"), F.substring("text", 1, 9).alias("answer"), F.array(F.struct("doc_id", F.substring("text", 1, 20).alias("snippet"))).alias("evidence"), trace.alias("trace"))
+    return R.redact(rows, ["de"]).select("doc_id", "question", F.col("gold.kind").alias("gold_kind"), F.col("gold.value").alias("gold_value"), F.array_join("gold.values", ";").alias("gold_values"), "answer", F.col("evidence")[0]["snippet"].alias("snippet"), F.array_join(F.array_sort(F.map_keys("trace")), ",").alias("trace"), "redacted")
 
 
 @query("top_snippets", "SELECT o_custkey, count(*) AS n, CAST(least(count(*), 5) AS BIGINT) AS kept FROM orders GROUP BY o_custkey")

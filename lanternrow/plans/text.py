@@ -86,6 +86,17 @@ def _(spark, d):
     return Q.excluded(load(spark, d, "documents"), spark.createDataFrame([("MIT  License",), ("CC BY-NC",)], "name string"), "text").select("doc_id")
 
 
+@query(
+    "manifest_screen",
+    r"WITH n AS (SELECT DISTINCT trim(regexp_replace(replace(lower(substr(p_name, 1, 12)), 'ß', 'ss'), '\s+', ' ', 'g')) AS name FROM part UNION SELECT DISTINCT lower(regexp_extract(text, '([\p{L}]{6,})', 1)) FROM benchmark WHERE regexp_matches(text, '[\p{L}]{6,}')) "
+    r"SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM n WHERE name <> '' AND contains(trim(regexp_replace(replace(lower(d.text), 'ß', 'ss'), '\s+', ' ', 'g')), replace(name, 'ß', 'ss')))",
+)
+def _(spark, d):
+    """Documents that mention none of the parts' names nor the first long word of any question."""
+    words = load(spark, d, "benchmark").select(F.regexp_extract("text", r"(\p{L}{6,})", 1).alias("name"))
+    return Q.excluded(load(spark, d, "documents"), load(spark, d, "part").select(F.substring("p_name", 1, 12).alias("name")).unionByName(words), "text").select("doc_id")
+
+
 @query("snippets", r"SELECT doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 300) AS snippet FROM documents")
 def _(spark, d):
     return load(spark, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))

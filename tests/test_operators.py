@@ -358,3 +358,38 @@ def test_quota_gaps_of_an_empty_set_and_excerpts(spark):
     one, two, three = (r.e for r in rows.select(V.excerpt(F.col("t"), F.col("q")).alias("e")).collect())
     assert (one.found, one.marked, len(one.before), len(one.after)) == (True, "Rate,\nis FIVE", 450, 450)
     assert (two.found, two.before) == (False, "x — y") and three.before == ""
+
+
+def test_exclusion_by_automaton(spark):
+    import random
+
+    r = random.Random(5)
+    from lanternrow.functions.automaton import Automaton
+
+    for letters in ("ab", "abc", "abé"):
+        for _ in range(20):
+            patterns = ["".join(r.choice(letters) for _ in range(r.randrange(1, 7))).encode() for _ in range(r.randrange(1, 30))]
+            given = ["".join(r.choice(letters + "x") for _ in range(r.choice([0, 1, 5, 50, 700]))).encode() for _ in range(40)]
+            assert Automaton.build(patterns).found_in(given).tolist() == [any(p in t for p in patterns) for t in given]
+    # a pattern that is longer than a lane
+    long = b"ab" * 200 + b"c"
+    assert Automaton.build([long]).found_in([b"x" * k + long for k in range(0, 300, 7)] + [b"ab" * 400]).tolist() == [True] * 43 + [False]
+    with pytest.raises(ValueError):
+        Automaton.build([b"a", b""])
+    names = ["ann bee", " Ann  BEE ", "Straße", "z" * 700, "  "] + [f"person {i}x" for i in range(500)]
+    given = ["so said Ann\n Bee.", "STRASSE 5", "y" + "Z" * 700, "Person 499X", "person 499", None, "", "annbee"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string")
+    wanted = spark.createDataFrame([(n,) for n in names], "name string")
+    for at_once in (1_000_000, 100):
+        left = questions.excluded(rows, wanted, "t", at_once)
+        assert sorted(map(str, (x.t for x in left.collect()))) == ["", "None", "annbee", "person 499"]
+    assert "Join" not in left._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        questions.excluded(rows, spark.createDataFrame([(" ",)], "name string"), "t")
+
+
+def test_redacted_gold_keeps_its_kind_alone(spark):
+    kind = "qid string, dataset string, gold struct<kind: string, value: string, values: array<string>, note: string>"
+    rows = spark.createDataFrame([("a", "l", ("date_list", None, ["2026-01-01"], "n")), ("b", "o", ("exact", "v", ["w"], "n")), ("c", "l", None), ("d", None, ("exact", "v", None, None))], kind)
+    got = {r.qid: r.gold and tuple(r.gold) for r in runs.redact(rows, ["l"]).collect()}
+    assert got["a"] == ("date_list", None, None, None) and got["b"] == ("exact", "v", ["w"], "n") and got["d"] == ("exact", "v", None, None) and not any(got["c"] or ())
