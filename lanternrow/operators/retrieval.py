@@ -100,10 +100,10 @@ def normalise(a: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest vectors by dot product for each query. queries is a stated set, broadcast while small; each task keeps k a query."""
-    asked = small(queries.select(query_key, F.col(vector).alias("q")), 20_000)
-    scored = vectors.crossJoin(asked).select(query_key, key, dot(F.col(vector), F.col("q")).alias("score"))
-    return top_k(scored, query_key, k, key)
+    """The k nearest vectors by dot product for each query, a stated set of any size: exact, by an inverted file, without a join of all pairs."""
+    from . import ivf
+
+    return ivf.build(vectors, key, vector).search(queries, k, query_key, vector)[0]
 
 
 def hash_embed(docs: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
