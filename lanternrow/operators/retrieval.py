@@ -81,11 +81,10 @@ def top_k(scored: DataFrame, by: str, k: int, *order: str, score: str = "score")
 
 
 def lexical(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", scope: DataFrame | None = None) -> DataFrame:
-    """BM25 within each query's scope (query_key, doc_key), statistics of all docs; scores above 0 only."""
-    scored = bm25(docs, queries, doc_key, query_key)
-    if scope is not None:
-        scored = scored.join(scope, [query_key, doc_key])
-    return top_k(scored, query_key, k, doc_key).filter("score > 0")
+    """The k best by BM25 within each query's scope (query_key, doc_key), statistics of all docs; scores above 0 only."""
+    from . import postings
+
+    return postings.best(docs, queries, k, doc_key, query_key, scope=scope).filter("score > 0")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: DuckDB forms of the text functions.
@@ -30,7 +32,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id of the documents that hold an item's text.
+    """item_id, doc_id of the documents that hold an item's text, stored, as most queries read it more than once.
 
     A document can only hold an item that it shares the item's second to fourth word with, in a row,
     so those are hash-joined first; the containment is checked on what is left. Items that haven't
@@ -45,7 +47,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(asked.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()
     held = hits.join(items, "item_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id")
     short = first.filter("k is null and item is not null")
-    return held if short.isEmpty() else held.unionByName(docs.join(short, F.contains("text", "item")).select("item_id", "doc_id"))
+    return written(held if short.isEmpty() else held.unionByName(docs.join(short, F.contains("text", "item")).select("item_id", "doc_id")), "gold")
 
 
 def values_sql(rows: list[tuple], names: str) -> str:
