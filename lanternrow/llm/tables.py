@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
 
 
 #: Bytes of an Arrow batch that a Python worker is sent, or one longer row; Spark's own bound is 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 @contextmanager
