@@ -127,3 +127,18 @@ def invalid_runs(runs: DataFrame, allow_errors: bool = False) -> DataFrame:
     why = F.when((F.col("failure") == "error") & F.lit(not allow_errors), F.lit("error row")).when(F.col("failure").isNotNull() & ~F.col("failure").isin(*FAILURES, "error"), F.lit("unknown failure"))
     why = why.when(F.col("qid").isNull() | F.col("arm").isNull(), F.lit("no key")).when(F.col("evidence_recall").between(0, 1) == F.lit(False), F.lit("recall out of range"))
     return runs.withColumn("why", why).filter("why is not null")
+
+
+def evidence_pages(evidence: Column) -> Column:
+    """Evidence as it was written by any version, a VARIANT array, as an array of (doc_id, page, snippet).
+
+    Older rows hold pairs [doc, page], newer ones objects, and one list may hold both; the shape of
+    each piece decides. Pieces of another shape, or without a document, are left out; null stays null.
+    """
+
+    def piece(e: Column) -> Column:
+        pair = F.schema_of_variant(e).startswith("ARRAY")
+        get = lambda at, name, kind: F.when(pair, F.try_variant_get(e, at, kind)).otherwise(F.try_variant_get(e, name, kind))
+        return F.struct(get("$[0]", "$.doc_id", "string").alias("doc_id"), get("$[1]", "$.page", "int").alias("page"), F.when(~pair, F.try_variant_get(e, "$.snippet", "string")).alias("snippet"))
+
+    return F.filter(F.transform(F.try_variant_get(evidence, "$", "array<variant>"), piece), lambda e: e["doc_id"].isNotNull())

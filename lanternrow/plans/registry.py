@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import drafting, drafts, evaluation, navigation, runs, search, text
+from . import drafting, drafts, evaluation, exports, navigation, runs, search, text
 
-QUERIES = text.QUERIES | search.QUERIES | runs.QUERIES | drafts.QUERIES | drafting.QUERIES | evaluation.QUERIES | navigation.QUERIES
-SQL = text.SQL | search.SQL | runs.SQL | drafts.SQL | drafting.SQL | evaluation.SQL | navigation.SQL
+QUERIES = text.QUERIES | search.QUERIES | runs.QUERIES | drafts.QUERIES | drafting.QUERIES | evaluation.QUERIES | exports.QUERIES | navigation.QUERIES
+SQL = text.SQL | search.SQL | runs.SQL | drafts.SQL | drafting.SQL | evaluation.SQL | exports.SQL | navigation.SQL

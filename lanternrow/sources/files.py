@@ -130,7 +130,23 @@ def export_runs(runs: DataFrame, path: str, fields: list[str]) -> None:
 
 
 def export_explorer(rows: DataFrame, path: str, size: int = 50) -> None:
-    """Rows in shards of `size` by dataset, a folder each."""
+    """Rows in shards of `size` by dataset, a folder each, and their index: dataset, shard, n, qids in order."""
     from ..operators.runs import shards
 
-    shards(rows, "dataset", "qid", size).write.mode("overwrite").partitionBy("dataset", "shard").json(path)
+    dealt = shards(rows, "dataset", "qid", size)
+    dealt.write.mode("overwrite").partitionBy("dataset", "shard").json(f"{path}/questions")
+    # the index is made of what was written
+    held = rows.sparkSession.read.schema(dealt.schema).json(f"{path}/questions")
+    held.groupBy("dataset", "shard").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("qid")).alias("qids")).write.mode("overwrite").json(f"{path}/index")
+
+
+def export_trees(trees: DataFrame, path: str, folders: int = 64) -> None:
+    """Trees (doc_id, tree: JSON text) as JSON lines with their doc_id, dealt by its hash to a bounded number of folders, so that one is found without a search."""
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(folders)).cast("int")
+    trees.select("doc_id", F.lit("tree/v1").alias("schema"), "tree", bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def exported_tree(spark: SparkSession, path: str, doc_id: str, folders: int = 64) -> DataFrame:
+    """The tree of one document, from its folder alone."""
+    rows = spark.read.schema("doc_id string, schema string, tree string, bucket int").json(path)
+    return rows.filter((F.col("bucket") == F.pmod(F.xxhash64(F.lit(str(doc_id))), F.lit(folders)).cast("int")) & (F.col("doc_id") == str(doc_id))).drop("bucket")
