@@ -11,6 +11,9 @@ from ..operators import questions as Q
 from ..operators import runs as R
 from ..operators import trees as TR
 from ..sources import files as S
+from ..storage import shared_folder
+from ..streaming import upserts as U
+from ..streaming.decisions import windowed_counts
 from .base import load
 
 QUERIES, SQL = {}, {}
@@ -329,9 +332,30 @@ def _(spark, d):
     return Q.two_forms(rows)
 
 
+def _event_stream(spark, d):
+    """The events as a stream of the files that hold them; as a pattern, since a path itself must be a folder."""
+    return spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+
+
+def _run(changes, *by):
+    """What a stream has changed by the time all its input has been read."""
+    folder = shared_folder(changes.sparkSession, "stream")
+    U.changes_to(changes, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return U.current(changes.sparkSession, f"{folder}/rows", *by)
+
+
 @query("windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
-    return load(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"))
+    # a watermark takes times with a zone; the session's is used both ways
+    events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _run(windowed_counts(events), "start", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("upserted_events", "SELECT user_id, min(event_id) AS seq, max(event_id) AS last, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def _(spark, d):
+    """Each user's first place and latest event, kept by a stateful stream."""
+    changes = U.upserts(_event_stream(spark, d), "user_id", "event_id", ["event_type", "value"])
+    return U.fields(_run(changes, "key"), "event_type string, value double").withColumnRenamed("key", "user_id")
 
 
 @query("human_dates", "SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS day FROM orders")
