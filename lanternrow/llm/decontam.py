@@ -17,10 +17,10 @@ meets one of any n - ceil(least * n) + 1 of them, and has that window's literal
 places. A pair of such words of each of so many windows goes into a Bloom filter of fixed size, and
 only documents with a pair that it knows are cut into windows. The filter decides nothing else.
 
-Items of three or four words are one window of their own length, met anywhere; those of one or two
-words are met only by a document of just those words, as they stand in any text. Windows with fewer
-than LITERALS words that aren't placeholders don't count, unless an item has no others, which then
-are met by their plain words alone. Null and empty texts meet nothing, null and empty items are met
+Items of fewer than WINDOW words are one window of their own length, met anywhere; a benchmark of
+single common words thus finds them in most documents. Windows with fewer than LITERALS words that
+aren't placeholders don't count, unless an item has no others, which then are met by their plain
+words alone: so are items of one word. Null and empty texts meet nothing, null and empty items are met
 by nothing, an empty benchmark leaves every document clean. Rows that repeat a doc_id share its
 verdict; each keeps its row.
 
@@ -70,14 +70,12 @@ def plain_words(raw: Column) -> Column:
 
 
 def _windows(df: DataFrame, key: str, text: str, lengths: list[int], *more: str) -> DataFrame:
-    """key, at, raw (the window's words), hash, loose, plain of each window of each of the lengths, and more.
-
-    Windows of one or two words are given of texts of just so many words.
-    """
+    """key, at, raw (the window's words), hash, loose, plain of each window of each of the lengths, and more."""
     forms = {"raw": F.col("raw"), "hash": template_words(F.col("raw")), "loose": template_words(F.col("raw"), loose=True), "plain": plain_words(F.col("raw"))}
     words = df.select(F.col(key).alias("key"), raw_words(F.col(text)).alias("raw"), *more).select("key", *(F.split(c, " ").alias(n) for n, c in forms.items()), *more)
     size, none = F.size("raw"), F.array().cast("array<int>")
-    starts = {k: F.when((size == k) if k < 3 else (size >= k), F.sequence(F.lit(0), size - k)).otherwise(none) for k in lengths}
+    # a text without words splits into one empty word
+    starts = {k: F.when((size >= k) & (F.get("raw", F.lit(0)) != ""), F.sequence(F.lit(0), size - k)).otherwise(none) for k in lengths}
 
     def cut(k: int) -> Column:
         return F.transform(starts[k], lambda i: F.struct(i.alias("at"), F.slice("raw", i + 1, k).alias("raw"), *(F.xxhash64(F.slice(n, i + 1, k)).alias(n) for n in ("hash", "loose", "plain"))))
@@ -114,12 +112,15 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     ]
     # a place beyond a short window is null there
     best = F.array_max(F.filter(F.array(*(F.when(F.size("shown") > j, p) for p, j in zip(pairs, (j for i in range(window) for j in range(i + 1, window)), strict=True))), lambda p: p.isNotNull()))
-    return rows.select("item_id", "form", "item_at", "size", "hash", by.alias("by"), "item_raw", "n_windows", best.alias("pair"))
+    # a single word stands beside itself
+    own = F.element_at("shown", 1)
+    alone = F.when((F.col("size") == 1) & F.element_at("common", 1), F.struct(F.lit(0).alias("near"), F.length(own).alias("long"), own.alias("a"), own.alias("b")))
+    return rows.select("item_id", "form", "item_at", "size", "hash", by.alias("by"), "item_raw", "n_windows", F.coalesce(best, alone).alias("pair"))
 
 
 def _probes(items: DataFrame, least: float) -> DataFrame:
     """gap, a, b: word pairs of as many windows of each item as a document that holds it can't miss all; a null gap tells that an item hasn't so many."""
-    one = items.filter("size > 2").groupBy("item_id", "form", "hash", "n_windows").agg(F.max("pair").alias("pair"))
+    one = items.groupBy("item_id", "form", "hash", "n_windows").agg(F.max("pair").alias("pair"))
     nth = F.row_number().over(Window.partitionBy("item_id", "form").orderBy(F.desc_nulls_last("pair"), "hash"))
     few = one.withColumn("nth", nth).filter(F.col("nth") <= F.col("n_windows") - F.ceil(F.lit(least) * F.col("n_windows") - 1e-9) + 1)
     return few.select((-F.col("pair.near")).alias("gap"), "pair.a", "pair.b").distinct()
@@ -130,7 +131,7 @@ def _bits(h: Column) -> list[Column]:
     return [F.shiftrightunsigned(F.xxhash64(h, F.lit(i)), 42) for i in range(FILTER_BITS)]
 
 
-def _screen(items: DataFrame, least: float, text: Column, shortest: int) -> Column:
+def _screen(items: DataFrame, least: float, text: Column) -> Column:
     """Whether a document can hold any item."""
     probes = stored(_probes(items, least), "probes")
     gaps = sorted((r[0] for r in probes.select("gap").distinct().collect()), key=lambda g: (g is not None, g))  # at most WINDOW
@@ -158,15 +159,14 @@ def _screen(items: DataFrame, least: float, text: Column, shortest: int) -> Colu
 
     # probes have letters and digits only, so the cut may be coarser; bound as a lambda's variable, a text is cut once
     coarse = F.split(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{M}\p{N}]+")
-    ok = F.exists(F.array(coarse), hit)
-    return ok | (F.size(F.split(_cut(F.coalesce(text, F.lit(""))), " ")) < 3) if shortest < 3 else ok
+    return F.exists(F.array(coarse), hit)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document and item that it holds: doc_id, item_id, n_met, n_windows, reparameterised."""
     items = stored(item_windows(benchmark), "items")
     lengths = sorted(r[0] for r in items.select("size").distinct().collect()) or [WINDOW]
-    near = docs.filter(_screen(items, least, F.col(text), lengths[0]))
+    near = docs.filter(_screen(items, least, F.col(text)))
     wide = items.select("item_id", "form", "item_at", "hash", "item_raw", "n_windows", F.explode("by").alias("by"))
     side = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
     rows = _windows(near, doc_id, text, lengths).select("key", "at", F.col("raw").alias("doc_raw"), F.explode(F.array_distinct(F.array("hash", "loose", "plain"))).alias("by"))
