@@ -4,13 +4,16 @@ Keys are 64-bit hashes of whole normalised texts. The directory starts with one
 that holds more keys than its capacity is split by one more leading bit, and the directory doubles
 whenever a bucket gets deeper than it. The directory has at most 2**MAX_BITS entries, as each
 counts a range of keys, so it is the only thing that the driver sees; buckets at that depth hold
-what they hold. Owner tasks hold bucket ranges. A key of one row is written to its bucket as it is.
-Texts of keys with several rows (screened by a bit table of fixed size) are compared by their
-bytes: the aggregate's key is the text, copies are counted per task before any shuffle, so a hot
-text costs one row a task. Different texts of one key chain in its bucket. The index is written as
-Parquet files in the shared folder, a folder a range, sorted by bucket, key and chain, and every
-answer is read from it: by key and SHA-256, which tells a chain's texts apart. Groups above a
-HOT-th of all rows, fewer than HOT, are looked up by broadcast, so no task gets a hot key's rows.
+what they hold. Leading bits give a key its slot, the slot its bucket, and each bucket is dealt to
+one owner task, which holds the key range of the bucket: there texts of a key are compared by their
+bytes and counted, and different texts of one key chain. Only texts of keys with several rows are
+dealt (a bit table, sized by their number, lets some more through), once for each of SALTS parts of
+the input, so a hot text costs its owner a few rows; a key of one row has nothing to be compared
+with. The index is written as Parquet files in the shared folder, sorted by bucket, key and chain.
+
+A row finds its answer by the way that a key was stored: slot, bucket, then key and SHA-256 within
+the bucket, which tells a chain's texts apart. Rows of groups above a HOT-th of all rows, fewer than
+HOT groups, look theirs up in a broadcast, so no task gets a hot key's rows.
 
 Null texts count as empty, so do empty ones: they are copies of each other. Rows with a null
 doc_id belong to their group; the group's keep_id is its smallest doc_id that is not null, else
@@ -20,6 +23,7 @@ null, and of rows that repeat that doc_id with equal texts one is kept.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +34,8 @@ from .tables import BROADCAST_IDS, stored
 MAX_BITS = 16
 #: Keys that a bucket holds before it splits.
 CAPACITY = 1 << 20
-#: Bits of the table of keys with several rows, and the share of all rows from which a group is hot.
-TABLE_BITS, HOT = 24, 1000
+#: Bits of the table of keys with several rows: 16 for each of them, within bounds (16 MB as words); parts of the input that count a text by themselves; the share of all rows from which a group is hot.
+TABLE_BITS, SALTS, HOT = (16, 27), 16, 1000
 
 
 def normalised(text: Column) -> Column:
@@ -71,39 +75,61 @@ def bucket_table(spark, depth: int, buckets: list[tuple[int, int]]) -> DataFrame
     return spark.createDataFrame(rows, "slot long, bucket int")
 
 
-def _bit(hash_: Column) -> tuple[Column, Column]:
-    """(word, place in it) of a key in the bit table."""
-    at = F.shiftrightunsigned(hash_, 64 - TABLE_BITS)
-    return F.shiftright(at, 6), at.bitwiseAND(63).cast("int")
+@dataclass
+class Index:
+    """buckets: bucket, hash, chain, sha, keep_id, group_size, stays (a row of entries); depth and slots (slot, bucket) are the directory that leads to them."""
+
+    buckets: DataFrame
+    depth: int
+    slots: DataFrame
+
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """rows (hash, …) with the bucket that the directory sends their key to. The directory has 2**MAX_BITS entries at most."""
+        return rows.withColumn("slot", _prefix(self.depth)).join(F.broadcast(self.slots), "slot").drop("slot")
 
+    def find(self, entries: DataFrame, total: int) -> DataFrame:
+        """entries (doc_id, hash, sha, row) with chain, keep_id, group_size, stays of their keys."""
+        key = ["bucket", "hash", "sha"]
+        hot = F.broadcast(self.buckets.filter(F.col("group_size") * HOT > total))  # fewer than HOT rows
+        rows = self.routed(entries)
+        cold = rows.join(hot, key, "left_anti").join(self.buckets.filter(F.col("group_size") * HOT <= total), key)
+        return cold.unionByName(rows.join(hot, key))
 
-def build_index(norm: DataFrame, entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index of norm (doc_id, norm, hash) and its entries (doc_id, hash, sha, row): bucket, hash, chain, sha, keep_id, group_size, stays (a row of entries)."""
+
+def build_index(norm: DataFrame, entries: DataFrame, capacity: int = CAPACITY) -> Index:
+    """The index of norm (doc_id, norm, hash) and its entries (doc_id, hash, sha, row)."""
     spark = norm.sparkSession
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     keys = stored(entries.groupBy("hash", "sha").agg(first, F.count("*").alias("n")), "keys")
     counts = {r[0]: r[1] for r in keys.select("hash").distinct().groupBy(_prefix(MAX_BITS).alias("p")).agg(F.count("*")).collect()}
     # a bucket for each core at least, as far as the directory goes
     fair = -(-sum(counts.values()) // max(1, 4 * spark.sparkContext.defaultParallelism))
-    depth, buckets = directory(counts, max(1, min(capacity, fair)))
-    slots = bucket_table(spark, depth, buckets)
-
-    several = keys.groupBy("hash").agg(F.sum("n").alias("rows")).filter("rows > 1").select("hash")
-    word, place = _bit(F.col("hash"))
-    bits = several.select(word.alias("w"), F.expr(f"shiftleft(1L, {_place_sql()})").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))  # 2**(TABLE_BITS - 6) rows at most
-    near = norm.withColumn("w", word).join(F.broadcast(bits), "w").filter(F.getbit("v", place) == 1)
-    # the bytes decide: copies are counted by text; what the bit table let through beside has one row a key
-    texts = near.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    compared = texts.select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size").join(several, "hash", "left_semi")
-    alone = keys.join(several, "hash", "left_anti").select("hash", "sha", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    owned = compared.unionByName(alone).join(keys.select("hash", "sha", F.col("first.row").alias("stays")), ["hash", "sha"])
-    owned = owned.withColumn("slot", _prefix(depth)).join(F.broadcast(slots), "slot").drop("slot")
-    owned = owned.withColumn("chain", F.row_number().over(Window.partitionBy("hash").orderBy("sha")) - 1)
-    return stored(owned.repartitionByRange("bucket").sortWithinPartitions("bucket", "hash", "chain"), "index")
-
-
-def _place_sql() -> str:
-    return f"cast(shiftrightunsigned(hash, {64 - TABLE_BITS}) & 63 as int)"
+    depth, split = directory(counts, max(1, min(capacity, fair)))
+    empty = Index(keys, depth, bucket_table(spark, depth, split))
+
+    several = stored(keys.groupBy("hash").agg(F.sum("n").alias("rows")).filter("rows > 1").select("hash"), "several")
+    near = _near(norm, several)
+    # a text goes to its owner once for each part of the input that has it, with its counts
+    parted = near.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("hash", "norm", "salt").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    dealt = empty.routed(parted.drop("salt")).repartition("bucket")
+    # in the owner's task: the bytes decide, no row moves again
+    texts = dealt.groupBy("bucket", "hash", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    compared = texts.select("bucket", "hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size").join(empty.routed(several), ["bucket", "hash"], "left_semi")
+    own = empty.routed(keys)
+    alone = own.join(empty.routed(several), ["bucket", "hash"], "left_anti").select("bucket", "hash", "sha", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    owned = compared.unionByName(alone).join(own.select("bucket", "hash", "sha", F.col("first.row").alias("stays")), ["bucket", "hash", "sha"])
+    # one owner a bucket again: the chain is numbered and the bucket's files are written where its keys are
+    chained = owned.repartition("bucket").withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("sha")) - 1)
+    return Index(stored(chained.sortWithinPartitions("bucket", "hash", "chain"), "index"), depth, empty.slots)
+
+
+def _near(norm: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows of norm whose hash is one of `several`, and few others: those whose bit in a table of all of them is set."""
+    bits = min(TABLE_BITS[1], max(TABLE_BITS[0], (16 * several.count()).bit_length()))
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    place = f"cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int)"
+    table = several.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, {place})").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))  # 2**(bits - 6) rows at most
+    return norm.withColumn("w", F.shiftright(at, 6)).join(F.broadcast(table), "w").filter(F.getbit("v", F.expr(place)) == 1).drop("w", "v")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
@@ -111,15 +137,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
     chain numbers the different texts of one hash, 0 unless hashes collide, as they do when hash_bits are few.
     """
+    entries, index = indexed(docs, doc_id, text, capacity, hash_bits)
+    found = index.find(entries, entries.count())
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "chain")
+
+
+def indexed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> tuple[DataFrame, Index]:
+    """(entries, index) of docs."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("norm"))
     norm = plain.withColumn("hash", F.xxhash64("norm").bitwiseAND(F.lit(-1 << 64 - hash_bits)) if hash_bits < 64 else F.xxhash64("norm"))
     entries = stored(norm.select("doc_id", "hash", F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("row")), "entries")
-    index = build_index(norm, entries, capacity)
-    held, total = index.drop("bucket"), entries.count()
-    hot = F.broadcast(held.filter(F.col("group_size") * HOT > total))  # fewer than HOT rows
-    cold = entries.join(hot, ["hash", "sha"], "left_anti").join(held.filter(F.col("group_size") * HOT <= total), ["hash", "sha"])
-    found = cold.unionByName(entries.join(hot, ["hash", "sha"]))
-    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "chain")
+    return entries, build_index(norm, entries, capacity)
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -228,3 +228,28 @@ def test_audit(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert interactions(table(spark, []).limit(0), none).collect() == []
     assert sorted(map(tuple, interactions(table(spark, rows[:3]), none).collect())) == audit(rows[:3], [])
+
+
+# routing of exact deduplication
+
+
+def test_rows_find_their_answers_by_slot_and_bucket(spark):
+    """Owner tasks hold whole buckets, and a directory that leads elsewhere finds nothing."""
+    from dataclasses import replace
+
+    from lanternrow.llm.exact import indexed
+
+    rows = [(i, f"text {i % 60}", "en", "s") for i in range(200)]
+    entries, index = indexed(table(spark, rows).repartition(5), capacity=4, hash_bits=5)
+    n = index.slots.select("bucket").distinct().count()
+    assert n > 4 and index.slots.count() == 1 << index.depth
+    # a bucket lies in one file, its keys in order, chains from 0
+    files = index.buckets.withColumn("f", F.input_file_name()).groupBy("bucket").agg(F.count_distinct("f").alias("files"))
+    assert {r.files for r in files.collect()} == {1}
+    assert all(r.most == r.n - 1 for r in index.buckets.groupBy("bucket", "hash").agg(F.max("chain").alias("most"), F.count("*").alias("n")).collect())
+    right = {r.row: (r.keep_id, r.group_size) for r in index.find(entries, 200).collect()}
+    assert len(right) == 200 and all(v[1] in (3, 4) for v in right.values())
+    wrong = replace(index, slots=index.slots.withColumn("bucket", (F.col("bucket") + 1) % n))
+    assert wrong.find(entries, 200).count() == 0
+    half = replace(index, slots=index.slots.withColumn("bucket", F.when(F.col("slot") % 2 == 0, F.col("bucket")).otherwise(-1)))
+    assert 0 < half.find(entries, 200).count() < 200
