@@ -14,7 +14,7 @@ numbers, names and units.
 
 Screen: a document that holds an item misses at most n - ceil(least * n) of its n windows, so it
 meets one of any n - ceil(least * n) + 1 of them, and has that window's literal words in their
-places. A pair of such words of each of so many windows goes into a Bloom filter of fixed size, and
+places. A pair of such words of each of so many windows goes into a Bloom filter, and
 only documents with a pair that it knows are cut into windows. The filter decides nothing else.
 
 Items of fewer than WINDOW words are one window of their own length, met anywhere; a benchmark of
@@ -37,8 +37,8 @@ from .tables import stored, without
 
 WINDOW, LEAST, LITERALS = 5, 0.8, 2
 BROADCAST_ROWS = 500_000
-#: 64-bit words of the Bloom filter of the items' word pairs, and its bits a pair.
-FILTER_WORDS, FILTER_BITS = 1 << 16, 3
+#: 64-bit words of the Bloom filter of the items' word pairs: about one a pair, within bounds, as it is part of the plan; and its bits a pair.
+FILTER_WORDS, FILTER_BITS = (1 << 6, 1 << 16), 3
 
 #: Units that may follow a number.
 UNITS = "mm|cm|dm|m|km|mg|g|kg|t|ml|cl|l|s|ms|min|h|hz|khz|mhz|ghz|w|kw|mw|v|a|k|c|f|pa|kpa|bar|j|kj|cal|kcal|eur|usd|gbp|chf|euro|euros|dollar|dollars|pound|pounds|cent|cents|percent|second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|meter|meters|metre|metres|kilometer|kilometers|kilometre|kilometres|mile|miles|foot|feet|inch|inches|yard|yards|gram|grams|kilogram|kilograms|tonne|tonnes|liter|liters|litre|litres|degree|degrees"
@@ -126,9 +126,9 @@ def _probes(items: DataFrame, least: float) -> DataFrame:
     return few.select((-F.col("pair.near")).alias("gap"), "pair.a", "pair.b").distinct()
 
 
-def _bits(h: Column) -> list[Column]:
-    """Places of a pair's bits in the filter."""
-    return [F.shiftrightunsigned(F.xxhash64(h, F.lit(i)), 42) for i in range(FILTER_BITS)]
+def _bits(h: Column, words: int) -> list[Column]:
+    """Places of a pair's bits in a filter of so many words, a power of two."""
+    return [F.shiftrightunsigned(F.xxhash64(h, F.lit(i)), 59 - words.bit_length()) for i in range(FILTER_BITS)]
 
 
 def _screen(items: DataFrame, least: float, text: Column) -> Column:
@@ -137,16 +137,17 @@ def _screen(items: DataFrame, least: float, text: Column) -> Column:
     gaps = sorted((r[0] for r in probes.select("gap").distinct().collect()), key=lambda g: (g is not None, g))  # at most WINDOW
     if None in gaps:
         return F.lit(True)
-    place = probes.select(F.explode(F.array(*_bits(F.xxhash64("gap", "a", "b")))).alias("p"))
-    held = [0] * FILTER_WORDS
+    n = min(FILTER_WORDS[1], max(FILTER_WORDS[0], 1 << probes.count().bit_length()))
+    place = probes.select(F.explode(F.array(*_bits(F.xxhash64("gap", "a", "b"), n))).alias("p"))
+    held = [0] * n
     one = F.expr("shiftleft(1L, cast(p & 63 as int))")
-    for w, v in place.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(one)).collect():  # at most FILTER_WORDS rows
+    for w, v in place.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(one)).collect():  # at most n rows
         held[w] = v
     table = F.from_json(F.lit(str(held)), "array<bigint>")
 
     def known(h: Column) -> Column:
         out = F.lit(True)
-        for p in _bits(h):
+        for p in _bits(h, n):
             out = out & (F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), (p.bitwiseAND(63)).cast("int")) == 1)
         return out
 
