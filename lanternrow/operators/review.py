@@ -152,3 +152,62 @@ def excerpt(text: Column, quote: Column, reach: int = 450, most: int = 12) -> Co
 
     # bound as a lambda's variable, the page is searched once
     return F.get(F.transform(F.array(F.struct(page.alias("p"), found.alias("m"))), lambda x: cut(x["p"], x["m"])), F.lit(0))
+
+
+def parse_answer(kind: Column, text: Column) -> Column:
+    """(value, values) of an answer as a reviewer types it: a list for date_list, nothing for unanswerable."""
+    parts = F.filter(F.transform(F.split(text, r"[,;\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    one = F.when(~kind.isin("unanswerable", "date_list"), F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.struct(one.alias("value"), F.when(kind == "date_list", parts).alias("values"))
+
+
+def draft_view(drafts: DataFrame, descriptions: DataFrame, facts: DataFrame, pages: DataFrame) -> DataFrame:
+    """What a reviewer sees of each draft: draft_id, by_isin, by_description, answer, evidence, siblings, pages.
+
+    drafts (draft_id, regime, doc_ids, isin, question, answer, evidence, field, siblings), descriptions
+    (doc_id, description), facts (doc_id, field, value), pages (doc_id, page, text). A product's
+    question is shown in both forms, without the second where it has no description of its own;
+    siblings carry the value of the draft's field and their descriptions; pages are the evidence's.
+    """
+    first = drafts.withColumn("doc0", F.get("doc_ids", F.lit(0))).join(descriptions.select(F.col("doc_id").alias("doc0"), "description"), "doc0", "left")
+    form = lambda name: F.when(F.col("regime") == "A", rendered(F.col("question"), name)).otherwise(F.col("question"))
+    base = first.select("draft_id", form(F.concat(F.lit("the product with ISIN "), "isin")).alias("by_isin"), F.when(F.col("regime") == "A", form(F.col("description"))).alias("by_description"), "answer", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["doc_id"], e["page"])), ", ").alias("evidence"))
+    near = drafts.select("draft_id", "field", F.explode("siblings").alias("doc_id")).join(facts.select("doc_id", "field", "value"), ["doc_id", "field"], "left").join(descriptions.select("doc_id", "description"), "doc_id", "left")
+    near = near.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "value", "description"))).alias("siblings"))
+    shown = drafts.select("draft_id", F.posexplode("evidence").alias("i", "e")).select("draft_id", "i", "e.doc_id", "e.page").join(pages.select("doc_id", "page", tidy(F.col("text")).alias("text")), ["doc_id", "page"])
+    shown = shown.groupBy("draft_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "doc_id", "page", "text"))), lambda p: F.struct(p["doc_id"].alias("doc_id"), p["page"].alias("page"), p["text"].alias("text"))).alias("pages"))
+    return base.join(near, "draft_id", "left").join(shown, "draft_id", "left")
+
+
+def rendered(template: Column, reference: Column) -> Column:
+    """A question with its placeholder replaced, in capitals at the start if the placeholder stood there."""
+    text = F.replace(template, F.lit("{product}"), reference)
+    return F.when(template.startswith("{product}"), F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 30))).otherwise(text)
+
+
+def decision_problems(decisions: DataFrame, drafts: DataFrame) -> DataFrame:
+    """draft_id, problem of each decision (draft_id, action, reason, kind, evidence) that may not be appended.
+
+    Every decision needs a reason and a known draft and is accept or reject; what is accepted has
+    evidence on the draft's own documents, or none if it is unanswerable. Edits that are null keep what was drafted.
+    """
+    rows = decisions.alias("d").join(drafts.alias("f"), "draft_id", "left")
+    kind, evidence = F.coalesce("d.kind", "f.kind"), F.coalesce("d.evidence", "f.evidence")
+    held = F.when(kind == "unanswerable", F.array().cast("array<struct<doc_id: string, page: int>>")).otherwise(evidence)
+    accept = F.col("d.action") == "accept"
+    problems = [
+        F.when(F.trim(F.coalesce("d.reason", F.lit(""))) == "", "every decision needs a reason"),
+        F.when(~F.col("d.action").isin("accept", "reject"), "unknown action"),
+        F.when(F.col("f.doc_ids").isNull(), "unknown draft"),
+        F.when(accept & (kind != "unanswerable") & (F.size(F.coalesce(evidence, F.array().cast("array<struct<doc_id: string, page: int>>"))) == 0), "an answer without evidence"),
+        F.when(accept & F.exists(held, lambda e: ~F.array_contains("f.doc_ids", e["doc_id"])), "evidence on another document"),
+    ]
+    return rows.select("draft_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+
+
+def new_products(found: DataFrame, known: DataFrame, names: DataFrame, key: str = "doc_id", name: str = "name") -> DataFrame:
+    """Products of a listing that aren't in the manifest yet and whose name mentions no excluded one; of repeated ones the first by pos."""
+    from .questions import excluded
+
+    first = found.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter("__n = 1").drop("__n")
+    return excluded(first.join(known.select(key).distinct(), key, "left_anti"), names, name)

@@ -91,6 +91,12 @@ def html_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     return pages.select(key, F.posexplode(trs).alias("pos", "tr")).select(key, "pos", cells(F.col("tr")).alias("cells"))
 
 
+def priced_rows(rows: DataFrame, at: int = 3, least: int = 4) -> DataFrame:
+    """Table rows (…, cells) of `least` cells or more whose cell `at` is a whole number, which comes as `number`."""
+    cell = F.regexp_replace(F.get("cells", F.lit(at)), r"\s", "")
+    return rows.filter((F.size("cells") >= least) & cell.rlike(r"^\d+$")).withColumn("number", cell.try_cast("long"))
+
+
 def html_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, pos, href, label of each link."""
     found = F.regexp_extract_all(F.col(html), F.lit(r'(?s)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
