@@ -94,29 +94,11 @@ def _(spark, d):
     return D.provision_pages(pages(spark, d), _asked(spark, d))
 
 
-@query("linked_notes", "SELECT * FROM (VALUES ('p1', 'n1'), ('p2', 'n3')) AS t(doc_id, note_id)")
-def _(spark, d):
-    products = spark.createDataFrame([("p1", "A"), ("p2", "B"), ("p3", "C")], "doc_id string, issuer string")
-    notes = spark.sql("select * from values ('n1', 'A', date'2026-01-02'), ('n2', 'B', date'2026-01-02'), ('n3', 'B', date'2026-03-04') as t(note_id, issuer, note_date)")
-    p = spark.createDataFrame([("p2", 1, "see the Securities Note dated 4 March 2026."), ("p2", 3, "securities note 2 January 2026")], "doc_id string, page int, text string")
-    return D.linked_notes(products, notes, p)
-
-
 @query("family_labels", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'economy') THEN 'e' WHEN contains(lower(p_type), 'o') THEN 'o' END AS family FROM part")
 def _(spark, d):
     return load(spark, d, "part").select("p_partkey", D.family(F.col("p_type"), [("economy", "e"), ("o", "o")]).alias("family"))
 
 
-_ANSWERS = [(1, "$1,577.00", "metrics-generated", "Numerical reasoning"), (2, "−0.5%", "metrics-generated", "Information extraction"), (3, "Yes, it did", "novel-generated", None), (4, " 12 ", "domain-relevant", "Logical reasoning OR Numerical reasoning")]
-
-
-@query("filing_gold", "SELECT * FROM (VALUES (1, 'numeric', '$1,577.00', 'computation', 'financebench-7'), (2, 'numeric', '-0.5%', 'table', NULL), (3, 'free', 'Yes, it did', 'lookup', NULL), (4, 'numeric', '12', 'computation', NULL)) AS t(id, kind, value, qtype, qid)")
-def _(spark, d):
-    rows = spark.createDataFrame(_ANSWERS, "id int, answer string, kind string, reasoning string")
-    name = F.when(F.col("id") == 1, "financebench_id_7").otherwise("x_financebench_id_8")
-    return rows.select("id", D.filing_gold(F.col("answer")).alias("g"), D.filing_type(F.col("kind"), F.col("reasoning")).alias("qtype"), D.filing_id(name).alias("qid")).select("id", "g.*", "qtype", "qid")
-
-
 @query("gold_records", f"SELECT item_id AS qid, count(*) AS n FROM ({GOLD}) WHERE item_id NOT IN (SELECT item_id FROM ({GOLD}) WHERE doc_id % 4 = 1) GROUP BY 1")
 def _(spark, d):
     g = gold(spark, d)

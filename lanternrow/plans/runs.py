@@ -186,14 +186,6 @@ def _(spark, d):
     return M.bootstrap(load(spark, d, "labels"), "doc_id", "quality", 200).withColumn("mean", F.round("mean", 6))
 
 
-_HEADS = [("d1", 1, "Part A", 1), ("d1", 2, "I. Summary", 1), ("d1", 3, "1. General", 2), ("d1", 4, "1.2 Detail", 2), ("d1", 5, "plain words", 3), ("d1", 6, "[image]", 3), ("d1", 7, "Annex 1", 4), ("d2", 1, "VI. Terms", 1), ("d2", 2, "Part B", 2), ("d2", 3, "RISK FACTORS", 2), ("d2", 4, "(a) first", 3), ("d2", 5, "§ 3 Rules", 3), ("d3", 1, "no number", 1), ("d3", 2, "Note 4 Leases", 2)]
-
-
-@query("relevel", "SELECT * FROM (VALUES ('d1', 1, 1), ('d1', 2, 3), ('d1', 3, 4), ('d1', 4, 5), ('d1', 5, 6), ('d1', 6, 6), ('d1', 7, 2), ('d2', 1, 1), ('d2', 2, 2), ('d2', 3, 3), ('d2', 4, 5), ('d2', 5, 4), ('d3', 1, 1), ('d3', 2, 1)) AS t(doc_id, pos, level)")
-def _(spark, d):
-    return TR.relevel(spark.createDataFrame(_HEADS, "doc_id string, pos int, title string, page int")).select("doc_id", "pos", "level")
-
-
 _H = r"SELECT page_id AS doc_id, CAST(i AS INTEGER) AS pos, CAST(regexp_extract(h[i], '^<h([1-6])', 1) AS INTEGER) AS level, CAST((i + 1) // 2 AS INTEGER) AS page FROM (SELECT page_id, regexp_extract_all(html, '(?s)(<h[1-6][^>]*>.*?</h[1-6]>)', 1) AS h FROM pages), UNNEST(range(1, len(h) + 1)) AS u(i)"
 _TREE = f"WITH h AS (SELECT * FROM ({_H}) UNION ALL SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1000 AS INTEGER), CAST(substr(o_orderpriority, 1, 1) AS INTEGER), CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) FROM orders), np AS (SELECT doc_id, max(page) + 3 AS n_pages FROM h GROUP BY doc_id), tree AS (SELECT a.doc_id, 'n' || a.pos AS node_id, 'n' || (SELECT max(b.pos) FROM h b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.level < a.level) AS parent, a.page AS start_page, CASE WHEN nx.page IS NULL THEN n_pages ELSE greatest(a.page, nx.page) END AS end_page, a.level, a.pos FROM h a JOIN np USING (doc_id) LEFT JOIN h nx ON nx.doc_id = a.doc_id AND nx.pos = (SELECT min(c.pos) FROM h c WHERE c.doc_id = a.doc_id AND c.pos > a.pos AND c.level <= a.level))"
 
@@ -238,13 +230,6 @@ def _(spark, d):
     return TR.reads_to_evidence(reads, known).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("navigation_trace", "SELECT * FROM (VALUES ('q1', 'n1,n2,n3,n4', 'n3', 'n4')) AS t(qid, visited, selected, backtracks)")
-def _(spark, d):
-    tree = spark.createDataFrame([("d", "n1", 1, 9, 1, 1), ("d", "n2", 2, 3, 2, 2), ("d", "n3", 3, 3, 3, 3), ("d", "n4", 7, 9, 2, 4)], "doc_id string, node_id string, start_page int, end_page int, level int, pos int")
-    reads = spark.createDataFrame([("q1", 1, "d.pdf", [2]), ("q1", 2, "d.pdf", [3]), ("q1", 3, "d.pdf", [7]), ("q1", 4, "d.pdf", [3, 2])], "qid string, seq int, doc_name string, pages array<int>")
-    return TR.navigation(reads, tree).select("qid", F.array_join("visited", ",").alias("visited"), "selected", F.array_join("backtracks", ",").alias("backtracks"))
-
-
 _PART = "SELECT p_partkey AS doc_id, p_brand AS issuer, substr(p_type, 1, 3) AS type, p_size % 4 AS underlyings, CAST(p_size AS INTEGER) AS maturity, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey % 7 AS INTEGER) END AS coupon, CAST(p_partkey % 5 AS INTEGER) AS barrier, substr(p_name, 1, 1) AS currency, CAST(NULL AS INTEGER) AS strike FROM part"
 
 

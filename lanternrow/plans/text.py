@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as T
-from ..functions import values as V
 from ..operators import questions as Q
 from ..operators import retrieval as R
 from ..sources import files as S
-from .base import PAGES, TOKENS, WORDS, load, pages, values_sql
+from .base import PAGES, TOKENS, WORDS, load, pages
 
 QUERIES, SQL = {}, {}
 
@@ -113,60 +112,6 @@ def _(spark, d):
     return R.chunk(pages(spark, d))
 
 
-_FIXTURE = [
-    (1, "Reasoning.\nANSWER: 12.5%\nmore", "numeric", "0.125", None), (2, "ANSWER: CHF 1'000.00", "numeric", "1000", None), (3, "The value is not stated.", "numeric", "3", None), (4, "It cannot be determined", "unanswerable", None, None),
-    (5, "some\n\n 7 ", "numeric", "7.0", None), (6, "ANSWER: 500.000", "numeric", "500000", None), (7, "ANSWER: 500.000", "numeric", "500", None), (8, "ANSWER: 11. Februar 2028", "date", "2028-02-11", None), (9, "ANSWER: 15 June 2027 and 16.06.2027", "date", "15/06/2027", None),
-    (10, "ANSWER: 31.02.2028", "date", "2028-02-28", None), (11, "ANSWER: 2026-06-15, 15.12.2026", "date_list", None, ["2026-06-15", "2026-12-15"]), (12, "ANSWER: 2026-06-15", "date_list", None, ["2026-06-15", "2026-12-15"]),
-    (13, "ANSWER: Deutsche Bank AG, Taunusanlage 12", "exact", "deutsche bank  ag", None), (14, "ANSWER: Deutsche Bank AGX", "exact", "Deutsche Bank AG", None), (15, "ANSWER: anything", "free", "x", None), (16, "ANSWER:", "exact", "x", None), (17, "yes", "unanswerable", None, None),
-    (18, "ANSWER: 1,234,567.5", "numeric", "1234567.5", None), (19, "ANSWER: 0.83", "numeric", "0.8", None), (20, "ANSWER: -3", "numeric", "-3.01", None), (21, "ANSWER: Dec 5", "date", "2020-12-05", None), (22, "ANSWER: December 5, 2020", "date", "5-Dec-2020", None), (23, None, "exact", "x", None),
-]
-
-
-def _fixture(spark):
-    return spark.createDataFrame(_FIXTURE, "id int, answer string, kind string, value string, vs array<string>")
-
-
-_F = values_sql(_FIXTURE, "id, answer, kind, value, vs")
-_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_TAIL = _STRIP.format("string_split(answer, 'ANSWER:')[-1]")
-_FINAL = f"CASE WHEN answer IS NULL THEN '' WHEN contains(answer, 'ANSWER:') THEN {_STRIP.format('string_split(' + _TAIL + ', chr(10))[1]')} ELSE coalesce(list_filter(list_transform(string_split(answer, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')[-1], '') END"
-_REFUSAL = T.REFUSAL.replace("'", "''")
-
-
-@query("extract_final", f"SELECT id, {_FINAL} AS final FROM {_F}")
-def _(spark, d):
-    return _fixture(spark).select("id", T.extract_final(F.coalesce("answer", F.lit(""))).alias("final"))
-
-
-@query("refusals", f"SELECT id, regexp_matches(answer, '{_REFUSAL}') AS refused FROM {_F} WHERE answer IS NOT NULL")
-def _(spark, d):
-    return _fixture(spark).filter("answer is not null").select("id", T.is_refusal(F.col("answer")).alias("refused"))
-
-
-@query("numeric_match", "SELECT * FROM (VALUES (1, true), (2, true), (5, true), (6, true), (7, true), (18, true), (19, true), (20, true)) AS t(id, matches)")
-def _(spark, d):
-    rows = _fixture(spark).filter("kind = 'numeric' and id <> 3")
-    return rows.select("id", V.numbers_match(T.extract_final(F.col("answer")), F.col("value")).alias("matches"))
-
-
-@query("date_parse", "SELECT * FROM (VALUES (8, ['2028-02-11']), (9, ['2027-06-15', '2027-06-16']), (10, CAST([] AS VARCHAR[])), (11, ['2026-06-15', '2026-12-15']), (12, ['2026-06-15']), (21, CAST([] AS VARCHAR[])), (22, ['2020-12-05'])) AS t(id, days)")
-def _(spark, d):
-    rows = _fixture(spark).filter("kind in ('date', 'date_list')")
-    return rows.select("id", F.transform(V.dates(F.col("answer")), lambda x: x.cast("string")).alias("days"))
-
-
-@query("exact_match", f"WITH f AS (SELECT id, {_FINAL} AS fin, value FROM {_F} WHERE kind = 'exact'), n AS (SELECT id, trim(regexp_replace(replace(lower(fin), 'ß', 'ss'), '\\s+', ' ', 'g'), ' .,;:') AS a, trim(regexp_replace(replace(lower(value), 'ß', 'ss'), '\\s+', ' ', 'g'), ' .,;:') AS g FROM f) SELECT id, a = g OR (starts_with(a, g) AND regexp_matches(substr(a, length(g) + 1), '^(?:\\s*[,(;]|\\s+[–-]\\s)')) AS matches FROM n".replace("\\\\", "\\"))
-def _(spark, d):
-    rows = _fixture(spark).filter("kind = 'exact'")
-    return rows.select("id", V.score(F.coalesce("answer", F.lit("")), F.col("kind"), F.col("value"), F.col("vs"))["correct"].alias("matches"))
-
-
-@query("score_dispatch", "SELECT * FROM (VALUES (1, true, 'numeric', NULL), (2, true, 'numeric', NULL), (3, false, 'numeric', NULL), (4, true, 'refusal', NULL), (5, true, 'numeric', NULL), (6, true, 'numeric', NULL), (7, true, 'numeric', NULL), (8, true, 'date', NULL), (9, true, 'date', NULL), (10, false, 'date', NULL), (11, true, 'date_list', NULL), (12, false, 'date_list', NULL), (13, true, 'exact', NULL), (14, false, 'exact', NULL), (15, NULL, 'llm', NULL), (16, false, 'exact', NULL), (17, false, 'refusal', 'answered_unanswerable'), (18, true, 'numeric', NULL), (19, true, 'numeric', NULL), (20, true, 'numeric', NULL), (21, false, 'date', NULL), (22, true, 'date', NULL), (23, false, 'exact', NULL)) AS t(id, correct, method, failure)")
-def _(spark, d):
-    s = V.score(F.coalesce("answer", F.lit("")), F.col("kind"), F.col("value"), F.col("vs"))
-    return _fixture(spark).select("id", s.alias("s")).select("id", "s.*")
-
-
 #: Drafted answers of every kind and form, from orders.
 _DRAFTED = """SELECT o_orderkey AS id, list_extract(['numeric', 'exact', 'date', 'date_list', 'free', 'bogus'], CAST(o_orderkey % 6 + 1 AS INTEGER)) AS kind,
     CASE o_custkey % 9 WHEN 0 THEN 'CHF 1' || chr(39) || n || '.00' WHEN 1 THEN ' ' || n || '.5 % of the initial price' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || ', 2027-01-02;2028-03-04'
@@ -187,14 +132,6 @@ def _(spark, d):
     return rows.select("id", Q.normalise_answer(F.col("kind"), F.col("answer")).alias("a")).select("id", "a.kind", "a.value", F.array_join("a.values", "|").alias("vs"))
 
 
-_SSE = [(1, 'data: {"choices":[{"finish_reason":null}]}\n\ndata: {"choices":[{"finish_reason":"stop"}]}\n\ndata: {"usage":{"prompt_tokens":7,"completion_tokens":3},"choices":[]}\n\ndata: [DONE]\n'), (2, "data: [DONE]\n"), (3, 'event: x\ndata: {"usage":{"prompt_tokens":1,"completion_tokens":2}}\n')]
-
-
-@query("sse_usage", "SELECT * FROM (VALUES (1, CAST(7 AS BIGINT), CAST(3 AS BIGINT), 'stop'), (2, NULL, NULL, NULL), (3, 1, 2, NULL)) AS t(id, prompt_tokens, completion_tokens, finish)")
-def _(spark, d):
-    return spark.createDataFrame(_SSE, "id int, body string").select("id", T.sse_usage(F.col("body")).alias("u")).select("id", "u.*")
-
-
 @query("parsed_evidence", "SELECT o_orderkey, 'doc:' || o_custkey AS doc_id, CAST(o_orderkey % 9 AS INTEGER) AS page FROM orders UNION ALL SELECT o_orderkey, 'b', 3 FROM orders")
 def _(spark, d):
     text = F.concat(F.lit(" doc:"), "o_custkey", F.lit(":"), F.col("o_orderkey") % 9, F.lit(", b: 3,"))
@@ -217,19 +154,16 @@ def _(spark, d):
     return S.first_links(S.html_links(load(spark, d, "pages"))).select("href", "page_id", "pos")
 
 
-_CHECK = [("a-1", "A", "CH0012345678", "de", "2026-01-01", "", "3"), ("a-1", "A", "", "de", "2026", "", ""), ("B 2", "C", "bad", "xx", "x", "sha256:12", "-1")]
-
-
-@query("manifest_checks", "SELECT * FROM (VALUES ('a-1', 'repeated doc_id'), ('a-1', 'repeated doc_id'), ('B 2', 'bad doc_id'), ('B 2', 'bad regime'), ('B 2', 'bad isin'), ('B 2', 'bad language'), ('B 2', 'bad issue_date'), ('B 2', 'bad sha256'), ('B 2', 'bad pages')) AS t(doc_id, why)")
-def _(spark, d):
-    return S.invalid_manifest(spark.createDataFrame(_CHECK, "doc_id string, regime string, isin string, language string, issue_date string, sha256 string, pages string"))
-
-
 @query("fuzzy_quotes")
 def _(spark, d):
     from ..sources.services import fuzzy_quotes
 
-    rows = pages(spark, d).filter(F.size(T.words(F.col("text"))) >= 6).select("doc_id", "page", F.array_join(F.slice(T.words(F.col("text")), 2, 5), " ").alias("quote"), F.col("text"))
+    # quotes of even pages as they stand, of odd ones with a word that was misread, or two that weren't there
+    own = F.slice(T.words(F.col("text")), 2, 8)
+    word = F.element_at(own, 3)
+    misread = F.transform(own, lambda w, i: F.when(i == 2, F.concat(F.lit("l"), F.substring(word, 2, 1 << 30))).otherwise(w))
+    parts = F.when(F.col("page") % 2 == 0, own).when(F.col("page") % 4 == 1, misread).otherwise(F.concat(own, F.array(F.lit("entirely"), F.lit("elsewhere"))))
+    rows = pages(spark, d).filter(F.size(T.words(F.col("text"))) >= 9).select("doc_id", "page", F.array_join(parts, " ").alias("quote"), F.col("text"))
     return fuzzy_quotes(rows, "quote", "text").select("doc_id", "page", "on_page")
 
 
