@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +80,12 @@ class ByteLevel:
         for t, i in ranks.items():
             tokens[i] = t
         self.path, self.vocabulary, self._own = path, Vocabulary(tokens), None
-        self._fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self._fast(t) if PLAIN.match(t) else self._slow(t) for t in texts]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        found = [self._fast(t, disallowed_special=()) if PLAIN.match(t) else np.array(self._slow(t), np.uint32) for t in texts]
+        return np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), np.array([len(x) for x in found], np.int64)
 
     def _slow(self, text: str) -> list[int]:
         if self._own is None:
@@ -113,7 +116,8 @@ class Pieces:
         self.apart = not any("▁" in n.lstrip("▁") for n in names)
         self.known: dict[str, list[int]] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
         by_word = [self.apart and "  " not in t and t[:1] != " " and t[-1:] != " " and "▁" not in t for t in texts]
         words = [t.split(" ") if ok else [] for t, ok in zip(texts, by_word, strict=True)]
         if len(self.known) > self.CACHE:
@@ -121,21 +125,14 @@ class Pieces:
         known = self.known
         new = list({w for ws in words for w in ws}.difference(known))
         if new:
-            ids = np.array(self.model.encode(" ".join(new)), np.int64)
-            at = np.flatnonzero(self.begins[ids])
+            ids = self.model.encode(" ".join(new))
+            at = np.flatnonzero(self.begins[np.array(ids, np.int64)]).tolist()
             if len(at) != len(new):
                 raise ValueError("words and their pieces don't match")
-            known.update(zip(new, (x.tolist() for x in np.split(ids, at[1:])), strict=True))
-        out = []
-        for t, ok, ws in zip(texts, by_word, words, strict=True):
-            if ok:
-                found: list[int] = []
-                for ids in map(known.__getitem__, ws):
-                    found += ids
-                out.append(found)
-            else:
-                out.append(self.model.encode(t))
-        return out
+            known.update(zip(new, map(ids.__getitem__, map(slice, at, [*at[1:], len(ids)])), strict=True))
+        parts = [list(chain.from_iterable(map(known.__getitem__, ws))) if ok else self.model.encode(t) for t, ok, ws in zip(texts, by_word, words, strict=True)]
+        counts = np.array([len(x) for x in parts], np.int64)
+        return np.fromiter(chain.from_iterable(parts), np.int64, int(counts.sum())), counts
 
 
 @cache
@@ -145,20 +142,13 @@ def _tools(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces, np.ndarray]:
     return a, b, np.array(texts, object)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
-
-
-def _spelled(vocabulary: Vocabulary, lists: list[list[int]], wanted: list[bytes]) -> np.ndarray:
-    """Whether each list of ids spells its text."""
-    ids, counts = _flat(lists)
+def _spelled(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray, wanted: list[bytes]) -> np.ndarray:
+    """Whether each text's ids spell it."""
     upto = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])
     at = np.concatenate([[0], np.cumsum(counts)])
-    sizes = np.array([len(w) for w in wanted], np.int64)
-    ok = np.diff(upto[at]) == sizes
+    ok = np.diff(upto[at]) == np.array([len(w) for w in wanted], np.int64)
     if not ok.all():
-        return np.array([o and vocabulary.spell(np.array(x, np.int64)).tobytes() == w for o, x, w in zip(ok, lists, wanted, strict=True)])
+        return np.array([o and vocabulary.spell(ids[at[i] : at[i + 1]]).tobytes() == w for i, (o, w) in enumerate(zip(ok, wanted, strict=True))])
     wrong = np.flatnonzero(vocabulary.spell(ids) != np.frombuffer(b"".join(wanted), np.uint8))
     ok[np.searchsorted(upto[at], wrong, side="right") - 1] = False
     return ok
@@ -226,17 +216,15 @@ def _align(texts: list[str | None], a_path: str, b_path: str) -> list[pa.Array]:
     n = len(texts)
     rows = [i for i, t in enumerate(texts) if t]
     wanted = [b" " + texts[i].encode() for i in rows]
-    lists_a, lists_b = a.encode([" " + texts[i] for i in rows]), b.encode([texts[i] for i in rows])
+    (ids_a, n_a), (ids_b, n_b) = a.encode([" " + texts[i] for i in rows]), b.encode([texts[i] for i in rows])
     if rows:
-        ok = _spelled(a.vocabulary, lists_a, wanted) & _spelled(b.vocabulary, lists_b, wanted)
+        ok = _spelled(a.vocabulary, ids_a, n_a, wanted) & _spelled(b.vocabulary, ids_b, n_b, wanted)
         if not ok.all():
-            keep = np.flatnonzero(ok)
-            rows, wanted, lists_a, lists_b = ([x[i] for i in keep] for x in (rows, wanted, lists_a, lists_b))
+            ids_a, ids_b, n_a, n_b = ids_a[np.repeat(ok, n_a)], ids_b[np.repeat(ok, n_b)], n_a[ok], n_b[ok]
+            rows, wanted = ([x[i] for i in np.flatnonzero(ok)] for x in (rows, wanted))
     counts = np.zeros((4, n), np.int64)
     digests = [""] * n
     at = np.array(rows, np.int64)
-    ids_a, n_a = _flat(lists_a)
-    ids_b, n_b = _flat(lists_b)
     found = Aligned(ids_a, ids_b, a.vocabulary.lengths[ids_a], b.vocabulary.lengths[ids_b], np.array([len(w) for w in wanted], np.int64))
     groups = np.bincount(found.doc, minlength=len(rows))
     links = np.zeros(len(rows), np.int64)
