@@ -183,4 +183,4 @@ def _(spark, d):
     # built before: a quarter with these settings, a quarter with others, a quarter of another text, a quarter in vain
     m = F.col("doc_id") % 4
     known = docs.select("doc_id", F.when(m == 2, "other").otherwise(F.col("sha256")).alias("sha256"), F.when(m == 1, "old").otherwise("new").alias("settings"), F.lit(1).alias("attempts"), F.when(m == 3, "failed").alias("error"), F.lit("[]").alias("tree"), F.lit("").alias("description"), F.lit(7).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
-    return N.build_indexes(docs, known, "new", _bundle)[0].select("doc_id", "attempts", "error", F.col("input_tokens").cast("int").alias("input_tokens"))
+    return N.build_indexes(docs, known, "new", _bundle)[0].select("doc_id", "attempts", "error", "input_tokens")
