@@ -12,9 +12,10 @@ def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(id, component) for every id in edges (a, b: not null); component is the smallest id reached.
 
     Every round each root takes the smallest root that its tree is linked to, and roots jump to their
-    root's root until they point at one that stays, so trees at least halve in number: rounds and
-    jumps are both logarithmic in the longest path, chains in id order included. Then links are drawn
-    between the roots that are left. `rounds`, if given, gets the number of links of each round.
+    root's root until they point at one that stays, so jumps are logarithmic in the longest path, chains
+    in id order included. Then links are drawn between the roots that are left. A round needn't halve
+    the trees: where a hub has the highest id, it joins its smallest neighbour first, and the others
+    follow in the next round; rounds stay few. `rounds`, if given, gets the number of links of each round.
     """
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")

@@ -494,6 +494,9 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     got = lm.id_pairs(blocks)
     assert {(int(i), int(j)): int(got[i, j]) for i, j in zip(*np.nonzero(got), strict=True)} == pairs
     assert lm.learn(blocks, lm.fit([], pieces, got)) == windows
+    # texts of fewer windows than the share give one each
+    monkeypatch.setattr(lm, "SHARE", 24)
+    assert lm.learn(blocks, lm.fit([], pieces, got)) == len(other)
 
 
 def test_lm_memory_by_brute_force(spark, monkeypatch, tmp_path):
