@@ -110,9 +110,9 @@ def clustered_bootstrap(rows: DataFrame, cluster: str, key: str, value: str, n:
     """One row: mean of value, n_clusters, n_rows, and the 2.5 and 97.5 percentiles of n means by two-level resampling.
 
     A draw gives each cluster a Poisson(1) weight, and each row one of its own within it, both from
-    hashes, so reruns agree. A row's weights are arrays of `size` draws at a time that are summed
-    place by place in its cluster; clusters' sums are weighted and summed in the same way. What is
-    shuffled is a pair of numbers a cluster and draw, and then a draw: rows times draws never are.
+    hashes, so reruns agree. A row counts in a draw with the product of the two, which needs nothing
+    but the row itself, so rows are weighted where they are read, `size` draws at a time, and two
+    sums a draw and task are all that is shuffled.
     """
     from ..functions.hashing import uniform
 
@@ -121,12 +121,19 @@ def clustered_bootstrap(rows: DataFrame, cluster: str, key: str, value: str, n:
         total += p
         steps.append(total)
         p /= k + 1
-    weight = lambda u: sum(((u >= s).cast("int") for s in steps), F.lit(0)).cast("double")
+
+    def weight(u):
+        out = F.when(u < steps[0], 0)
+        for i, s in enumerate(steps[1:], 1):
+            out = out.when(u < s, i)
+        return out.otherwise(len(steps))
+
     base = rows.filter(F.col(value).isNotNull() & F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.col(key).alias("k"), F.col(value).cast("double").alias("x"))
     draws = rows.sparkSession.range(-(-n // size)).select((F.col("id") * size + 1).cast("int").alias("low"), F.least(F.lit(n), (F.col("id") + 1) * size).cast("int").alias("high"))
     # the chunks of draws are a few rows
     each = base.crossJoin(F.broadcast(draws)).withColumn("d", F.explode(F.sequence("low", "high")))
-    inner = each.withColumn("w", weight(uniform(seed, F.lit("row"), F.col("d"), F.col("k")))).groupBy("c", "d").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"))
-    outer = inner.withColumn("v", weight(uniform(seed, F.lit("cluster"), F.col("d"), F.col("c")))).groupBy("d").agg((F.sum(F.col("v") * F.col("wx")) / F.nullif(F.sum(F.col("v") * F.col("w")), F.lit(0.0))).alias("mean"))
-    spread = outer.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    outer = each.withColumn("u", uniform(seed, F.lit("cluster"), F.col("d"), F.col("c"))).filter(F.col("u") >= steps[0])
+    both = outer.withColumn("t", uniform(seed, F.lit("row"), F.col("d"), F.col("k"))).filter(F.col("t") >= steps[0]).select("d", "x", (weight(F.col("u")) * weight(F.col("t"))).cast("double").alias("w"))
+    means = both.groupBy("d").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
+    spread = means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
     return base.agg(F.avg("x").alias("mean"), F.count_distinct("c").alias("n_clusters"), F.count("*").alias("n_rows")).crossJoin(spread)

@@ -1,5 +1,6 @@
 """Schemas as predicates, evidence of both shapes, clustered resampling."""
 
+import re
 import json
 
 import pytest
@@ -91,3 +92,11 @@ def test_clustered_bootstrap(spark):
     at = lambda q: means[int(q * (len(means) - 1))] + (q * (len(means) - 1) % 1) * (means[min(len(means) - 1, int(q * (len(means) - 1)) + 1)] - means[int(q * (len(means) - 1))])
     assert abs(got.low - at(0.025)) < 1e-9 and abs(got.high - at(0.975)) < 1e-9
     assert tuple(metrics.clustered_bootstrap(rows.limit(0), "c", "k", "x", 40).first()) == (None, 0, 0, None, None)
+
+
+def test_clustered_bootstrap_shuffles_draws_only(spark):
+    """No exchange is by cluster and draw, whose pairs grow with both."""
+    rows = spark.range(50).select((F.col("id") % 5).alias("c"), F.col("id").alias("k"), F.col("id").cast("double").alias("x"))
+    plan = metrics.clustered_bootstrap(rows, "c", "k", "x", 40)._jdf.queryExecution().executedPlan().toString()
+    by = re.findall(r"hashpartitioning\(([^)]*)", plan)
+    assert any(x.startswith("d#") for x in by) and not any("c#" in x and "d#" in x for x in by)
