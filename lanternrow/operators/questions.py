@@ -26,8 +26,10 @@ def unique_attributes(products: DataFrame, key: str = "doc_id", base: tuple[str,
     for b in base:
         missing = missing | F.col(b).isNull()
     good = products.filter(~missing).select(key, *base, *attrs)
-    # products counted by base and by each subset of attributes, a bit mask; linear in products
-    masks = good.withColumn("mask", F.explode(F.array(*(F.lit(m) for m in range(1 << len(attrs))))))
+    # products counted by base and by each subset of the attributes they have, a bit mask; linear in products.
+    # Who agrees in an attribute has it, so subsets with a null one are asked by nobody
+    has = sum((F.when(F.col(a).isNotNull(), 1 << i).otherwise(0) for i, a in enumerate(attrs)), F.lit(0))
+    masks = good.withColumn("has", has).withColumn("mask", F.explode(F.array(*(F.lit(m) for m in range(1 << len(attrs)))))).filter(F.col("mask").bitwiseAND(F.col("has")) == F.col("mask"))
     shown = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(a)).alias(f"k_{a}") for i, a in enumerate(attrs)]
     masks = masks.select(key, "mask", *base, *shown)
     by = ["mask", *base, *(f"k_{a}" for a in attrs)]
@@ -35,8 +37,9 @@ def unique_attributes(products: DataFrame, key: str = "doc_id", base: tuple[str,
     same = F.lit(True)
     for c in by:
         same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}"))
-    each = masks.alias("m").join(counts.alias("c"), same).groupBy(f"m.{key}").agg(F.map_from_entries(F.collect_list(F.struct("m.mask", "n"))).alias("n"))
-    out = good.join(each, key).withColumns({"used": F.lit(0), "attrs": F.array(*(F.lit(b) for b in base))})
+    # both joins are of tables many times the file that Spark judges them by, so they may not be broadcast
+    each = masks.alias("m").join(counts.hint("merge").alias("c"), same).groupBy(f"m.{key}").agg(F.map_from_entries(F.collect_list(F.struct("m.mask", "n"))).alias("n"))
+    out = good.join(each.hint("merge"), key).withColumns({"used": F.lit(0), "attrs": F.array(*(F.lit(b) for b in base))})
     for i, a in enumerate(attrs):
         now, then = F.element_at("n", F.col("used")), F.element_at("n", F.col("used").bitwiseOR(1 << i))
         takes = (now > 1) & F.col(a).isNotNull() & (then < now)
