@@ -49,15 +49,26 @@ def unique_attributes(products: DataFrame, key: str = "doc_id", base: tuple[str,
     return done.unionByName(none)
 
 
-def disambiguation(facts: DataFrame, sibs: DataFrame, used: DataFrame, fields: list[str], most: int = 2) -> DataFrame:
+def disambiguation(facts: DataFrame, products: DataFrame, used: DataFrame, fields: list[str], most: int = 2, key: str = "doc_id", base: tuple[str, ...] = ("issuer", "type", "underlyings")) -> DataFrame:
     """doc_id, field, nth: the first `most` fields, in order, that the description leaves out, whose quote
-    is right and where some sibling has another value. facts (doc_id, field, value, quote_ok), used (doc_id, attrs)."""
+    is right and where some sibling (a product alike in all of base) has another value.
+    facts (doc_id, field, value, quote_ok), used (doc_id, attrs).
+
+    The pairs of siblings are never made: of the values of a base and field, those that are neither
+    this one nor the product's own are counted.
+    """
     order = F.array_position(F.array(*(F.lit(f) for f in fields)), F.col("field"))
-    mine = facts.filter("quote_ok and value is not null").withColumn("o", order).filter("o > 0").join(used, "doc_id").filter(~F.array_contains("attrs", F.col("field")))
-    theirs = facts.filter("value is not null").select(F.col("doc_id").alias("sibling"), "field", F.col("value").alias("other"))
-    found = mine.join(sibs, "doc_id").join(theirs, ["sibling", "field"]).filter("value <> other").select("doc_id", "field", "o").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("o"))
-    return found.withColumn("nth", nth).filter(F.col("nth") <= most).select("doc_id", "field", "nth")
+    bases = products.filter(" and ".join(f"{b} is not null" for b in base)).select(key, *base).distinct()
+    said = facts.withColumn("o", order).filter("value is not null and o > 0").groupBy(key, "field", "o", "value").agg(F.max("quote_ok").alias("ok"))
+    # a value of the product, once; own: its different values of the field
+    rows = said.join(bases.hint("merge"), key).withColumn("own", F.count("*").over(Window.partitionBy(key, "field", *base)))
+    alike = rows.groupBy(*base, "field", "value").agg(F.count("*").alias("alike"))
+    whole = alike.groupBy(*base, "field").agg(F.sum("alike").alias("all"))
+    mine = rows.filter("ok").join(used, key).filter(~F.array_contains("attrs", F.col("field")))
+    other = mine.join(alike.hint("merge"), [*base, "field", "value"]).join(whole.hint("merge"), [*base, "field"]).filter(F.col("all") - F.col("alike") > F.col("own") - 1)
+    found = other.select(key, "field", "o").distinct()
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("o"))
+    return found.withColumn("nth", nth).filter(F.col("nth") <= most).select(key, "field", "nth")
 
 
 def replay(log: DataFrame, by: str = "draft_id", order: str = "at", action: str = "action") -> DataFrame:
