@@ -49,6 +49,16 @@ def unique_attributes(products: DataFrame, key: str = "doc_id", base: tuple[str,
     return done.unionByName(none)
 
 
+def sibling_counts(products: DataFrame, key: str = "doc_id", base: tuple[str, ...] = ("issuer", "type", "underlyings")) -> DataFrame:
+    """key, n of siblings, for products that have any; counted by base, without the pairs."""
+    rows = products.filter(" and ".join(f"{b} is not null" for b in base)).select(key, *base)
+    # a key that is repeated isn't its own sibling
+    whole = rows.groupBy(*base).agg(F.count("*").alias("all"))
+    own = rows.groupBy(key, *base).agg(F.count("*").alias("own"))
+    found = own.join(whole.hint("merge"), list(base)).withColumn("n", F.col("own") * (F.col("all") - F.col("own"))).filter("n > 0")
+    return found.groupBy(key).agg(F.sum("n").alias("n"))
+
+
 def disambiguation(facts: DataFrame, products: DataFrame, used: DataFrame, fields: list[str], most: int = 2, key: str = "doc_id", base: tuple[str, ...] = ("issuer", "type", "underlyings")) -> DataFrame:
     """doc_id, field, nth: the first `most` fields, in order, that the description leaves out, whose quote
     is right and where some sibling (a product alike in all of base) has another value.

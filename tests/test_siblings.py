@@ -50,3 +50,10 @@ def test_disambiguation_without_pairs(spark):
         ok = [f for f in "gfh" if f not in attrs and any(s[0] == p[0] and s[1] == f and s[2] and s[3] and any(_alike(p, q) and t[0] == q[0] and t[1] == f and t[2] and t[2] != s[2] for q in rows for t in said) for s in said)]
         want |= {(p[0], f, i + 1) for i, f in enumerate(ok[:2])}
     assert set(map(tuple, got.collect())) == want
+
+
+def test_sibling_counts(spark):
+    rows = _products()
+    want = {p[0]: n for p in rows if (n := sum(_alike(p, q) for q in rows))}
+    assert {r.doc_id: r.n for r in Q.sibling_counts(spark.createDataFrame(rows, PRODUCT)).collect()} == want
+    assert Q.sibling_counts(spark.createDataFrame([], PRODUCT)).count() == 0
