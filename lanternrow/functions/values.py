@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +57,20 @@ def readings(s: Column) -> Column:
     before three digits is both, unless in a percentage; a percentage is also its hundredth.
     """
     bare = F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?:CHF|EUR|USD|GBP|JPY)\b|[$€£]", ""), "['’   ]", "")
-    token = F.regexp_extract(bare, r"[-+]?\d[\d.,]*\s*%?", 0)
-    percent = token.endswith("%")
+    return _bound(F.regexp_extract(bare, r"[-+]?\d[\d.,]*\s*%?", 0), _meanings)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _meanings(token: Column) -> Column:
     raw = F.regexp_replace(F.trim(F.replace(token, F.lit("%"), F.lit(""))), r"[.,]+$", "")
+    return F.when(token == "", F.array().cast(_READING)).otherwise(_bound(raw, lambda r: _values(r, token.endswith("%"))))
+
+
+def _values(raw: Column, percent: Column) -> Column:
     one = lambda text, decimals: F.struct(text.try_cast("double").alias("value"), decimals.cast("int").alias("decimals"))
     plain = F.regexp_replace(raw, "[.,]", "")
     after = F.regexp_extract(raw, r"[.,](\d*)$", 1)
@@ -65,15 +78,14 @@ def readings(s: Column) -> Column:
     many = raw.rlike(r"\..*\.") | raw.rlike(",.*,")
     decimal = F.concat(F.regexp_replace(F.regexp_replace(raw, r"[.,]\d*$", ""), "[.,]", ""), F.lit("."), after)
     found = (
-        F.when(token == "", F.array().cast(_READING))
-        .when(~raw.rlike("[.,]"), F.array(one(raw, F.lit(0))))
+        F.when(~raw.rlike("[.,]"), F.array(one(raw, F.lit(0))))
         .when(both, F.array(one(decimal, F.length(after))))
         .when(many, F.array(one(plain, F.lit(0))))
         .when((F.length(after) == 3) & ~percent, F.array(one(decimal, F.lit(3)), one(plain, F.lit(0))))
         .otherwise(F.array(one(decimal, F.length(after))))
     )
-    hundredths = F.transform(found, lambda x: F.struct((x["value"] / 100).alias("value"), (x["decimals"] + 2).alias("decimals")))
-    return F.filter(F.when(percent, F.concat(found, hundredths)).otherwise(found), lambda x: x["value"].isNotNull())
+    hundredths = lambda f: F.transform(f, lambda x: F.struct((x["value"] / 100).alias("value"), (x["decimals"] + 2).alias("decimals")))
+    return F.filter(_bound(found, lambda f: F.when(percent, F.concat(f, hundredths(f))).otherwise(f)), lambda x: x["value"].isNotNull())
 
 
 def numbers_match(answer: Column, gold: Column, tolerance: float = 0.005) -> Column:
@@ -83,7 +95,7 @@ def numbers_match(answer: Column, gold: Column, tolerance: float = 0.005) -> Col
         y, apart = g["value"], F.abs(x["value"] - g["value"])
         return ((y == 0) & (F.abs(x["value"]) < 1e-9)) | ((y != 0) & (apart <= tolerance * F.abs(y))) | (apart <= 0.5 * F.pow(F.lit(10.0), -g["decimals"]) * (1 + 1e-9))
 
-    return F.exists(readings(answer), lambda x: F.exists(readings(gold), lambda g: one(x, g)))
+    return _bound(readings(gold), lambda meant: F.exists(readings(answer), lambda x: F.exists(meant, lambda g: one(x, g))))
 
 
 def score(answer: Column, kind: Column, value: Column, values: Column) -> Column:

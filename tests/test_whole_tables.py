@@ -38,3 +38,10 @@ def test_notes_are_met_by_date(spark):
     papers = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("i").alias("issuer"), F.lit(1).alias("page"), F.concat(F.lit("Securities Note of "), F.date_format(days, "d MMMM yyyy")).alias("text"))
     got = drafting.linked_notes(papers.select("doc_id", "issuer"), notes, papers.select("doc_id", "page", "text"))
     assert got.agg(F.count("*"), F.count_if(F.col("doc_id") == F.col("note_id"))).first()[:] == (n, n)
+
+
+def test_number_patterns_are_looked_for_once(spark):
+    """The first number is cut out once a text, not once a use."""
+    df = spark.createDataFrame([("CHF 1'234.50 p.a.",)], "a string").select(values.readings(F.col("a")))
+    shown = df._jdf.queryExecution().logical().toString()
+    assert shown.count("CHF|EUR") == 1
