@@ -50,14 +50,24 @@ def build(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "t
     return Postings(rows, written(idf.join(rows.groupBy("term").agg(F.max("adds").alias("most")), "term"), "postings-most"))
 
 
-def search(index: Postings, asked: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", scope: DataFrame | None = None) -> DataFrame:
-    """query, key, score, rank: the k best texts of each query in asked (query, term, times), within its scope (query, key) if given; equal scores go by key.
+def search(index: Postings, asked: DataFrame, k: int, query: str = "item_id", key: str = "doc_id", scope: DataFrame | None = None, groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query, key, score, rank: the k best texts of each query in asked (query, term, times), within its scope if given; equal scores go by key.
+
+    A scope is pairs (query, key), or groups: (query, group) and (key, group), whose pairs, many times the texts, are never made.
 
     Texts that share no term with a query are never among its best.
     """
     ask = written(asked.join(small(index.terms.select("term", "most")), "term").select(F.col(query).alias("q"), "term", "times", (F.col("times") * F.col("most")).alias("can")), "asked")
     own = None if scope is None else written(scope.select(F.col(query).alias("q"), F.col(key).alias("doc")), "scope")
-    within = lambda pairs: pairs if own is None else pairs.join(own, ["q", "doc"], "left_semi")
+    if groups:
+        asked_of, group_of = groups[0].select(F.col(query).alias("q"), F.col("group").alias("g")).distinct(), groups[1].select(F.col(key).alias("doc"), F.col("group").alias("g")).distinct()
+        asked_of = small(written(asked_of, "asked-groups"))
+
+    def within(pairs: DataFrame) -> DataFrame:
+        # scopes are long and their files small, so they are not left to be broadcast
+        out = pairs if own is None else pairs.join(own.hint("merge"), ["q", "doc"], "left_semi")
+        return out.join(group_of.hint("merge"), "doc").join(asked_of, ["q", "g"], "left_semi").select("q", "doc").distinct() if groups else out
+
     # the row number's limit is applied before the shuffle, so a common term sends a few postings of each task
     high = Window.partitionBy("term").orderBy(F.desc("adds"), "doc")
     best = index.rows.withColumn("nth", F.row_number().over(high)).filter(F.col("nth") <= CHAMPIONS * k).select("term", "doc")
@@ -80,7 +90,7 @@ def _scored(index: Postings, ask: DataFrame, pairs: DataFrame) -> DataFrame:
     return index.rows.join(small(wanted), ["term", "doc"]).groupBy("q", "doc").agg(F.sum(F.col("times") * F.col("adds")).alias("score"))
 
 
-def best(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text", scope: DataFrame | None = None) -> DataFrame:
+def best(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text", scope: DataFrame | None = None, groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best texts of each query: query, key, score, rank."""
     asked = written(query_terms(queries, query, query_text), "query-terms")
-    return search(build(docs, asked, key, text), asked, k, query, key, scope)
+    return search(build(docs, asked, key, text), asked, k, query, key, scope, groups)

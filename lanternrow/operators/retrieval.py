@@ -80,11 +80,11 @@ def top_k(scored: DataFrame, by: str, k: int, *order: str, score: str = "score")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def lexical(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", scope: DataFrame | None = None) -> DataFrame:
-    """The k best by BM25 within each query's scope (query_key, doc_key), statistics of all docs; scores above 0 only."""
+def lexical(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", scope: DataFrame | None = None, groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The k best by BM25 within each query's scope (query_key, doc_key), or its groups (query_key, group) and (doc_key, group), statistics of all docs; scores above 0 only."""
     from . import postings
 
-    return postings.best(docs, queries, k, doc_key, query_key, scope=scope).filter("score > 0")
+    return postings.best(docs, queries, k, doc_key, query_key, scope=scope, groups=groups).filter("score > 0")
 
 
 def dot(a: Column, b: Column) -> Column:

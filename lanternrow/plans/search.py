@@ -50,8 +50,8 @@ _LANG = f"gl AS (SELECT item_id, min(lang) AS lang FROM ({GOLD}) g JOIN document
 def _(spark, d):
     docs = load(spark, d, "documents")
     langs = gold(spark, d).join(docs.select("doc_id", "lang"), "doc_id").groupBy("item_id").agg(F.min("lang").alias("lang"))
-    scope = langs.join(docs.select("doc_id", "lang"), "lang").select("item_id", "doc_id")
-    return R.lexical(docs, load(spark, d, "benchmark"), 5, scope=scope).select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    groups = langs.withColumnRenamed("lang", "group"), docs.select("doc_id", F.col("lang").alias("group"))
+    return R.lexical(docs, load(spark, d, "benchmark"), 5, groups=groups).select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 _EMB = "SELECT item_id, d, v / sqrt(sum(v * v) OVER (PARTITION BY item_id)) AS value FROM (SELECT item_id, CAST(h % 256 AS INTEGER) AS d, sum(CASE WHEN h >= 9223372036854775808 THEN -1 ELSE 1 END) AS v FROM (SELECT item_id, CAST(('0x' || substr(sha256(w), 1, 16)) AS UBIGINT) AS h FROM (SELECT item_id, unnest(" + TOKENS.format("text") + ") AS w FROM benchmark)) GROUP BY ALL HAVING v <> 0)"

@@ -45,3 +45,14 @@ def test_number_patterns_are_looked_for_once(spark):
     df = spark.createDataFrame([("CHF 1'234.50 p.a.",)], "a string").select(values.readings(F.col("a")))
     shown = df._jdf.queryExecution().logical().toString()
     assert shown.count("CHF|EUR") == 1
+
+
+def test_groups_are_a_scope_without_pairs(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, "".join(r.choice(["ab ", "cd ", "ef "]) for _ in range(r.randrange(9))), r.choice("xyz")) for i in range(60)], "doc_id int, text string, g string")
+    items = spark.createDataFrame([(1, "ab"), (2, "cd ef ef"), (3, "ab ef")], "item_id int, text string")
+    of = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "item_id int, group string")
+    pairs = of.join(docs.select("doc_id", F.col("g").alias("group")), "group").select("item_id", "doc_id")
+    rows = lambda df: sorted((x.item_id, x["rank"], x.doc_id, round(x.score, 9)) for x in df.collect())
+    got = rows(retrieval.lexical(docs, items, 4, groups=(of, docs.select("doc_id", F.col("g").alias("group")))))
+    assert got == rows(retrieval.lexical(docs, items, 4, scope=pairs)) and {x[0] for x in got} == {1, 2}
