@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap, tokens, words
+from ..storage import written
 
 #: Rows up to which a query side is broadcast; beyond, the join shuffles.
 SMALL_ROWS = 200_000
@@ -144,8 +145,12 @@ def scope(questions: DataFrame, groups: DataFrame, mode: str = "corpus") -> Data
     if mode != "corpus":
         raise ValueError(f"unknown scope {mode!r}")
     corpora = own.join(groups, "doc_id", "left").select("qid", "corpus").distinct()
-    reach = corpora.join(groups.withColumnRenamed("corpus", "c"), F.col("corpus").eqNullSafe(F.col("c"))).select("qid", "doc_id").distinct()
-    return reach.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")) - 1)
+    # documents are numbered once for each set of corpora that questions have, not for each question
+    sets = written(corpora.groupBy("qid").agg(F.sort_array(F.collect_set(F.struct("corpus"))).alias("set")), "scopes")
+    each = small(sets.select("set").distinct()).withColumn("c", F.explode("set"))
+    reach = groups.join(small(each), F.col("c.corpus").eqNullSafe(F.col("corpus"))).select("set", "doc_id").distinct()
+    ranked = reach.withColumn("pos", F.row_number().over(Window.partitionBy("set").orderBy("doc_id")) - 1)
+    return ranked.join(small(sets), "set").select("qid", "doc_id", "pos")
 
 
 def reachable(questions: DataFrame, groups: DataFrame, mode: str = "corpus") -> DataFrame:

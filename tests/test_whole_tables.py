@@ -56,3 +56,13 @@ def test_groups_are_a_scope_without_pairs(spark):
     rows = lambda df: sorted((x.item_id, x["rank"], x.doc_id, round(x.score, 9)) for x in df.collect())
     got = rows(retrieval.lexical(docs, items, 4, groups=(of, docs.select("doc_id", F.col("g").alias("group")))))
     assert got == rows(retrieval.lexical(docs, items, 4, scope=pairs)) and {x[0] for x in got} == {1, 2}
+
+
+def test_documents_are_numbered_once_for_a_set_of_corpora(spark):
+    groups = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(30)], "doc_id int, corpus string")
+    asked = spark.createDataFrame([("p", [1]), ("q", [1, 4, 2]), ("r", [2, 7]), ("s", [99]), ("t", [])], "qid string, doc_ids array<int>")
+    out = retrieval.scope(asked, groups)
+    reach = {"p": [1], "q": [1, 2], "r": [1, 2], "s": [0]}
+    assert {(x.qid, x.doc_id, x.pos) for x in out.collect()} == {(q, d, i) for q, rest in reach.items() for i, d in enumerate(d for d in range(30) if d % 3 in rest)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(set#" in plan and "windowspecdefinition(qid#" not in plan
