@@ -25,22 +25,18 @@ def _get(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$[{json.dumps(name)}]".replace('"', "'") if "'" not in name else f'$["{name}"]', "variant")
 
 
-def _kind(value: Column) -> Column:
-    s = F.schema_of_variant(value)
-    whole = s.startswith("DECIMAL") & s.endswith(",0)")
-    return (
-        F.when(s == "VOID", "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when((s == "BIGINT") | whole, "integer")
-        .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
-    )
+#: Types of a JSON value by the schema that Spark tells of it.
+_KINDS = {"null": "VOID", "string": "STRING", "boolean": "BOOLEAN", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": r"BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT", "object": "OBJECT.*", "array": "ARRAY.*"}
 
 
-def _is(kind: Column, names: list[str]) -> Column:
-    return kind.isin(*names, *(["integer"] if "number" in names else []))
+def _is(value: Column, names: list[str]) -> Column:
+    """Whether value is of one of the types; its schema, as long as the value is, is made once a test."""
+    return F.schema_of_variant(value).rlike(f"(?s)^(?:{'|'.join(_KINDS[n] for n in names)})$")
 
 
 def _when(kinds: list[str], test: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """A rule that only values of some kinds can break."""
-    return lambda v: F.coalesce(_is(_kind(v), kinds) & test(v), F.lit(False))
+    return lambda v: F.coalesce(_is(v, kinds) & test(v), F.lit(False))
 
 
 def _broken(rules: list[Rule]) -> Callable[[Column], Column]:
@@ -66,7 +62,7 @@ def rules(schema: dict, path: str = "$") -> list[Rule]:
             continue
         if word == "type":
             names = [said] if isinstance(said, str) else said
-            add("type", lambda v, names=names: ~_is(_kind(v), names))
+            add("type", lambda v, names=names: ~_is(v, names))
         elif word in ("enum", "const"):
             given = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in (said if word == "enum" else [said])]
             add(word, lambda v, given=given: ~F.to_json(v).isin(*given))
@@ -118,5 +114,8 @@ def rules(schema: dict, path: str = "$") -> list[Rule]:
 def violations(rows: DataFrame, schema: dict, key: str, document: str = "document") -> DataFrame:
     """key, rule of every rule of the schema that a row's document, a JSON text, breaks; texts that aren't JSON break the rule 'not JSON'."""
     value = rows.select(F.col(key), F.try_parse_json(F.col(document)).alias("__v"))
-    tests = [F.when(F.col("__v").isNull(), F.lit("not JSON"))] + [F.when(F.col("__v").isNotNull() & F.coalesce(test(F.col("__v")), F.lit(False)), F.lit(name)) for name, test in rules(schema)]
-    return value.select(key, F.explode(F.array_compact(F.array(*tests))).alias("rule"))
+    named = rules(schema)
+    # columns of one projection share what they have in common, such as a value's type; parts of one array don't
+    found = value.select(key, F.col("__v").isNull().alias("__none"), *(F.coalesce(test(F.col("__v")), F.lit(False)).alias(f"__r{i}") for i, (_, test) in enumerate(named)))
+    tests = [F.when(F.col("__none"), F.lit("not JSON"))] + [F.when(~F.col("__none") & F.col(f"__r{i}"), F.lit(name)) for i, (name, _) in enumerate(named)]
+    return found.select(key, F.explode(F.array_compact(F.array(*tests))).alias("rule"))

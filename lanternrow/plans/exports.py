@@ -53,7 +53,8 @@ ORDER_SCHEMA = {
 )
 def _(spark, d):
     lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("page"))).alias("evidence"))
-    o = load(spark, d, "orders").join(lines, "o_orderkey", "left")
+    # the lists are many times the columns that Spark judges them by, so they may not be broadcast
+    o = load(spark, d, "orders").join(lines.hint("merge"), "o_orderkey", "left")
     none = F.array().cast("array<struct<page: int>>")
     body = F.to_json(F.struct(F.col("o_orderkey").alias("qid"), F.substring("o_orderpriority", 1, 1).alias("regime"), (F.col("o_totalprice") / 200000).alias("recall"), F.coalesce("evidence", none).alias("evidence"), F.when(F.col("o_custkey") % 10 == 0, F.lit(1)).alias("extra")))
     # a null that a schema allows has to be written out

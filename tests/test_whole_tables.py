@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from lanternrow.functions import values
-from lanternrow.operators import drafting, retrieval
+from lanternrow.operators import drafting, retrieval, schemas
 from lanternrow.sources.services import best_page
 
 
@@ -66,3 +66,13 @@ def test_documents_are_numbered_once_for_a_set_of_corpora(spark):
     assert {(x.qid, x.doc_id, x.pos) for x in out.collect()} == {(q, d, i) for q, rest in reach.items() for i, d in enumerate(d for d in range(30) if d % 3 in rest)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "windowspecdefinition(set#" in plan and "windowspecdefinition(qid#" not in plan
+
+
+def test_rules_are_columns_of_one_projection(spark):
+    """A value's schema is told once for a test, and no test is part of the array that is exploded."""
+    schema = {"type": ["object", "null"], "required": ["a"], "properties": {"a": {"type": ["number", "null"]}}}
+    rows = spark.createDataFrame([(1, '{"a": 1.5}'), (2, '{"a": "x"}'), (3, "[1]"), (4, "{"), (5, "null"), (6, '{"a": 12345678901234567890}'), (7, "{}")], "id int, document string")
+    out = schemas.violations(rows, schema, "id")
+    assert {tuple(x) for x in out.collect()} == {(2, "$.a type"), (3, "$ type"), (4, "not JSON"), (7, "$ required a")}
+    generate = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line]
+    assert len(generate) == 1 and "schema_of_variant" not in generate[0] and "variant_get" not in generate[0]
