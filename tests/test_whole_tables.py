@@ -76,3 +76,16 @@ def test_rules_are_columns_of_one_projection(spark):
     assert {tuple(x) for x in out.collect()} == {(2, "$.a type"), (3, "$ type"), (4, "not JSON"), (7, "$ required a")}
     generate = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line]
     assert len(generate) == 1 and "schema_of_variant" not in generate[0] and "variant_get" not in generate[0]
+
+
+def test_every_window_is_learned_from(spark):
+    """By the values that are shipped, a long text gives all of its windows."""
+    import public_tokenizers
+
+    from lanternrow.llm import lm
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = spark.createDataFrame([(1, "alpha beta " * 900), (2, "gamma"), (3, None)], "doc_id int, text string")
+    blocks = lm._blocks(texts, "doc_id", "text", F.col("doc_id") > 0, path)
+    windows = sum(-(-len(r.ids) // 2 // lm.STRIDE) for r in blocks.collect())
+    assert lm.learn(blocks, lm.fit([], lm.Pieces(path), lm.id_pairs(blocks))) == windows > 30
