@@ -109,16 +109,29 @@ def _cluster(nodes: DataFrame, branching: int, seed: int) -> DataFrame:
     return R.grouped_clusters(nodes, "doc_id", "node_id", "embedding", lambda n: -(-n // branching), seed)
 
 
-def nearest_documents(questions: DataFrame, cards: DataFrame, scope: DataFrame, k: int = 3) -> DataFrame:
-    """qid, doc_id, rank, score: the k documents of each question's scope (qid, doc_id) whose cards (doc_id, embedding) are nearest to it (qid, embedding)."""
+def nearest_documents(questions: DataFrame, cards: DataFrame, scope: DataFrame | None, k: int = 3, groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """qid, doc_id, rank, score: the k documents of each question's scope (qid, doc_id) whose cards (doc_id, embedding) are nearest to it (qid, embedding).
+
+    Instead of a scope, groups (qid, group) and (doc_id, group), whose pairs, many times the documents, are never shuffled.
+    """
+    if groups:
+        from . import ivf
+
+        return ivf.within_groups(cards, questions, k, groups, "doc_id", "qid")
     near = scope.select("qid", "doc_id").join(R.small(questions.select("qid", F.col("embedding").alias("q"))), "qid").join(cards.select("doc_id", "embedding"), "doc_id")
     return R.top_k(near.select("qid", "doc_id", R.dot(F.col("embedding"), F.col("q")).alias("score")), "qid", k, "doc_id")
 
 
-def reads_within(questions: DataFrame, cards: DataFrame, scope: DataFrame, reads: DataFrame, k: int = 3) -> DataFrame:
-    """qid, seq, doc_id, page, doc_rank: what was read (qid, seq, doc_id, page) in the k nearest documents."""
-    best = nearest_documents(questions, cards, scope, k)
-    return reads.join(best.select("qid", "doc_id", F.col("rank").alias("doc_rank")), ["qid", "doc_id"]).select("qid", "seq", "doc_id", "page", "doc_rank")
+def reads_within(questions: DataFrame, cards: DataFrame, scope: DataFrame | None, reads: DataFrame, k: int = 3, groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """qid, seq, doc_id, page, doc_rank: what was read (qid, seq, doc_id, page) in the k nearest documents.
+
+    With groups, as in nearest_documents(), reads are (group, seq, doc_id, page) of all questions of a group.
+    """
+    best = nearest_documents(questions, cards, scope, k, groups).select("qid", "doc_id", F.col("rank").alias("doc_rank"))
+    by = ["qid", "doc_id"]
+    if groups:
+        best, by = best.join(groups[0].select("qid", "group").distinct(), "qid"), ["group", "doc_id"]
+    return reads.join(best, by).select("qid", "seq", "doc_id", "page", "doc_rank")
 
 
 def raptor(questions: DataFrame, nodes: DataFrame, scope: DataFrame, budget: int = 2000) -> DataFrame:

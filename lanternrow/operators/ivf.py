@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .retrieval import clusters, top_k
+from .retrieval import clusters, small, top_k
 
 #: Vectors that centroids are fitted on, cells at most, rings of a cell, vectors and queries of a block.
 SAMPLE, CELLS, RINGS, BLOCK, ASKED = 20_000, 1024, 16, 4096, 1024
@@ -120,6 +120,67 @@ class Ivf:
         return block.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
 
 
+#: Vectors and queries of a block within a group, and queries whose scores are held at once.
+GROUP_BLOCK, AT_ONCE = 4096, 256
+
+
+def within_groups(vectors: DataFrame, queries: DataFrame, k: int, groups: tuple[DataFrame, DataFrame], key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """query_key, key, score, rank of the k vectors of highest dot product among those that share a group with each query, equal scores by key.
+
+    groups: (query_key, group) and (key, group). Pairs of a query and a vector are made nowhere but in
+    a task, as matrix products of blocks; what leaves it is k rows a query and block. Scores are summed
+    in the order of the dimensions.
+    """
+    asked_of = groups[0].select(F.col(query_key).alias("q"), F.col("group").alias("g")).filter("g is not null").distinct()
+    group_of = groups[1].select(F.col(key).alias("key"), F.col("group").alias("g")).filter("g is not null").distinct()
+    asked = written(queries.filter(F.col(vector).isNotNull()).select(F.col(query_key).alias("q"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).join(asked_of, "q"), "grouped-queries")
+    own = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("embedding"))
+    placed = written(own.join(group_of, "key").join(small(asked.select("g").distinct()), "g", "left_semi"), "grouped-vectors")
+    blocks = lambda rows, name: rows.groupBy("g").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias(name))
+    split = small(written(blocks(placed, "parts").join(blocks(asked, "sides"), "g"), "grouped-blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(split, "g").withColumn("side", F.pmod(F.xxhash64("q"), F.col("sides")).cast("int")).withColumn("part", each("parts")).select("q", "v", "g", "part", "side")
+    right = placed.join(split, "g").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("side", each("sides")).select("key", "embedding", "g", "part", "side")
+    kinds = dict(left.dtypes)["q"], dict(right.dtypes)["key"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        qs, keys = a.column("q").combine_chunks(), b.column("key").combine_chunks()
+        found = [], [], []
+        if len(qs) and len(keys):
+            order = pc.sort_indices(keys)
+            keys, x, v = keys.take(order), _matrix(b.column("embedding").combine_chunks().take(order)), _matrix(a.column("v").combine_chunks())
+            for at in range(0, len(v), AT_ONCE):
+                rows, places, scores = _best(v[at : at + AT_ONCE], x, k)
+                for out, part in zip(found, (rows + at, places, scores), strict=True):
+                    out.append(part)
+        rows, places, scores = (np.concatenate([np.zeros(0, t), *f]) for f, t in zip(found, (int, int, float), strict=True))
+        return pa.table({"q": qs.take(pa.array(rows, pa.int64())), "key": keys.take(pa.array(places, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+    by = ["g", "part", "side"]
+    block = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"q {kinds[0]}, key {kinds[1]}, score double")
+    # a vector may share several groups with a query
+    best = top_k(block.distinct(), "q", k, "key")
+    return best.select(F.col("q").alias(query_key), F.col("key").alias(key), "score", "rank")
+
+
+def _best(v: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of v, rows of x and scores: the k best of each row of v by its score to nine digits, then by place in x."""
+    near = v @ x.T
+    if near.shape[1] > k:
+        least = np.partition(near, -k, axis=1)[:, -k:].min(1, keepdims=True)
+        rows, places = np.nonzero(near >= least - 2e-9 - SLACK * 1e-2 * np.abs(least))
+    else:
+        rows, places = np.indices(near.shape).reshape(2, -1)
+    # the product may sum in any order, a score sums in that of the dimensions
+    scores = np.zeros(len(rows))
+    for d in range(v.shape[1]):
+        scores += v[rows, d] * x[places, d]
+    order = np.lexsort((places, -np.round(scores, 9), rows))
+    rows, places, scores = rows[order], places[order], scores[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], places[keep], scores[keep]
+
+
 def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cells: int | None = None, seed: int = 7) -> Ivf:
     """An inverted file of vectors (key, vector) of one dimension; rows without a vector are left out. cells: about the square root of their number, CELLS at most."""
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("embedding"))

@@ -289,11 +289,11 @@ def pageindex(questions: DataFrame, scope: DataFrame, index: DataFrame, pages: D
     return Retrieved(evidence, ended, calls(run), trace)
 
 
-def vec_tree(questions: DataFrame, cards: DataFrame, scope: DataFrame, *rest, k: int = 3, **options) -> Retrieved:
-    """pageindex() within the k documents of a question's scope whose cards (doc_id, embedding) are nearest to it; questions (qid, question, embedding).
+def vec_tree(questions: DataFrame, cards: DataFrame, scope: DataFrame | None, *rest, k: int = 3, groups: tuple[DataFrame, DataFrame] | None = None, **options) -> Retrieved:
+    """pageindex() within the k documents of a question's scope whose cards (doc_id, embedding) are nearest to it; questions (qid, question, embedding). groups, as in nearest_documents(), instead of a scope.
 
     The navigator's own answer isn't graded here: it goes by the name of sdk_answer.
     """
-    best = nearest_documents(questions, cards, scope, k).select("qid", "doc_id", F.col("rank").alias("pos"))
+    best = nearest_documents(questions, cards, scope, k, groups).select("qid", "doc_id", F.col("rank").alias("pos"))
     found = pageindex(questions, best, *rest, **options)
     return Retrieved(found.evidence, found.outcomes.withColumnRenamed("native_answer", "sdk_answer"), found.calls, found.trace)

@@ -113,11 +113,11 @@ def _(spark, d):
     tree, index = _index(spark, d)
     docs = load(spark, d, "documents")
     langs = gold(spark, d).join(docs.select("doc_id", "lang"), "doc_id").select(F.col("item_id").alias("qid"), "lang").distinct()
-    scope = langs.join(docs.select("lang", "doc_id"), "lang").select("qid", "doc_id")
+    groups = langs.withColumnRenamed("lang", "group"), docs.select("doc_id", F.col("lang").alias("group"))
     vectors = S.embed(load(spark, d, "benchmark").withColumnRenamed("item_id", "qid"), "qid").select("qid", "embedding")
     cards = written(S.embed(docs, "doc_id").select("doc_id", "embedding"), "cards")
     asked = written(_items(spark, d).join(vectors, "qid"), "asked")
-    got = N.vec_tree(asked, cards, scope, index, pages(spark, d), tree, walker, shared_folder(spark, "navigation"), k=3, turns=TURNS, attempts=TRIES)
+    got = N.vec_tree(asked, cards, None, index, pages(spark, d), tree, walker, shared_folder(spark, "navigation"), k=3, groups=groups, turns=TURNS, attempts=TRIES)
     return _walked(got, "sdk_answer")
 
 

@@ -89,3 +89,28 @@ def test_every_window_is_learned_from(spark):
     blocks = lm._blocks(texts, "doc_id", "text", F.col("doc_id") > 0, path)
     windows = sum(-(-len(r.ids) // 2 // lm.STRIDE) for r in blocks.collect())
     assert lm.learn(blocks, lm.fit([], lm.Pieces(path), lm.id_pairs(blocks))) == windows > 30
+
+
+def test_nearest_within_groups_without_pairs(spark):
+    """Groups give what their pairs give, equal scores and vectors of several groups included, in blocks or in one."""
+    from lanternrow.operators import arms, ivf
+
+    r = random.Random(5)
+    vec = lambda: [float(r.randrange(-2, 3)) for _ in range(3)]
+    cards = spark.createDataFrame([(i, vec()) for i in range(300)] + [(900, None)], "doc_id int, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", vec()) for i in range(40)], "qid string, embedding array<double>")
+    q_of = spark.createDataFrame([(f"q{i}", g) for i in range(40) for g in {i % 3, i % 2}] + [("q1", None)], "qid string, group int")
+    d_of = spark.createDataFrame([(i, g) for i in range(300) for g in {i % 4, i % 2}] + [(7, None), (900, 1)], "doc_id int, group int")
+    pairs = q_of.join(d_of, "group").select("qid", "doc_id").distinct().filter("doc_id < 900")
+    rows = lambda df: sorted((x.qid, x["rank"], x.doc_id, round(x.score, 9)) for x in df.collect())
+    want = rows(arms.nearest_documents(asked, cards, pairs, 4))
+    for block in (ivf.GROUP_BLOCK, 16):
+        ivf.GROUP_BLOCK, was = block, ivf.GROUP_BLOCK
+        try:
+            assert rows(arms.nearest_documents(asked, cards, None, 4, (q_of, d_of))) == want
+        finally:
+            ivf.GROUP_BLOCK = was
+    reads = d_of.filter("doc_id % 3 > 0").select("group", F.lit(1).alias("seq"), "doc_id", F.lit(1).alias("page"))
+    own = q_of.join(reads, "group").select("qid", "seq", "doc_id", "page")
+    got = lambda df: sorted(tuple(x) for x in df.collect())
+    assert got(arms.reads_within(asked, cards, None, reads, 4, (q_of, d_of))) == got(arms.reads_within(asked, cards, pairs, own, 4))
