@@ -10,9 +10,13 @@ postings are read, so only pairs that pass are shuffled; they are scored in full
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -94,3 +98,115 @@ def best(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query
     """The k best texts of each query: query, key, score, rank."""
     asked = written(query_terms(queries, query, query_text), "query-terms")
     return search(build(docs, asked, key, text), asked, k, query, key, scope, groups)
+
+
+#: Terms times queries up to which texts are scored where they are read, groups of queries, texts scored at once, bytes of a batch that a worker is sent.
+DENSE_CELLS, DENSE_GROUPS, AT_ONCE, BATCH_BYTES = 8_000_000, 10_000, 512, 2 << 20
+
+
+def whole(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text", groups: tuple[DataFrame, DataFrame] | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """best() for a stated set of queries over any number of texts: query, key, score, rank.
+
+    A text's counts of asked terms are stored as one row. A task scores its texts by all queries as
+    products of counts and questions and keeps each query's k best, so neither postings nor pairs are
+    shuffled, but k rows a query and task. Beyond DENSE_CELLS, or where a key has several texts, best() does it.
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+    asked = written(query_terms(queries, query, query_text), "query-terms")
+    n_terms, n_queries = asked.agg(F.count_distinct("term"), F.count_distinct(query)).first()
+    other = lambda: search(build(docs, asked, key, text, k1, b), asked, k, query, key, None, groups)
+    asked_of = None
+    if groups:
+        asked_of = written(groups[0].select(F.col(query).alias("q"), F.col("group").alias("g")).filter("g is not null").distinct().join(small(asked.select(F.col(query).alias("q")).distinct()), "q", "left_semi"), "asked-groups")
+    if not n_terms or n_terms * n_queries > DENSE_CELLS or (groups and asked_of.select("g").distinct().count() > DENSE_GROUPS):
+        return other()
+    # bounded by DENSE_CELLS
+    ask = asked.select(query, "term", "times").toArrow()
+    names = pc.unique(ask.column(query).combine_chunks())
+    terms = pc.unique(ask.column("term").combine_chunks()).cast(pa.string())
+    weight = np.zeros((len(terms), len(names)))
+    weight[pc.index_in(ask.column("term").combine_chunks().cast(pa.string()), terms).to_numpy(), pc.index_in(ask.column(query).combine_chunks(), names).to_numpy()] = ask.column("times").to_numpy()
+    kind, q_kind = dict(docs.dtypes)[key], dict(asked.dtypes)[query]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(1)
+            size = pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.index_in(t.flatten().cast(pa.string()), terms)
+            some = at.is_valid().to_numpy(zero_copy_only=False)
+            code = np.repeat(np.arange(len(size)), size)[some] * len(terms) + at.drop_null().to_numpy()
+            code, times = np.unique(code, return_counts=True)
+            ends = np.searchsorted(code, np.arange(len(size) + 1) * len(terms)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int32())) for x in (code % len(terms), times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *lists], names=["doc", "len", "term", "tf"])
+
+    split = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t")).filter("t is not null")
+    with bounded_batches(spark, BATCH_BYTES):
+        rows = written(split.mapInArrow(count, f"doc {kind}, len long, term array<int>, tf array<int>"), "postings-rows")
+    if not rows.groupBy("doc").count().filter("count > 1").isEmpty():
+        return other()
+    n, length = rows.agg(F.count("*"), F.avg("len")).first()
+    df = np.zeros(len(terms))
+    for r in rows.select(F.explode("term").alias("term")).groupBy("term").count().collect():  # as many as asked terms
+        df[r["term"]] = r["count"]
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    in_groups, group_names = None, None
+    if groups:
+        of = asked_of.toArrow()
+        group_names = pc.unique(of.column("g").combine_chunks())
+        # the last row is of groups that nothing asks for
+        in_groups = np.zeros((len(group_names) + 1, len(names)), bool)
+        in_groups[pc.index_in(of.column("g").combine_chunks(), group_names).to_numpy(), pc.index_in(of.column("q").combine_chunks(), names).to_numpy()] = True
+        group_of = groups[1].select(F.col(key).alias("doc"), F.col("group").alias("g")).groupBy("doc").agg(F.collect_set("g").alias("gs"))
+        rows = rows.join(group_of, "doc").filter(F.size("gs") > 0)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, least = None, np.full(len(names), -np.inf)
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, AT_ONCE):
+                batch = whole_batch.slice(start, AT_ONCE)
+                sizes = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+                row, term = np.repeat(np.arange(batch.num_rows), sizes), batch.column(2).flatten().to_numpy()
+                tf, norm = batch.column(3).flatten().to_numpy().astype(float), batch.column(1).to_numpy() / length if length else np.ones(batch.num_rows)
+                used, place = np.unique(term, return_inverse=True)
+                adds = np.zeros((batch.num_rows, len(used)))
+                adds[row, place] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm[row]))
+                scores = adds @ weight[used]
+                if in_groups is not None:
+                    of = batch.column(4)
+                    at = pc.fill_null(pc.index_in(of.flatten(), group_names), len(group_names)).to_numpy()
+                    ends = np.cumsum(pc.list_value_length(of).to_numpy())
+                    scores[~np.logical_or.reduceat(in_groups[at], np.concatenate([[0], ends[:-1]]))] = 0
+                digits = np.round(scores, 9)
+                floor = least if batch.num_rows <= k else np.maximum(least, np.partition(digits, -k, axis=0)[-k])
+                row, q = np.nonzero((scores > 0) & (digits >= floor))
+                if not len(row):
+                    continue
+                found = pa.table({"q": pa.array(q), "doc": batch.column(0).take(pa.array(row)), "score": scores[row, q], "digits": digits[row, q]})
+                best = (pa.concat_tables([best, found]) if best else found).sort_by([("q", "ascending"), ("digits", "descending"), ("doc", "ascending")])
+                q = best.column("q").to_numpy()
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                last = nth == k - 1
+                least[q[last]] = best.column("digits").to_numpy()[last]
+                best = best.filter(pa.array(nth < k))
+        if best:
+            for part in best.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([names.take(part.column(0)), part.column(1), part.column(2)], names=["q", "doc", "score"])
+
+    found = rows.mapInArrow(score, f"q {q_kind}, doc {kind}, score double")
+    return top_k(found, "q", k, "doc").select(F.col("q").alias(query), F.col("doc").alias(key), "score", "rank")
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs started within send Python workers batches of at most `most` bytes, or one longer row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    own = int(before.rstrip("bB"))
+    spark.conf.set(name, str(min(most, own) if own > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
