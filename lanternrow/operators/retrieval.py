@@ -85,7 +85,9 @@ def lexical(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id"
     """The k best by BM25 within each query's scope (query_key, doc_key), or its groups (query_key, group) and (doc_key, group), statistics of all docs; scores above 0 only."""
     from . import postings
 
-    return postings.best(docs, queries, k, doc_key, query_key, scope=scope, groups=groups).filter("score > 0")
+    if scope is not None:
+        return postings.best(docs, queries, k, doc_key, query_key, scope=scope, groups=groups).filter("score > 0")
+    return postings.whole(docs, queries, k, doc_key, query_key, groups=groups).filter("score > 0")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -127,8 +129,9 @@ def fuse(rankings: list[DataFrame], query_key: str, key: str, k: int = 60) -> Da
 
 def rerank(fused: DataFrame, docs: DataFrame, queries: DataFrame, keep: int, k: int, query_key: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The `keep` best of a fusion, ordered by token overlap, then by fused rank; k a query."""
-    best = top_k(fused, query_key, keep, key).withColumnRenamed("rank", "fused_rank").drop("score")
-    rows = best.join(queries.select(query_key, F.col(text).alias("q")), query_key).join(docs.select(key, F.col(text).alias("d")), key)
+    # a top list is stored, so that it is counted and broadcast, and the texts stay where they are read
+    best = written(top_k(fused, query_key, keep, key).withColumnRenamed("rank", "fused_rank").drop("score"), "fused")
+    rows = docs.select(key, F.col(text).alias("d")).join(small(best), key).join(queries.select(query_key, F.col(text).alias("q")), query_key)
     scored = rows.select(query_key, key, "fused_rank", overlap(F.col("q"), F.col("d")).alias("score"))
     return top_k(scored, query_key, k, "fused_rank")
 

@@ -33,7 +33,7 @@ BM25_TOP = _BM25 + " SELECT item_id, rank, doc_id, round(score, 6) AS score FROM
 
 @query("bm25_topk", BM25_TOP)
 def bm25_topk(spark, d):
-    return B.best(load(spark, d, "documents"), load(spark, d, "benchmark"), 5).select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return B.whole(load(spark, d, "documents"), load(spark, d, "benchmark"), 5).select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("bm25_term_stats", f"WITH {_POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -84,9 +84,9 @@ _TWO = _BM25 + f", b AS (SELECT item_id, doc_id, rank FROM rk WHERE rank <= 50),
 
 def _rankings(spark, d):
     docs, items = load(spark, d, "documents"), load(spark, d, "benchmark")
-    best = written(B.best(docs, items, 50), "best")
-    rows = best.drop("score").join(items.select("item_id", F.col("text").alias("q")), "item_id").join(docs.select("doc_id", F.col("text").alias("t")), "doc_id")
-    second = R.top_k(rows.select("item_id", "doc_id", T.overlap(F.col("q"), F.col("t")).alias("score")), "item_id", 50, "doc_id")
+    best = written(B.whole(docs, items, 50), "best")
+    rows = docs.select("doc_id", F.col("text").alias("t")).join(R.small(best.drop("score")), "doc_id").join(items.select("item_id", F.col("text").alias("q")), "item_id")
+    second = written(R.top_k(rows.select("item_id", "doc_id", T.overlap(F.col("q"), F.col("t")).alias("score")), "item_id", 50, "doc_id"), "second")
     return docs, items, best, second
 
 
@@ -175,7 +175,7 @@ def _(spark, d):
     own = gold(spark, d).groupBy("item_id").agg(F.collect_list("doc_id").alias("doc_ids"))
     asked = items.select("item_id").join(own, "item_id", "left").withColumn("doc_ids", F.coalesce("doc_ids", F.array().cast("array<bigint>")))
     asked = asked.select(F.col("item_id").alias("qid"), "doc_ids", F.transform("doc_ids", lambda x: F.struct(x.alias("doc_id"), F.lit(1).alias("page"))).alias("evidence"))
-    got = B.best(docs, items, 5).select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("page"), F.lit("chunk").alias("kind"))
+    got = B.whole(docs, items, 5).select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("page"), F.lit("chunk").alias("kind"))
     return M.evidence_metrics(asked, got).select("qid", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "wrong_doc")
 
 
