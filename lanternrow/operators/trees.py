@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import dealt, written
+
 #: Heading numbering schemes, highest first, and the deepest level.
 SCHEMES = [
     ("part", r"(?i)^(part|teil)\s+([ivx]+|\d+|[a-z])\b"),
@@ -62,16 +64,18 @@ def build_tree(headings: DataFrame, docs: DataFrame) -> DataFrame:
 
     The parent is the nearest earlier heading of a smaller level; the end is the page of the next
     heading of no greater level, else the last page. docs (doc_id, title, n_pages): a document
-    without headings is one root.
+    without headings is one root. Headings are stored and dealt so that a task sorts a bounded number of
+    them, however many there are.
     """
+    headings = written(headings.select("doc_id", "pos", "title", "page", "level"), "headings")
     # running values a level instead of joins of all pairs of headings; levels go from 1 to MAX_LEVEL
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     at = lambda k, c: F.when(F.col("level") == k, c)
     last = {k: F.last(at(k, F.col("pos")), ignorenulls=True).over(before) for k in range(1, MAX_LEVEL + 1)}
     after = {k: F.last(at(k, F.struct("pos", "page")), ignorenulls=True).over(behind) for k in range(1, MAX_LEVEL + 1)}
-    rows = headings.join(docs.select("doc_id", "n_pages"), "doc_id")
-    rows = rows.withColumns({f"__u{k}": c for k, c in last.items()} | {f"__d{k}": c for k, c in after.items()})
+    rows = written(headings.join(docs.select("doc_id", "n_pages"), "doc_id"), "headings-of-docs")
+    rows = dealt(rows, "doc_id").withColumns({f"__u{k}": c for k, c in last.items()} | {f"__d{k}": c for k, c in after.items()})
     above = F.greatest(F.lit(None).cast("int"), *(F.when(F.col("level") > k, F.col(f"__u{k}")) for k in last))
     below = F.least(F.lit(None).cast(dict(rows.dtypes)["__d1"]), *(F.when(F.col("level") >= k, F.col(f"__d{k}")) for k in after))
     rows = rows.withColumns({"ppos": above, "npage": below["page"]})
@@ -91,12 +95,17 @@ def structure(outline: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def ancestors(tree: DataFrame, levels: int = MAX_LEVEL + 1) -> DataFrame:
-    """doc_id, node_id, ancestor, distance from 1: parents joined again as often as a tree is deep."""
-    up = tree.filter("parent is not null").select("doc_id", F.col("node_id").alias("child"), F.col("parent").alias("above"))
-    step = up.select("doc_id", F.col("child").alias("node_id"), F.col("above").alias("ancestor"), F.lit(1).alias("distance"))
-    out = step
+    """doc_id, node_id, ancestor, distance from 1: parents joined again as often as a tree is deep, `levels` times at most.
+
+    Parents and each round's rows are stored: a task holds one join's rows, and no round is made twice.
+    """
+    up = written(tree.filter("parent is not null").select("doc_id", F.col("node_id").alias("child"), F.col("parent").alias("above")), "parents")
+    out = step = up.select("doc_id", F.col("child").alias("node_id"), F.col("above").alias("ancestor"), F.lit(1).alias("distance"))
+    above = up.select("doc_id", F.col("child").alias("ancestor"), "above")
     for d in range(2, levels + 1):
-        step = step.join(up, (step["doc_id"] == up["doc_id"]) & (step["ancestor"] == up["child"])).select(step["doc_id"], "node_id", F.col("above").alias("ancestor"), F.lit(d).alias("distance"))
+        step = written(dealt(step, "doc_id", "ancestor").join(above, ["doc_id", "ancestor"]).select("doc_id", "node_id", F.col("above").alias("ancestor"), F.lit(d).alias("distance")), "ancestors")
+        if step.isEmpty():
+            break
         out = out.unionByName(step)
     return out
 
@@ -111,10 +120,14 @@ def nodes_of_pages(pages: DataFrame, tree: DataFrame) -> DataFrame:
     return pages.join(tree, "doc_id").filter("page between start_page and end_page")
 
 
+def deepest_node() -> Column:
+    """The node_id of greatest level, then start page, then the earlier in order."""
+    return F.max_by("node_id", F.struct("level", "start_page", -F.col("pos")))
+
+
 def deepest(pages: DataFrame, tree: DataFrame, *keys: str) -> DataFrame:
     """The deepest node of each page: greatest level, then start page, then the earlier in order."""
-    best = F.max_by("node_id", F.struct("level", "start_page", -F.col("pos")))
-    return nodes_of_pages(pages, tree).groupBy(*keys, "doc_id", "page").agg(best.alias("node_id"))
+    return nodes_of_pages(pages, tree).groupBy(*keys, "doc_id", "page").agg(deepest_node().alias("node_id"))
 
 
 def reads_to_evidence(reads: DataFrame, pages: DataFrame) -> DataFrame:
@@ -134,10 +147,10 @@ def navigation(reads: DataFrame, tree: DataFrame) -> DataFrame:
     rows = reads.withColumn("doc_id", F.regexp_replace("doc_name", r"\.pdf$", ""))
     final = rows.groupBy("qid").agg(F.max_by(F.struct("doc_id", "pages", "seq"), "seq").alias("last"))
     mine = rows.join(final, "qid").filter("doc_id = last.doc_id")
-    seen = nodes_of_pages(mine.select("qid", "doc_id", "seq", "last", F.col("pages").alias("all"), F.posexplode("pages").alias("at", "page")), tree)
-    order = seen.groupBy("qid", "node_id").agg(F.min(F.struct("seq", "at", "pos")).alias("o"))
-    visited = order.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "node_id"))), lambda x: x["node_id"]).alias("visited"))
-    end = seen.filter("seq = last.seq").groupBy("qid").agg(F.collect_set("node_id").alias("end"), F.max_by("node_id", F.when(F.col("at") == 0, F.struct("level", "start_page", -F.col("pos")))).alias("selected"))
-    away = seen.filter(~F.arrays_overlap("all", F.col("last.pages"))).groupBy("qid").agg(F.collect_set("node_id").alias("away"))
-    out = visited.join(end, "qid").join(away, "qid", "left")
-    return out.select("qid", "visited", "selected", F.sort_array(F.array_except(F.coalesce("away", F.array().cast("array<string>")), "end")).alias("backtracks"))
+    # stored once, then folded by node and by question: nothing is joined to itself
+    seen = written(nodes_of_pages(mine.select("qid", "doc_id", "seq", "last", F.col("pages").alias("all"), F.posexplode("pages").alias("at", "page")), tree).select("qid", "node_id", "seq", "at", "pos", "level", "start_page", (F.col("seq") == F.col("last.seq")).alias("ends"), (~F.arrays_overlap("all", F.col("last.pages"))).alias("apart")), "seen")
+    place = F.max(F.when(F.col("ends") & (F.col("at") == 0), F.struct("level", "start_page", -F.col("pos"))))
+    nodes = seen.groupBy("qid", "node_id").agg(F.min(F.struct("seq", "at", "pos")).alias("o"), F.bool_or("ends").alias("ends"), F.bool_or("apart").alias("apart"), place.alias("place"))
+    of = lambda flag: F.collect_list(F.when(F.col(flag), F.col("node_id")))
+    out = nodes.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("o", "node_id"))).alias("v"), F.max_by("node_id", "place").alias("selected"), of("ends").alias("end"), of("apart").alias("away")).filter(F.size("end") > 0)
+    return out.select("qid", F.transform("v", lambda x: x["node_id"]).alias("visited"), "selected", F.sort_array(F.array_except("away", "end")).alias("backtracks"))

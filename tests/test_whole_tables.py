@@ -114,3 +114,27 @@ def test_nearest_within_groups_without_pairs(spark):
     own = q_of.join(reads, "group").select("qid", "seq", "doc_id", "page")
     got = lambda df: sorted(tuple(x) for x in df.collect())
     assert got(arms.reads_within(asked, cards, None, reads, 4, (q_of, d_of))) == got(arms.reads_within(asked, cards, pairs, own, 4))
+
+
+def test_trees_are_stored_between_their_steps(spark, monkeypatch):
+    """A chain of headings: rounds of ancestors are read, not made again, and rows are dealt over more tasks as they grow."""
+    from lanternrow import storage
+    from lanternrow.operators import trees
+
+    heads = spark.createDataFrame([(d, p, "t", p, p) for d in range(30) for p in range(1, 7)], "doc_id int, pos int, title string, page int, level int")
+    docs = spark.createDataFrame([(d, "d", 9) for d in range(31)], "doc_id int, title string, n_pages int")
+    monkeypatch.setattr(storage, "TASK_ROWS", 10)
+    assert storage.dealt(heads, "doc_id").rdd.getNumPartitions() == 18
+    got = trees.ancestors(trees.build_tree(heads, docs))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.node_id, r.ancestor, r.distance) for r in got.collect()} == {(d, f"n{a}", f"n{b}", a - b) for d in range(30) for a in range(1, 7) for b in range(1, a)}
+
+
+def test_navigation_is_folded_in_one_pass(spark):
+    from lanternrow.operators import trees
+
+    tree = spark.createDataFrame([("1", "n0", 1, 9, 1, 0), ("1", "n1", 3, 4, 2, 1)], "doc_id string, node_id string, start_page int, end_page int, level int, pos int")
+    reads = spark.createDataFrame([("q", 1, "1.pdf", [3]), ("q", 2, "1.pdf", [9, 1]), ("p", 1, "1.pdf", [77])], "qid string, seq int, doc_name string, pages array<int>")
+    got = trees.navigation(reads, tree)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("q", ["n0", "n1"], "n0", ["n1"])]
