@@ -11,16 +11,15 @@ postings are read, so only pairs that pass are shuffled; they are scored in full
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..storage import written
+from ..storage import BATCH_BYTES, bounded_batches, written
 from .retrieval import query_terms, small, top_k
 
 #: Postings of a term that are candidates before any bound is known, as a multiple of k.
@@ -100,8 +99,8 @@ def best(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query
     return search(build(docs, asked, key, text), asked, k, query, key, scope, groups)
 
 
-#: Terms times queries up to which texts are scored where they are read, groups of queries, texts scored at once, bytes of a batch that a worker is sent.
-DENSE_CELLS, DENSE_GROUPS, AT_ONCE, BATCH_BYTES = 8_000_000, 10_000, 512, 2 << 20
+#: Terms times queries up to which texts are scored where they are read, groups of queries, texts scored at once.
+DENSE_CELLS, DENSE_GROUPS, AT_ONCE = 8_000_000, 10_000, 512
 
 
 def whole(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", text: str = "text", query_text: str = "text", groups: tuple[DataFrame, DataFrame] | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -197,16 +196,3 @@ def whole(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", quer
 
     found = rows.mapInArrow(score, f"q {q_kind}, doc {kind}, score double")
     return top_k(found, "q", k, "doc").select(F.col("q").alias(query), F.col("doc").alias(key), "score", "rank")
-
-
-@contextmanager
-def bounded_batches(spark: SparkSession, most: int) -> Iterator[None]:
-    """Jobs started within send Python workers batches of at most `most` bytes, or one longer row."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    own = int(before.rstrip("bB"))
-    spark.conf.set(name, str(min(most, own) if own > 0 else most))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import config as C
 from ..operators import review as V
 from ..sources.fetch import fetch
+from ..storage import BATCH_BYTES, bounded_batches, written
 from .base import load
 
 QUERIES, SQL = {}, {}
@@ -37,7 +38,10 @@ def _(spark, d):
     """Stored pages fetched as from their hosts, whose robots keep listings out."""
     pin = F.when(F.col("page_id") % 11 == 0, "sha256:0").when(F.col("page_id") % 5 == 0, F.concat(F.lit("sha256:"), F.sha2("html", 256)))
     asked = load(spark, d, "pages").select("page_id", "url", pin.alias("sha256"), (F.col("page_id") % 13 == 0).alias("manual"), "html")
-    return fetch(asked, _stored, lambda host: "User-agent: *\nDisallow: /*page=", b"<!DOCTYPE", key="page_id", given="html").drop("body")
+    got = fetch(asked, _stored, lambda host: "User-agent: *\nDisallow: /*page=", b"<!DOCTYPE", key="page_id", given="html").drop("body")
+    # stored, as its batches are bounded then; rows are digests
+    with bounded_batches(spark, BATCH_BYTES):
+        return written(got, "fetched")
 
 
 @query(

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Seconds between requests to a host.
 GAP = 2.0
+#: Rows whose bodies are held at once.
+ROWS = 32
 FETCHED = "status string, reason string, sha256 string, n_bytes long, at double, body binary"
 
 
@@ -87,7 +89,8 @@ def fetch(
             sent += 1
             return at
 
-        for pdf in batches:
+        # a few rows at a time, so bodies don't add up beside their batch
+        for pdf in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             out = []
             for row in pdf.to_dict("records"):
                 if row["__host"] != host:

@@ -138,3 +138,13 @@ def test_navigation_is_folded_in_one_pass(spark):
     got = trees.navigation(reads, tree)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [("q", ["n0", "n1"], "n0", ["n1"])]
+
+
+def test_bodies_are_held_a_few_at_a_time(spark, monkeypatch):
+    """A host's pace goes on over the slices of a batch, and no frame that leaves a task has more than ROWS bodies."""
+    from lanternrow.sources import fetch
+
+    monkeypatch.setattr(fetch, "ROWS", 2)
+    asked = spark.createDataFrame([(i, f"http://h{i % 2}/{i:02d}", None, False) for i in range(14)], "doc_id int, url string, sha256 string, manual boolean")
+    got = fetch.fetch(asked, lambda row: (200, b"x"))
+    assert {(r.doc_id, r.at) for r in got.collect()} == {(i, 2.0 * (i // 2 + 1)) for i in range(14)}
