@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import human_date, parse_json, render_pages, words
 from ..sources.services import complete, fuzzy_quotes
-from ..storage import written
+from ..storage import bucketed, written
 from . import drafting as D
 from .ledger import Ledger
 from .questions import normalise_answer
@@ -44,16 +44,22 @@ def key_pages(pages: DataFrame, n: int = KEY_PAGES, least: int = LEAST_WORDS) ->
 
 
 def shown_pages(tasks: DataFrame, pages: DataFrame) -> DataFrame:
-    """task, shown of tasks (task, doc_id, pages): those pages as a prompt has them."""
-    named = tasks.select("task", "doc_id", F.explode("pages").alias("page")).join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
-    return named.groupBy("task").agg(render_pages(F.collect_list(F.struct("page", "text"))).alias("shown"))
+    """tasks (task, doc_id, pages, …) that name a page that there is, with shown: those pages as a prompt has them.
+
+    Met and grouped by document, so that bucketed pages stay where they are.
+    """
+    rest = [c for c in tasks.columns if c not in ("task", "doc_id")]
+    text = pages.select("doc_id", F.col("page").alias("__p"), F.col("text").alias("__text"))
+    named = text.join(tasks.hint("shuffle_hash"), "doc_id").filter(F.array_contains("pages", F.col("__p")))
+    return named.groupBy("doc_id", "task").agg(*(F.first(c).alias(c) for c in rest), render_pages(F.collect_list(F.struct(F.col("__p").alias("page"), F.col("__text").alias("text")))).alias("shown"))
 
 
 def asked(prompts: DataFrame, service: Chat, schema: str) -> DataFrame:
-    """prompts (task, prompt, …) with said, the reply's JSON, and error: the service's, or why the reply can't be used."""
-    found = written(complete(prompts.select("task", "prompt"), "task", service=service), "replies").select("task", parse_json(F.col("text"), schema).alias("said"), "finish_reason", F.col("error").alias("lost"))
+    """prompts (task, prompt, …) with said, the reply's JSON, and error: the service's, or why the reply can't be used. Stored, so that nothing asks or makes prompts again."""
+    rest = [c for c in prompts.columns if c not in ("task", "prompt")]
+    found = written(complete(prompts, "task", service=service, keep=tuple(rest)), "replies").withColumns({"said": parse_json(F.col("text"), schema), "lost": F.col("error")})
     error = F.coalesce("lost", F.when(F.col("finish_reason") == "length", "the reply was cut off").when(F.col("said").isNull(), "no JSON object in the reply"))
-    return prompts.drop("prompt").join(found.select("task", "said", error.alias("error")), "task")
+    return found.select("task", *rest, "said", error.alias("error"))
 
 
 def _prompt(kind: str, *parts) -> Column:
@@ -85,11 +91,11 @@ def facts_work(pages: DataFrame, service: Chat) -> Callable[[DataFrame], DataFra
     """Facts of a document with their quotes checked: records are (field, value, page, quote, quote_ok)."""
 
     def work(tasks: DataFrame) -> DataFrame:
-        prompts = tasks.join(shown_pages(tasks, pages), "task").withColumn("prompt", _prompt("facts", "doc_id", "shown"))
+        prompts = shown_pages(tasks, pages).withColumn("prompt", _prompt("facts", "doc_id", "shown"))
         got = asked(prompts.select("task", "doc_id", "prompt"), service, "facts map<string, struct<value: string, page: int, quote: string>>")
         got = got.withColumn("error", F.coalesce("error", F.when(F.col("said.facts").isNull(), "no facts in the reply")))
         facts = got.filter("error is null").select("task", "doc_id", F.explode("said.facts").alias("field", "f")).select("task", "doc_id", "field", "f.*")
-        checked = D.check_facts(facts, pages).groupBy("task").agg(F.array_sort(F.collect_list(F.struct("field", "value", "page", "quote", "quote_ok"))).alias("records"))
+        checked = D.facts_quoted(D.on_their_pages(facts, pages).drop("__there")).groupBy("task").agg(F.array_sort(F.collect_list(F.struct("field", "value", "page", "quote", "quote_ok"))).alias("records"))
         return got.select("task", "error").join(checked, "task", "left")
 
     return work
@@ -97,8 +103,9 @@ def facts_work(pages: DataFrame, service: Chat) -> Callable[[DataFrame], DataFra
 
 def window_tasks(docs: DataFrame, pages: DataFrame, n: int = 14, seed: int = 17, least: int = LEAST_WORDS, window_least: int = 120) -> DataFrame:
     """task, doc_id, regime, label, pages: a product's key pages, other documents' drawn windows; docs (doc_id, regime, label)."""
-    own = key_pages(pages, least=least).withColumn("w", F.lit(0)).join(docs.filter("regime = 'A'"), "doc_id")
-    drawn = D.page_windows(pages, n, least=window_least, seed=seed).withColumn("w", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).join(docs.filter("regime = 'B'"), "doc_id")
+    of = lambda regime: pages.join(docs.filter(F.col("regime") == regime).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    own = key_pages(of("A"), least=least).withColumn("w", F.lit(0)).join(docs.filter("regime = 'A'"), "doc_id")
+    drawn = D.page_windows(of("B"), n, least=window_least, seed=seed).withColumn("w", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).join(docs.filter("regime = 'B'"), "doc_id")
     both = own.select("doc_id", "regime", "label", "w", "pages").unionByName(drawn.select("doc_id", "regime", "label", "w", "pages"))
     return both.select(F.concat_ws(":", F.lit("window"), "doc_id", "w").alias("task"), "doc_id", "regime", "label", "w", "pages")
 
@@ -108,9 +115,9 @@ def window_work(pages: DataFrame, service: Chat, focus: Callable[[Column], Colum
 
     def work(tasks: DataFrame) -> DataFrame:
         nudge = focus(F.col("doc_id")) if focus else F.lit("")
-        prompts = tasks.join(shown_pages(tasks, pages), "task").withColumn("prompt", _prompt("window", "label", nudge, "shown"))
+        prompts = shown_pages(tasks, pages).withColumn("prompt", _prompt("window", "label", nudge, "shown")).drop("shown")
         item = "struct<qtype: string, question: string, kind: string, answer: string, evidence: array<int>, quote: string>"
-        got = written(asked(prompts, service, f"questions array<{item}>"), "window-replies")
+        got = asked(prompts, service, f"questions array<{item}>")
         items = got.filter("error is null").select("task", "doc_id", "regime", F.col("pages").alias("window"), F.posexplode("said.questions").alias("n", "q")).select("*", "q.*")
         items = items.filter(F.col("qtype").isin(*TYPES) & (F.coalesce("question", F.lit("")) != "")).withColumn("evidence", F.array_sort(F.array_distinct(F.filter(F.coalesce("evidence", F.array().cast("array<int>")), lambda p: p.isNotNull()))))
         good = _quoted(items.select("task", "n", "doc_id", F.explode("evidence").alias("page"), "quote"), pages).filter("on_page").groupBy("task", "n").agg(F.min("page").alias("hit"))
@@ -127,8 +134,8 @@ def window_work(pages: DataFrame, service: Chat, focus: Callable[[Column], Colum
 
 
 def _quoted(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """rows (…, doc_id, page, quote) with on_page: the quote stands on the page, or nearly."""
-    return fuzzy_quotes(rows.join(pages.select("doc_id", "page", F.col("text").alias("__page")), ["doc_id", "page"], "left"), "quote", "__page").drop("__page")
+    """rows (…, doc_id, page, quote) with on_page: the quote stands on the page, or nearly; and __there: there is such a page."""
+    return fuzzy_quotes(D.on_their_pages(rows, pages), "quote", "__text").drop("__text")
 
 
 def unanswerable_tasks(windows: DataFrame, round_: int = 1) -> DataFrame:
@@ -143,15 +150,15 @@ def unanswerable_work(pages: DataFrame, service: Chat, focus: Callable[[Column],
 
     def work(tasks: DataFrame) -> DataFrame:
         nudge = focus(F.col("doc_id")) if focus else F.lit("")
-        prompts = tasks.join(shown_pages(tasks, pages), "task").withColumn("prompt", _prompt("unanswerable", "label", nudge, "shown"))
-        got = written(asked(prompts, service, "questions array<struct<question: string, keywords: array<string>>>"), "unanswerable-replies")
+        prompts = shown_pages(tasks, pages).withColumn("prompt", _prompt("unanswerable", "label", nudge, "shown")).drop("shown")
+        got = asked(prompts, service, "questions array<struct<question: string, keywords: array<string>>>")
         items = got.filter("error is null").select("task", "doc_id", "regime", F.posexplode("said.questions").alias("n", "q")).select("*", "q.*").filter(F.trim(F.coalesce("question", F.lit(""))) != "").withColumn("item_id", F.concat_ws("#", "task", "n"))
         asks = items.select("item_id", "doc_id", F.concat_ws(" ", "question", F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")).alias("text"))
         scope = D.confirm_scope(asks, pages.filter(F.size(words(F.col("text"))) > 0), CONFIRM_WORDS, CONFIRM_PAGES).groupBy("item_id", "doc_id").agg(F.sort_array(F.collect_list("page")).alias("pages"))
-        checks = scope.withColumnRenamed("item_id", "task")
-        again = checks.join(shown_pages(checks, pages), "task").join(items.select(F.col("item_id").alias("task"), "question"), "task")
+        checks = scope.join(items.select("item_id", "question"), "item_id").withColumnRenamed("item_id", "task")
+        again = shown_pages(checks, pages)
         said = asked(again.select("task", _prompt("confirm", F.replace("question", F.lit(PLACEHOLDER), F.lit("this product")), "shown").alias("prompt")), service, "answered boolean, page int, quote string")
-        said = written(said, "confirmed").select(F.col("task").alias("item_id"), "said", F.col("error").alias("unsaid"))
+        said = said.select(F.col("task").alias("item_id"), "said", F.col("error").alias("unsaid"))
         both = items.join(said, "item_id", "left")
         # a check that failed fails its task, which is then done again as a whole
         lost = both.groupBy("task").agg(F.max("unsaid").alias("unsaid"))
@@ -176,8 +183,8 @@ def cross_work(pages: DataFrame, service: Chat, round_: int = 1) -> Callable[[Da
 
     def work(tasks: DataFrame) -> DataFrame:
         first = tasks.withColumn("doc_id", F.col("ts_id"))
-        prompts = first.join(shown_pages(first, pages), "task").withColumn("prompt", _prompt("terms", "shown"))
-        got = written(asked(prompts.select("task", "ts_id", "sn_id", "pages", "prompt"), service, "provisions array<struct<wording: string, keywords: array<string>, page: int>>"), "terms")
+        prompts = shown_pages(first, pages).withColumn("prompt", _prompt("terms", "shown"))
+        got = asked(prompts.select("task", "ts_id", "sn_id", "pages", "prompt"), service, "provisions array<struct<wording: string, keywords: array<string>, page: int>>")
         got = got.withColumn("provisions", D.paged(F.coalesce("said.provisions", F.expr("cast(array() as array<struct<wording: string, keywords: array<string>, page: int>>)")), F.lit(round_))).drop("said")
         open_ = got.filter("error is null and size(provisions) > 0")
         each = open_.select("task", F.col("sn_id").alias("doc_id"), F.posexplode("provisions").alias("i", "p"))
@@ -187,19 +194,20 @@ def cross_work(pages: DataFrame, service: Chat, round_: int = 1) -> Callable[[Da
         notes = _best_pages(wanted, pages, 3).groupBy("task").agg(F.sort_array(F.collect_set("page")).alias("sn_pages"))
         named = F.array_sort(F.array_distinct(F.filter(F.transform("provisions", lambda p: p["page"]), lambda p: F.array_contains(F.col("pages"), p))))
         both = open_.join(notes, "task", "left").withColumns({"ts_pages": F.when(F.size(named) > 0, named).otherwise(F.slice("pages", 1, 3)), "sn_pages": F.coalesce("sn_pages", F.array().cast("array<int>"))})
-        left = shown_pages(both.select("task", F.col("ts_id").alias("doc_id"), F.col("ts_pages").alias("pages")), pages).withColumnRenamed("shown", "ts")
-        right = shown_pages(both.select("task", F.col("sn_id").alias("doc_id"), F.col("sn_pages").alias("pages")), pages).withColumnRenamed("shown", "sn")
+        both = written(both.select("task", "ts_id", "sn_id", "ts_pages", "sn_pages"), "cross-pages")
+        left = shown_pages(both.select("task", F.col("ts_id").alias("doc_id"), F.col("ts_pages").alias("pages")), pages).select("task", F.col("shown").alias("ts"))
+        right = shown_pages(both.select("task", F.col("sn_id").alias("doc_id"), F.col("sn_pages").alias("pages")), pages).select("task", F.col("shown").alias("sn"))
         prompts = both.join(left, "task", "left").join(right, "task", "left").withColumn("prompt", _prompt("cross_doc", "ts_id", "ts", "sn_id", "sn"))
         page = "struct<doc_id: string, page: int>"
         item = f"struct<question: string, kind: string, answer: string, evidence: array<{page}>, quotes: array<struct<doc_id: string, page: int, text: string>>>"
-        replies = written(asked(prompts.select("task", "ts_id", "sn_id", "prompt"), service, f"questions array<{item}>"), "cross-replies")
+        replies = asked(prompts.select("task", "ts_id", "sn_id", "prompt"), service, f"questions array<{item}>")
         items = replies.filter("error is null").select("task", "ts_id", "sn_id", F.posexplode("said.questions").alias("n", "q")).select("*", "q.*").filter(F.trim(F.coalesce("question", F.lit(""))) != "")
-        there = pages.select("doc_id", "page").withColumn("there", F.lit(True))
         is_own = lambda c: (F.col(f"{c}.doc_id") == F.col("ts_id")) | (F.col(f"{c}.doc_id") == F.col("sn_id"))
-        held = items.select("task", "n", "ts_id", "sn_id", F.posexplode("evidence").alias("i", "e")).filter(is_own("e")).select("task", "n", "i", "e.doc_id", "e.page").join(there, ["doc_id", "page"])
+        held = items.select("task", "n", "ts_id", "sn_id", F.posexplode("evidence").alias("i", "e")).filter(is_own("e")).select("task", "n", "i", "e.doc_id", "e.page")
+        held = D.on_their_pages(held, pages).filter("__there")
         held = held.groupBy("task", "n").agg(F.array_sort(F.collect_list(F.struct("i", "doc_id", "page"))).alias("ev"))
-        quotes = items.select("task", "n", "ts_id", "sn_id", F.posexplode("quotes").alias("i", "e")).filter(is_own("e")).select("task", "n", "i", "e.doc_id", "e.page", F.col("e.text").alias("quote")).join(there, ["doc_id", "page"])
-        quotes = _quoted(quotes, pages).groupBy("task", "n").agg(F.array_sort(F.collect_list(F.struct("i", "doc_id", "page", F.col("quote").alias("text"), F.col("on_page").alias("ok")))).alias("qu"))
+        quotes = items.select("task", "n", "ts_id", "sn_id", F.posexplode("quotes").alias("i", "e")).filter(is_own("e")).select("task", "n", "i", "e.doc_id", "e.page", F.col("e.text").alias("quote"))
+        quotes = _quoted(quotes, pages).filter("__there").groupBy("task", "n").agg(F.array_sort(F.collect_list(F.struct("i", "doc_id", "page", F.col("quote").alias("text"), F.col("on_page").alias("ok")))).alias("qu"))
         items = items.join(held, ["task", "n"], "left").join(quotes, ["task", "n"], "left")
         evidence = F.transform(F.coalesce("ev", F.expr(f"cast(array() as array<struct<i: int, doc_id: string, page: int>>)")), lambda e: F.struct(e["doc_id"].alias("doc_id"), e["page"].alias("page")))
         own = F.transform(F.coalesce("qu", F.expr("cast(array() as array<struct<i: int, doc_id: string, page: int, text: string, ok: boolean>>)")), lambda q: F.struct(q["doc_id"].alias("doc_id"), q["page"].alias("page"), q["text"].alias("text"), q["ok"].alias("ok")))
@@ -227,6 +235,8 @@ def draft_all(ledger: Ledger, docs: DataFrame, pages: DataFrame, pairs: DataFram
 
     docs (doc_id, regime, label), pages (doc_id, page, text), pairs (ts_id, sn_id); doc_id is a string.
     """
+    # every stage meets pages by their document, whose texts are dealt once
+    pages = bucketed(pages.select("doc_id", "page", "text"), "pages", "doc_id")
     # the tasks of a window and of the unanswerable stage are cut from the same windows
     windows = written(window_tasks(docs, pages, seed=seed, least=least, window_least=window_least), "windows")
     stages = {

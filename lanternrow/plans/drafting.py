@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stages as G
 from ..operators.ledger import Ledger
-from ..storage import shared_folder, written
+from ..storage import shared_folder
 from .base import PAGES, WORDS, load, pages
 
 QUERIES, SQL = {}, {}
@@ -56,7 +56,7 @@ SQL["drafted_stages"] = (
 
 def drafted_stages(spark, d):
     """Facts, windows, unanswerable and cross-document questions over the documents of even number, each linked with the next document."""
-    p = written(pages(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "page", "text"), "pages")
+    p = pages(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "page", "text")
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"))
     even = docs.filter("id % 2 = 0")
     pairs = even.join(docs.select((F.col("id") - 1).alias("id")), "id").select(F.col("id").cast("string").alias("ts_id"), (F.col("id") + 1).cast("string").alias("sn_id"))
