@@ -26,6 +26,7 @@ from ..functions.text import parse_json, render_pages
 from ..sources.services import complete
 from ..storage import kept
 from .arms import nearest_documents
+from .retrieval import small
 from .trees import navigation, reads_to_evidence
 
 #: Tries at a question or an index, turns of a try, pages of a read, words of a page, documents of a listing.
@@ -272,11 +273,19 @@ class Retrieved:
     trace: DataFrame
 
 
+def in_scope(scope: DataFrame, folder: str, **tables: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """scope and what tables (doc_id, …) hold of the documents in any question's scope, stored: turns read these alone, whatever the corpus."""
+    scope = kept(scope, f"{folder}/scope-given")
+    docs = small(kept(scope.select(F.col("doc_id").cast("string").alias("__d")).distinct(), f"{folder}/scope-documents"))
+    return scope, [kept(t.join(docs, F.col("doc_id").cast("string") == F.col("__d"), "left_semi"), f"{folder}/scope-{name}") for name, t in tables.items()]
+
+
 def pageindex(questions: DataFrame, scope: DataFrame, index: DataFrame, pages: DataFrame, tree: DataFrame, service: Callable[[str], dict], folder: str, turns: int = TURNS, attempts: int = ATTEMPTS) -> Retrieved:
     """The navigation method: pages that were read are evidence; where none was, what was shown is, as summaries, which never count as pages.
 
     index (doc_id, title, tree, structure, description, n_pages, error); tree (doc_id, node_id, …) maps reads onto nodes.
     """
+    scope, (index, pages, tree) = in_scope(scope, folder, index=index, pages=pages, tree=tree)
     run = navigate(questions, scope, index, pages, service, folder, turns, attempts)
     ended = outcomes(run, questions)
     read = kept(reads(run, pages), f"{folder}/reads")
