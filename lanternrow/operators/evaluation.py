@@ -13,6 +13,7 @@ from ..sources.services import complete, mock_chat
 from ..storage import kept
 from . import arms as A
 from . import metrics as M
+from .retrieval import small
 
 #: What a run's row has no value for when it couldn't be run.
 COSTS = ("latency_s", "llm_calls_sequential", "tokens_query", "cost_usd", "gpu_s")
@@ -53,7 +54,9 @@ def parse_failure(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """qid, parse_failure: whether a page of the gold evidence is blank or isn't there; without evidence false."""
     gold = questions.select("qid", F.explode("evidence").alias("e")).select("qid", "e.doc_id", "e.page").distinct()
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    blank = gold.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"], "left").groupBy("qid").agg(F.max(text == "").alias("blank"))
+    # pages of the evidence alone are joined: they are found where they are read, if the evidence is a moderate table
+    own = pages.select("doc_id", "page", "text").join(small(gold.select("doc_id", "page").distinct()), ["doc_id", "page"], "left_semi")
+    blank = gold.join(own, ["doc_id", "page"], "left").groupBy("qid").agg(F.max(text == "").alias("blank"))
     return questions.select("qid").join(blank, "qid", "left").select("qid", F.coalesce("blank", F.lit(False)).alias("parse_failure"))
 
 

@@ -72,8 +72,8 @@ def _items(spark, d):
     return load(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("item "), "item_id").alias("question"))
 
 
-def _gold_scope(spark, d):
-    return gold(spark, d).select(F.col("item_id").alias("qid"), "doc_id", F.col("doc_id").alias("pos"))
+def _gold_scope(held):
+    return held.select(F.col("item_id").alias("qid"), "doc_id", F.col("doc_id").alias("pos"))
 
 
 _WALK = (
@@ -98,7 +98,7 @@ def _walked(got: N.Retrieved, answer: str):
 @query("arm_pageindex", f"WITH s AS (SELECT item_id, doc_id, doc_id AS pos FROM ({GOLD})), {_WALK} {_WALKED}")
 def _(spark, d):
     tree, index = _index(spark, d)
-    got = N.pageindex(_items(spark, d), _gold_scope(spark, d), index, pages(spark, d), tree, walker, shared_folder(spark, "navigation"), TURNS, TRIES)
+    got = N.pageindex(_items(spark, d), _gold_scope(gold(spark, d)), index, pages(spark, d), tree, walker, shared_folder(spark, "navigation"), TURNS, TRIES)
     return _walked(got, "native_answer")
 
 
@@ -138,12 +138,13 @@ def _(spark, d):
     p = pages(spark, d).select("doc_id", "page", "text")
     folder = shared_folder(spark, "navigation")
     q = _items(spark, d)
-    held = gold(spark, d).groupBy(F.col("item_id").alias("qid")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("doc_ids"))
+    own = gold(spark, d)
+    held = own.groupBy(F.col("item_id").alias("qid")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("doc_ids"))
     kind, value = F.when(F.col("qid") % 2 == 0, "exact").otherwise("free"), F.when(F.col("qid") % 3 == 0, "another").otherwise(F.col("question"))
     asked = q.join(held, "qid", "left").withColumn("doc_ids", F.coalesce("doc_ids", F.array().cast("array<string>")))
     asked = asked.withColumn("evidence", F.transform("doc_ids", lambda x: F.struct(x.alias("doc_id"), F.lit(1).alias("page")))).withColumn("gold", F.struct(kind.alias("kind"), value.alias("value"), F.lit(None).cast("array<string>").alias("values")))
     asked = written(asked, "asked")
-    got = N.pageindex(q, _gold_scope(spark, d), index, p, tree, walker, folder, TURNS, TRIES)
+    got = N.pageindex(q, _gold_scope(own), index, p, tree, walker, folder, TURNS, TRIES)
     stats = spark.createDataFrame([(1000, 234, None, None)], "input_tokens long, output_tokens long, gpu_s double, cost_usd double")
     prices = spark.createDataFrame([], "model string, input_per_m double, output_per_m double")
     rows = E.run_rows(asked, got.evidence, got.outcomes, got.calls, p.withColumn("doc_id", F.col("doc_id").cast("string")), stats, prices, folder, S.mock_chat, _agrees, "pageindex", "walker", "reader", 7)
