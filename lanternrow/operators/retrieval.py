@@ -161,6 +161,18 @@ def reachable(questions: DataFrame, groups: DataFrame, mode: str = "corpus") ->
     return scope(questions, groups, mode).select("doc_id").distinct()
 
 
+#: Bytes of distances that k-means holds at once.
+AT_ONCE_BYTES = 64 << 20
+
+
+def nearest_means(x, means):
+    """The nearest of means for each row of x, ties to the lowest; so many rows at a time that their distances take AT_ONCE_BYTES."""
+    import numpy as np
+
+    half, rows = (means * means).sum(1), max(1, AT_ONCE_BYTES // (8 * len(means)))
+    return np.concatenate([(half - 2 * x[at : at + rows] @ means.T).argmin(1) for at in range(0, len(x), rows)])
+
+
 def clusters(x, k: int, draws, rounds: int = 25):
     """Cluster numbers of the rows of x: k-means++ starts by `draws` (a number in [0, 1) each), then moving means until nothing changes, ties to the lowest."""
     import numpy as np
@@ -175,7 +187,7 @@ def clusters(x, k: int, draws, rounds: int = 25):
         chosen.append(int(np.searchsorted(reach, u * reach[-1], side="right")) if reach[-1] > 0 else int(u * len(x)))
     means, label = x[chosen].copy(), np.full(len(x), -1)
     for _ in range(rounds):
-        now = ((means * means).sum(1) - 2 * x @ means.T).argmin(1)
+        now = nearest_means(x, means)
         if np.array_equal(now, label):
             break
         label, size = now, np.bincount(now, minlength=k)

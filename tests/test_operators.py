@@ -393,3 +393,22 @@ def test_redacted_gold_keeps_its_kind_alone(spark):
     rows = spark.createDataFrame([("a", "l", ("date_list", None, ["2026-01-01"], "n")), ("b", "o", ("exact", "v", ["w"], "n")), ("c", "l", None), ("d", None, ("exact", "v", None, None))], kind)
     got = {r.qid: r.gold and tuple(r.gold) for r in runs.redact(rows, ["l"]).collect()}
     assert got["a"] == ("date_list", None, None, None) and got["b"] == ("exact", "v", ["w"], "n") and got["d"] == ("exact", "v", None, None) and not any(got["c"] or ())
+
+
+def test_clusters_hold_a_bounded_block_of_distances(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from lanternrow.operators import retrieval
+
+    r = np.random.default_rng(4)
+    x, draws = r.standard_normal((6000, 8)), r.random(1000)
+    whole = retrieval.clusters(x, 1000, draws, 2)
+    monkeypatch.setattr(retrieval, "AT_ONCE_BYTES", 1 << 20)
+    tracemalloc.start()
+    label = retrieval.clusters(x, 1000, draws, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all distances are 48 MB
+    assert np.array_equal(label, whole) and peak < 16 << 20
