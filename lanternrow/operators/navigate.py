@@ -26,7 +26,7 @@ from ..functions.text import parse_json, render_pages
 from ..sources.services import complete
 from ..storage import kept
 from .arms import nearest_documents
-from .retrieval import small
+from .retrieval import SMALL_ROWS, small
 from .trees import navigation, reads_to_evidence
 
 #: Tries at a question or an index, turns of a try, pages of a read, words of a page, documents of a listing.
@@ -49,12 +49,16 @@ def actions(replies: DataFrame) -> DataFrame:
     return said.select(*replies.columns, known.alias("action"), F.col("said.doc_id").alias("doc_id"), F.col("said.pages").alias("spec"), F.coalesce("said.answer", F.lit("")).alias("answer"))
 
 
-def page_reads(acts: DataFrame, scope: DataFrame, pages: DataFrame) -> DataFrame:
-    """qid, attempt, turn, doc_id, at, page, text: the first MOST_PAGES pages that each read names, in its order, of documents in the question's scope."""
+def page_reads(acts: DataFrame, scope: DataFrame, pages: DataFrame, sent: Callable[[DataFrame], DataFrame] = small) -> DataFrame:
+    """qid, attempt, turn, doc_id, at, page, text: the first MOST_PAGES pages that each read names, in its order, of documents in the question's scope.
+
+    Reads are sent to the pages: pages stay where they are, but where reads are too many for a broadcast.
+    """
     own = scope.select("qid", F.col("doc_id").cast("string").alias("doc_id"))
-    asked = acts.filter("action = 'pages'").select("qid", "attempt", "turn", "doc_id", F.posexplode(ranges(F.col("spec"))).alias("nth", "r")).join(own, ["qid", "doc_id"])
+    asked = acts.filter("action = 'pages'").select("qid", "attempt", "turn", "doc_id", ranges(F.col("spec")).alias("spans")).join(own, ["qid", "doc_id"])
     text = pages.select(F.col("doc_id").cast("string").alias("doc_id"), "page", "text")
-    rows = asked.join(text, "doc_id").filter("page between r.first and r.last").groupBy("qid", "attempt", "turn", "doc_id", "page").agg(F.min("nth").alias("nth"), F.first("text").alias("text"))
+    nth = F.array_min(F.transform("spans", lambda r, i: F.when(F.col("page").between(r["first"], r["last"]), i)))
+    rows = text.join(sent(asked), "doc_id").withColumn("nth", nth).filter("nth is not null").groupBy("qid", "attempt", "turn", "doc_id", "page").agg(F.min("nth").alias("nth"), F.first("text").alias("text"))
     at = F.row_number().over(Window.partitionBy("qid", "attempt", "turn").orderBy("nth", "page"))
     return rows.withColumn("at", at).filter(F.col("at") <= MOST_PAGES).drop("nth")
 
@@ -91,12 +95,14 @@ def navigate(questions: DataFrame, scope: DataFrame, index: DataFrame, pages: Da
     )
     state = kept(heads.select("qid", F.lit(1).alias("attempt"), F.lit(1).alias("turn"), F.array().cast("array<string>").alias("log")), f"{folder}/states/step=0")
     step = 0
-    while not state.isEmpty():
+    while open_ := state.limit(SMALL_ROWS + 1).count():
         step += 1
+        # a question has one action a turn
+        sent = F.broadcast if open_ <= SMALL_ROWS else lambda asked: asked
         prompts = state.join(heads, "qid").select("qid", "attempt", "turn", "log", F.concat_ws("\n\n", "head", F.array_join("log", "\n\n"), F.lit("Reply with one action as JSON.")).alias("prompt"))
         # a call is a row of a stored table before anything reads it, so no plan asks again
         replies = kept(complete(prompts, "qid", service=service, keep=("attempt", "turn", "log")), f"{folder}/replies/step={step}")
-        state = kept(_next(actions(replies), within, known, pages, turns, attempts), f"{folder}/states/step={step}")
+        state = kept(_next(actions(replies), within, known, pages, turns, attempts, sent), f"{folder}/states/step={step}")
     said = spark.read.parquet(f"{folder}/replies") if step else complete(state.select("qid", "attempt", "turn", "log", F.lit("").alias("prompt")), "qid", keep=("attempt", "turn", "log"))
     return Navigation(actions(said.drop("log", "step")), within, missing, attempts)
 
@@ -108,12 +114,13 @@ def _listing(rows: DataFrame, by: list[str]) -> DataFrame:
     return some.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("shown"))
 
 
-def _next(acts: DataFrame, within: DataFrame, known: DataFrame, pages: DataFrame, turns: int, attempts: int) -> DataFrame:
-    """The states after a turn: qid, attempt, turn, log of the questions that go on."""
+def _next(acts: DataFrame, within: DataFrame, known: DataFrame, pages: DataFrame, turns: int, attempts: int, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The states after a turn: qid, attempt, turn, log of the questions that go on. What they ask for is sent to the tables that have it."""
     going = acts.filter("error is null and coalesce(action, '') <> 'answer'")
-    read = page_reads(going, within, pages).groupBy("qid").agg(render_pages(F.collect_list(F.struct("page", "text")), MOST_WORDS).alias("read"))
+    read = page_reads(going, within, pages, sent).groupBy("qid").agg(render_pages(F.collect_list(F.struct("page", "text")), MOST_WORDS).alias("read"))
     what = F.when(F.col("action") == "structure", F.col("structure")).otherwise(F.col("description"))
-    shown = going.filter("action in ('structure', 'description')").join(within.select("qid", "doc_id"), ["qid", "doc_id"]).join(known, "doc_id").select("qid", F.coalesce(what, F.lit("nothing")).alias("known"))
+    asked = going.filter("action in ('structure', 'description')").select("qid", "doc_id", "action").join(within.select("qid", "doc_id"), ["qid", "doc_id"])
+    shown = known.join(sent(asked), "doc_id").select("qid", F.coalesce(what, F.lit("nothing")).alias("known"))
     wanted = going.filter("action = 'documents'").select("qid", F.get(ranges(F.col("spec")), F.lit(0)).alias("r")).filter("r is not null")
     listed = _listing(within.join(wanted.select("qid", F.col("r.first").alias("low"), F.col("r.last").alias("high")), "qid"), ["qid"])
     head = F.concat(F.lit("> "), F.coalesce("action", F.lit("?")), F.lit(" "), F.coalesce("doc_id", F.lit("")), F.lit(" "), F.coalesce("spec", F.lit("")))

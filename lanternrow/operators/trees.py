@@ -68,16 +68,17 @@ def build_tree(headings: DataFrame, docs: DataFrame) -> DataFrame:
     them, however many there are.
     """
     headings = written(headings.select("doc_id", "pos", "title", "page", "level"), "headings")
-    # running values a level instead of joins of all pairs of headings; levels go from 1 to MAX_LEVEL
+    # running values a level that occurs instead of joins of all pairs of headings; levels go from 1 to MAX_LEVEL
+    levels = sorted(r["level"] for r in headings.filter(F.col("level").between(1, MAX_LEVEL)).select("level").distinct().collect()) or [1]
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     at = lambda k, c: F.when(F.col("level") == k, c)
-    last = {k: F.last(at(k, F.col("pos")), ignorenulls=True).over(before) for k in range(1, MAX_LEVEL + 1)}
-    after = {k: F.last(at(k, F.struct("pos", "page")), ignorenulls=True).over(behind) for k in range(1, MAX_LEVEL + 1)}
+    last = {k: F.last(at(k, F.col("pos")), ignorenulls=True).over(before) for k in levels}
+    after = {k: F.last(at(k, F.struct("pos", "page")), ignorenulls=True).over(behind) for k in levels}
     rows = written(headings.join(docs.select("doc_id", "n_pages"), "doc_id"), "headings-of-docs")
     rows = dealt(rows, "doc_id").withColumns({f"__u{k}": c for k, c in last.items()} | {f"__d{k}": c for k, c in after.items()})
     above = F.greatest(F.lit(None).cast("int"), *(F.when(F.col("level") > k, F.col(f"__u{k}")) for k in last))
-    below = F.least(F.lit(None).cast(dict(rows.dtypes)["__d1"]), *(F.when(F.col("level") >= k, F.col(f"__d{k}")) for k in after))
+    below = F.least(F.lit(None).cast(dict(rows.dtypes)[f"__d{levels[0]}"]), *(F.when(F.col("level") >= k, F.col(f"__d{k}")) for k in after))
     rows = rows.withColumns({"ppos": above, "npage": below["page"]})
     end = F.when(F.col("npage").isNull(), F.col("n_pages")).otherwise(F.greatest("page", "npage"))
     name = lambda p: F.concat(F.lit("n"), p.cast("string"))

@@ -52,9 +52,12 @@ def walker(prompt: str) -> dict:
 
 def _tree(spark, d):
     """Every fourth line from the first on is a heading."""
-    p = pages(spark, d)
-    heads = p.filter("page % 4 = 1").select("doc_id", (F.col("page") / 4).cast("int").alias("pos"), F.concat(F.lit("part "), "page").alias("title"), "page", F.lit(1).alias("level"))
-    docs = p.groupBy("doc_id").agg(F.max("page").alias("n_pages")).join(load(spark, d, "documents").select("doc_id", F.col("source").alias("title")), "doc_id")
+    # texts are read once, to count their lines
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = written(load(spark, d, "documents").select("doc_id", F.col("source").alias("title"), n.alias("n")), "lines")
+    p = lines.select("doc_id", F.explode(F.sequence(F.lit(1), "n", F.lit(4))).alias("page"))
+    heads = p.select("doc_id", (F.col("page") / 4).cast("int").alias("pos"), F.concat(F.lit("part "), "page").alias("title"), "page", F.lit(1).alias("level"))
+    docs = lines.filter("n is not null").groupBy("doc_id").agg(F.max("n").alias("n_pages")).join(lines.select("doc_id", "title"), "doc_id")
     return written(docs, "docs"), written(Tr.build_tree(heads, docs), "tree")
 
 
